@@ -6,35 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .chunk_dedup import exact_dedup
 from .common import table
+from .packing import pack
+from .pii import digest, find_personal_data
+from .sharding import shard
 from .simhash import near_dedup
 
 
 def op1_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def op2_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_chunk_recipe_dedup": op1_chunk_recipe_dedup,
-        "op2_simhash_pigeonhole": op2_simhash_pigeonhole,
-    }
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op8_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
 
 
-OP1 = """
-WITH t AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
-  FROM documents)
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
-FROM t WINDOW w AS (PARTITION BY norm)
-"""
+def op10_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = (
+        op1_chunk_recipe_dedup,
+        op2_simhash_pigeonhole,
+        op3_personal_data,
+        op8_differencing_shards,
+        op10_large_item_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chunk_recipe_dedup": OP1}
+    return {"op1_chunk_recipe_dedup": oracles.OP1, "op3_personal_data": oracles.op3()}
