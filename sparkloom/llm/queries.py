@@ -10,9 +10,12 @@ from . import oracles
 from .chunk_dedup import exact_dedup
 from .common import table
 from .packing import pack
+from .perspectives import rotate
 from .pii import digest, find_personal_data
+from .quality import score as score_quality
 from .sharding import shard
 from .simhash import near_dedup
+from .toxicity import score as score_toxicity
 
 
 def op1_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +30,22 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("raw")
+
+
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op8_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -40,11 +55,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_chunk_recipe_dedup,
         op2_simhash_pigeonhole,
         op3_personal_data,
+        op4_pairwise_quality,
+        op5_perspective_rotation,
         op8_differencing_shards,
+        op9_counterfactual_toxicity,
         op10_large_item_packing,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chunk_recipe_dedup": oracles.OP1, "op3_personal_data": oracles.op3()}
+    return {"op1_chunk_recipe_dedup": oracles.OP1, "op3_personal_data": oracles.op3(), "op5_perspective_rotation": oracles.OP5}
