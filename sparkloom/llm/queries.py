@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .chunk_dedup import exact_dedup
 from .common import table
+from .decontaminate import contaminated
 from .packing import pack
 from .perspectives import rotate
 from .pii import digest, find_personal_data
@@ -38,6 +39,10 @@ def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_personal_data,
         op4_pairwise_quality,
         op5_perspective_rotation,
+        op7_bm25_decontamination,
         op8_differencing_shards,
         op9_counterfactual_toxicity,
         op10_large_item_packing,
