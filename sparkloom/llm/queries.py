@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .packing import pack
 from .perspectives import rotate
 from .pii import digest, find_personal_data
+from .repeats import remove_repeats
 from .quality import score as score_quality
 from .sharding import shard
 from .simhash import near_dedup
@@ -39,6 +40,10 @@ def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+def op6_run_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_personal_data,
         op4_pairwise_quality,
         op5_perspective_rotation,
+        op6_run_index_repeats,
         op7_bm25_decontamination,
         op8_differencing_shards,
         op9_counterfactual_toxicity,
