@@ -42,13 +42,36 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Words of letters alone are one pre-token each, so they are
+        encoded as one text and parted after the ids that end a word."""
+        texts = [w.decode() for w in words]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        others = set(range(len(texts)))
+        out = [b""] * len(words)
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in letters])], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(letters) and at[-1] == len(ids):
+                flat, begin = ids.tobytes(), 0
+                for i, end in zip(letters, (at * 4).tolist()):
+                    out[i] = flat[begin:end]
+                    begin = end
+                others.difference_update(letters)
+        rest = sorted(others)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
         """Words with a comma or full stop after an ASCII letter are parted there, as the pre-tokeniser does."""
         stems = [w[:-1] if w[-1:] in (b",", b".") and w[-2:-1].isalpha() else w for w in words]
         need = [w for w in dict.fromkeys([*stems, b",", b"."]) if w not in self.known]
-        for w, e in zip(need, self.tokenizer.encode_batch_fast([w.decode() for w in need], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.known.update(zip(need, self._encode(need)))
         for w, s in zip(words, stems):
             if w is not s:
                 self.known[w] = self.known[s] + self.known[w[-1:]]
@@ -57,10 +80,10 @@ class WordIds:
         """Little-endian 32-bit ids of each text, without an end id."""
         parts = [(t if _not_lowered.search(t) else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         known = self.known
-        fresh = {w for words in parts for w in words if w not in known}
+        fresh = set().union(*parts).difference(known)
         if len(known) + 2 * len(fresh) > self.remembered:
             known.clear()
-            fresh = {w for words in parts for w in words}
+            fresh = set().union(*parts)
         if fresh:
             self._learn(sorted(fresh))
         return [b"".join([known[w] for w in words]) for words in parts]
