@@ -110,7 +110,8 @@ def _decisions(docs: DataFrame) -> DataFrame:
     groups = lists.groupBy("recipe").agg(
         F.count("*").alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("keep")
     )
-    return lists.join(groups, "recipe").withColumn("kept", F.col("uid") == F.col("keep.uid"))
+    # Written out, so that both sides of the join are dealt anew and a hot recipe's rows can be split.
+    return lists.join(materialize(groups), "recipe").withColumn("kept", F.col("uid") == F.col("keep.uid"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
