@@ -1,0 +1,64 @@
+"""Near-duplicate groups by MinHash bands, verified exactly, and their components."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import jaccard, shingle_set
+
+PERMUTATIONS, BANDS = 32, 16
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the folder of spark.checkpoint.dir, or in one of our own where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+    return df.checkpoint(eager=True)
+
+
+def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float, least: int = 5, hot: int = 200) -> DataFrame:
+    """(a, b) pairs of distinct texts whose shingle sets reach Jaccard similarity ``threshold``, enough to connect each group.
+
+    ``texts`` holds distinct texts. Sets of fewer than ``least`` shingles are
+    left out. Sets that agree in a band of two MinHash values meet. In a band
+    of up to ``hot`` sets all pairs are verified; in a larger one every set is
+    verified against the band's least key alone, so its work stays linear.
+    """
+    sets = texts.select(key, shingle_set(F.col(text)).alias("s")).where(F.size("s") >= least)
+    signed = checkpointed(sets.select(key, "s", F.array(*[_min_hash(i) for i in range(PERMUTATIONS)]).alias("sig")))
+    width = PERMUTATIONS // BANDS
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * width + 1, width)).alias("h")) for b in range(BANDS)])
+    rows = signed.select(key, F.explode(bands).alias("x")).select(key, "x.band", "x.h")
+    sizes = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
+    met = checkpointed(rows.join(sizes, ["band", "h"]))
+    few = met.where(F.col("n") <= hot)
+    all_pairs = few.select("band", "h", F.col(key).alias("a")).join(few.select("band", "h", F.col(key).alias("b")), ["band", "h"])
+    star = met.where(F.col("n") > hot).select(F.col("first").alias("a"), F.col(key).alias("b"))
+    pairs = all_pairs.select("a", "b").unionByName(star).where("a < b").distinct()
+    left, right = signed.select(F.col(key).alias("a"), F.col("s").alias("sa")), signed.select(F.col(key).alias("b"), F.col("s").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
+
+
+def _min_hash(i: int):
+    return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(i))))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root): each node with the least it is connected to. Large-star and small-star steps until nothing moves."""
+    edges = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    while True:
+        both = edges.toDF("u", "v").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        edges = checkpointed(small.distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return edges.toDF("node", "root")
+        seen = now
