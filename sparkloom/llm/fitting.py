@@ -35,15 +35,18 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, per_class: int) -> D
 
 
 def best_cut(raw: np.ndarray, label: np.ndarray, negative_weight: float = 1.0) -> float:
-    """Where to part scores: the quantile with the best balanced accuracy, midway between its neighbours."""
+    """Where to part scores: the quantile with the best balanced accuracy, midway between two different scores.
+
+    ``negative_weight`` is how much a wrong negative counts against a wrong positive.
+    """
     order = np.argsort(raw, kind="stable")
-    y = label[order]
-    good, bad = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    below_bad, below_good = np.cumsum(1 - y) / bad, np.cumsum(y) / good
-    gain = negative_weight * below_bad - below_good
-    k = int(np.argmax(gain))
-    s = raw[order]
-    return float(s[k] if k + 1 == len(s) else (s[k] + s[k + 1]) / 2)
+    y, s = label[order], raw[order]
+    gain = negative_weight * np.cumsum(1 - y) / max(1, int((1 - y).sum())) - np.cumsum(y) / max(1, int(y.sum()))
+    between = np.flatnonzero(s[1:] > s[:-1])
+    if not len(between):
+        return float(s[0])
+    k = int(between[np.argmax(gain[between])])
+    return float((s[k] + s[k + 1]) / 2)
 
 
 def descend(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, steps: int) -> np.ndarray:
