@@ -10,19 +10,20 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x0B\p{Z}]+"
 NON_WORD = r"[^\p{L}\p{N}_\s\x0B\p{Z}'-]+"
 WORD = r"[\p{L}\p{N}]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C; for sources that aren't known to be in it. ASCII and normal texts pass as they are."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold_key(text: pd.Series) -> pd.Series:
     """Compatibility form, case folded, single spaces: the key of reference headwords."""
     return text.map(lambda t: " ".join(unicodedata.normalize("NFKC", t or "").casefold().split()))
@@ -101,9 +102,20 @@ def spelling_family(form: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(form, "['-]", ""), r"([aeiou])\1+", "$1")
 
 
+def loose_words(c: Column) -> Column:
+    """Lower-case words, apostrophes inside kept, runs of digits as #."""
+    found = F.regexp_extract_all(c, F.lit(WORD + "(?:['’]" + WORD + ")*"), F.lit(0))
+    return F.transform(found, lambda x: F.regexp_replace(F.lower(x), r"\p{Nd}+", "#"))
+
+
+def variant_key(c: Column) -> Column:
+    """A text with case, spacing, punctuation and numbers set aside, to tell different translations."""
+    return F.array_join(loose_words(c), " ")
+
+
 def shingle_set(c: Column) -> Column:
-    """Distinct words and word pairs, digits as #."""
-    w = F.transform(words(c), lambda x: F.regexp_replace(F.lower(x), r"\p{Nd}", "#"))
+    """Distinct loose words and pairs of them."""
+    w = loose_words(c)
     pairs = F.when(
         F.size(w) > 1,
         F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)),
@@ -118,7 +130,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def split_alternatives(c: Column) -> Column:
     """``;`` separated alternatives, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def base_forms(word: Column) -> Column:
@@ -180,3 +192,7 @@ def sql_masked(x: str) -> str:
 
 def sql_template(x: str) -> str:
     return f"sha1(array_to_string({sql_masked(x)}, ' '))"
+
+
+def sql_variant(x: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}\\p{{N}}]+)*'), lambda w: regexp_replace(lower(w), '\\p{{Nd}}+', '#', 'g')), ' ')"

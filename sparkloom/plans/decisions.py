@@ -155,7 +155,7 @@ def generator_wilson(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CLUSTER_SQL = f"""{SQL["line_pairs"]},
-u AS (SELECT id, {t.sql_template("source_text")} AS template, array_to_string({t.sql_masked("target_text")}, ' ') AS target_key,
+u AS (SELECT id, {t.sql_template("source_text")} AS template, {t.sql_variant("target_text")} AS target_key,
    round_even(1 - {q.sql_score("flags")} + 0.5 * len(list_filter(flags, lambda f: f IN ('extremely_long', 'extremely_short', 'length_ratio_outlier', 'target_reused'))) + CASE WHEN model = 'm0' THEN 1.0 ELSE 0.0 END, 4) AS uncertainty
    FROM (SELECT *, {q.sql_flags("source_text", "target_text")} AS flags FROM line_pairs)),
 c AS (SELECT template, count(*) AS n, count(DISTINCT target_key) AS variants, avg(uncertainty) AS mean_u, arg_min(id, (-uncertainty, id)) AS representative, min(id) AS first_id FROM u GROUP BY template HAVING count(*) > 1),
@@ -166,7 +166,7 @@ def queued(pairs: DataFrame) -> DataFrame:
     """id, template, target_key, uncertainty of each pair; generator m0 is the outdated one."""
     flags = q.quality_flags(F.col("source_text"), F.col("target_text"))
     return pairs.withColumn("flags", flags).select(
-        "id", t.template_key(F.col("source_text")).alias("template"), F.array_join(t.masked_words(F.col("target_text")), " ").alias("target_key"),
+        "id", t.template_key(F.col("source_text")).alias("template"), t.variant_key(F.col("target_text")).alias("target_key"),
         q.uncertainty(q.quality_score(F.col("flags")), F.col("flags"), F.col("model") == "m0").alias("uncertainty"),
     )
 
