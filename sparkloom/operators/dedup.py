@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 HELD_OUT = ("validation", "test")
 
 
@@ -37,7 +39,8 @@ def nearest_rank(values: DataFrame, value: str, fractions: dict[str, float]) ->
     spark = values.sparkSession
     counts = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, value).withColumn("part", F.spark_partition_id())
+    # Written out: ranges are sampled, and would differ if they were made twice.
+    ranged = checkpointed(counts.repartitionByRange(parts, value).withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(F.sum("n").alias("rows"))
     before = totals.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
     running = F.sum("n").over(Window.partitionBy("part").orderBy(value))

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, shingle_set
+from .lineage import checkpointed
 
 PERMUTATIONS, BANDS = 32, 16
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of spark.checkpoint.dir, or in one of our own where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
-    return df.checkpoint(eager=True)
-
-
 def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float, least: int = 5, hot: int = 200) -> DataFrame:
     """(a, b) pairs of distinct texts whose shingle sets reach Jaccard similarity ``threshold``, enough to connect each group.
 

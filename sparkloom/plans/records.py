@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -171,13 +171,29 @@ def learner_progress(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Ids in one leaf of a membership digest.
+LEAF = 4096
+
+
 @query(
-    """SELECT source, sha256(array_to_string(list_sort(list(doc_id::VARCHAR)), chr(10))) AS digest, count(*) AS members FROM documents GROUP BY source"""
+    f"""WITH leaf AS (SELECT source, doc_id // {LEAF} AS k, sha256(array_to_string(list(doc_id::VARCHAR ORDER BY doc_id), chr(10))) AS d, count(*) AS n FROM documents GROUP BY ALL),
+branch AS (SELECT source, k // {LEAF} AS k, sha256(array_to_string(list(d ORDER BY k), chr(10))) AS d, sum(n) AS n FROM leaf GROUP BY ALL)
+SELECT source, sha256(array_to_string(list(d ORDER BY k), chr(10))) AS digest, sum(n)::BIGINT AS members FROM branch GROUP BY source"""
 )
 def membership_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """A digest of each source's sorted member ids: a verified subset is known by it. The list is the input of one hash."""
-    d = table(spark, sf, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))).alias("ids"), F.count("*").alias("members"))
-    return d.select("source", F.sha2(F.array_join("ids", "\n"), 256).alias("digest"), "members")
+    """A digest of each source's sorted member ids: a verified subset is known by it.
+
+    A tree of hashes over ranges of ids: a leaf holds at most 4096 ids, a
+    branch 4096 leaves, so no list grows with a source until it has billions.
+    """
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / LEAF).alias("k"))
+    leaf = d.groupBy("source", "k").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), "\n"), 256).alias("d"), F.count("*").alias("n"))
+
+    def joined() -> Column:
+        return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "\n"), 256)
+
+    branch = leaf.groupBy("source", F.floor(F.col("k") / LEAF).alias("up")).agg(joined().alias("d"), F.sum("n").alias("n")).withColumnRenamed("up", "k")
+    return branch.groupBy("source").agg(joined().alias("digest"), F.sum("n").alias("members"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS english_sha256, sha1(coalesce(text, '')) AS shown_sha1 FROM documents")

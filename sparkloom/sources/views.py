@@ -7,9 +7,11 @@ them. None of them shuffles unless its docstring says so.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,13 +54,13 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def verses(docs: DataFrame) -> DataFrame:
-    """version, book, chapter, verse, text: documents of one language in id order, a hundred to a book.
+    """version, book, chapter, verse, text, doc_id: documents of one language in id order, a hundred to a book.
 
-    The rank needs each language in order, which one window a language gives;
-    real versioned corpora carry these keys and skip it.
+    The rank is made by ranges of ids, see numbered: no language goes through
+    one task. Real versioned corpora carry these keys and skip it.
     """
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    return docs.select("lang", "doc_id", "text", nth.alias("k")).select(
+    ranked = numbered(docs.select("lang", "doc_id", "text"), "doc_id", "nth", within="lang").withColumn("k", F.col("nth") - 1)
+    return ranked.select(
         F.col("lang").alias("version"), F.floor(F.col("k") / 100).cast("int").alias("book"),
         F.floor(F.col("k") / 10 % 10).cast("int").alias("chapter"), (F.col("k") % 10).cast("int").alias("verse"), "text", "doc_id",
     )
