@@ -13,7 +13,7 @@ from .common import materialize
 
 SHARDS = 24
 #: Partial partitions that one task combines.
-PER_TASK = 4096
+PER_TASK = 16_384
 #: Rows that one task numbers.
 PER_SLOT_BUCKET = 50_000
 
@@ -107,8 +107,8 @@ def shard(docs: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     Law ``bytes``: shards get nearly equal bytes, a document counting its UTF-8
     bytes plus 8. Documents of equal text go to one shard, unless together they
     exceed a whole shard's fair share; such a group (fewer than ``SHARDS`` can
-    exist) is cut into parts of a quarter of it. Slots run from 0 in each shard
-    without gaps.
+    exist) is cut into parts of at most a quarter of it. Slots run from 0 in each
+    shard without gaps.
 
     Null text has no bytes and CRC 0 and is a group apart from empty text.
     Repeated rows, ties and null doc_ids are documents like any other. An empty
@@ -129,9 +129,9 @@ def shard(docs: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     fair = (total[0] or 0) / SHARDS
     # At most SHARDS - 1 groups exceed a fair share: the list has a proven bound.
     large = [r for r in groups.where(F.col("bytes") > fair).collect()] if total[1] else []
-    cuts = spark.createDataFrame(
-        [(bytes(r["key"]), int(-(-r["bytes"] // max(1.0, fair / 4)))) for r in large], "key binary, cuts int"
-    )
+    # A part is no larger than a shard's share of the units that one task combines: what no task can level out, no later one can.
+    most = max(1.0, min(fair / 4, fair * per_task / max(1, total[1])))
+    cuts = spark.createDataFrame([(bytes(r["key"]), int(-(-r["bytes"] // most))) for r in large], "key binary, cuts int")
     keyed = rows.join(F.broadcast(cuts), "key", "left").select(
         "uid", "doc_id", "size", "text_crc32", "key",
         F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("cuts"))).cast("int").alias("cut"),
