@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, texts_of
+from .common import LOWER, materialize, texts_of
 
 CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
 #: Words whose ids a Python worker remembers; when there are more it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
+#: Bytes of texts whose words are looked up at once.
+TOGETHER = 8 << 20
 #: Pieces that are packed together in one task.
 PER_BUCKET = 20_000
 
 _memory: dict[str, WordIds] = {}
-_not_lowered = re.compile(rb"[A-Za-z][\xcc-\xff]")
+# Byte tables: line ends to spaces, with and without lower case; ASCII letters.
+_ONLY_SPACES = np.arange(256, dtype=np.uint8)
+_ONLY_SPACES[10] = 32
+_PLAIN = LOWER.copy()
+_PLAIN[10] = 32
+_LETTER = np.isin(LOWER, np.arange(97, 123))
 
 
 class WordIds:
@@ -37,6 +45,8 @@ class WordIds:
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        # Spark's tasks are the parallelism; threads of the tokenizer's own would take cores from other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,17 +86,44 @@ class WordIds:
             if w is not s:
                 self.known[w] = self.known[s] + self.known[w[-1:]]
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without an end id."""
-        parts = [(t if _not_lowered.search(t) else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, learnt where they aren't remembered."""
         known = self.known
-        fresh = set().union(*parts).difference(known)
+        ids = list(map(known.get, words))
+        fresh = [w for w, x in zip(words, ids) if x is None]
+        if not fresh:
+            return ids
         if len(known) + 2 * len(fresh) > self.remembered:
             known.clear()
-            fresh = set().union(*parts)
-        if fresh:
-            self._learn(sorted(fresh))
-        return [b"".join([known[w] for w in words]) for words in parts]
+            fresh = words
+        self._learn(fresh)
+        return list(map(known.get, words))
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, without an end id.
+
+        Words are parted and made distinct by Arrow; Python sees each distinct
+        word once, and the ids are put in their places by numpy.
+        """
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.cumsum([0, *map(len, texts)])
+        marked = np.flatnonzero(_LETTER[data[:-1]] & (data[1:] >= 0xCC))
+        plain = _PLAIN[data]
+        for i in np.unique(np.searchsorted(at, marked, "right") - 1).tolist():
+            plain[at[i] : at[i + 1]] = _ONLY_SPACES[data[at[i] : at[i + 1]]]
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(plain)])
+        lists = pc.split_pattern(whole, b" ")
+        words = lists.flatten().dictionary_encode()
+        ids = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        nth = words.indices.to_numpy()
+        n = sizes[nth]
+        ends = np.cumsum(n)
+        placed = flat[np.repeat(starts[nth] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
+        return [placed[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
 
 def _tokenizer(path: str) -> WordIds:
@@ -108,11 +145,14 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         ids_of = _tokenizer(path or vocabulary())
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for k in range(0, max(1, whole.num_rows), 512):
-                batch = whole.slice(k, 512)
-                data, at = texts_of(batch)
+            data, at = texts_of(whole)
+            k = 0
+            while k < whole.num_rows:
+                m = max(k + 1, int(np.searchsorted(at, at[k] + TOGETHER, "right")) - 1)
+                batch, begin = whole.slice(k, m - k), k
+                k = m
                 rows, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(ids_of.of([data[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)])):
+                for i, ids in enumerate(ids_of.of([data[at[r] : at[r + 1]].tobytes() for r in range(begin, m)])):
                     view = memoryview(ids + end)
                     for p, s in enumerate(range(0, len(view), 4 * capacity)):
                         part = view[s : s + 4 * capacity]
