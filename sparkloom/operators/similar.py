@@ -19,7 +19,8 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float, least
     of up to ``hot`` sets all pairs are verified; in a larger one every set is
     verified against the band's least key alone, so its work stays linear.
     """
-    sets = texts.select(key, shingle_set(F.col(text)).alias("s")).where(F.size("s") >= least)
+    # Shingles are compared by their 64-bit hashes: long arrays, hashed once.
+    sets = texts.select(key, F.transform(shingle_set(F.col(text)), lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") >= least)
     signed = checkpointed(sets.select(key, "s", F.array(*[_min_hash(i) for i in range(PERMUTATIONS)]).alias("sig")))
     width = PERMUTATIONS // BANDS
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * width + 1, width)).alias("h")) for b in range(BANDS)])
