@@ -104,8 +104,7 @@ def _decisions(docs: DataFrame, width: int) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(classes, "root").select("fp", "component_id")
-    return made.join(of, "fp")
+    return made.join(rooted.join(classes, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -127,17 +126,44 @@ def near_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One document of each component, that with its smallest doc_id, with all columns of ``docs``."""
-    made = _decisions(docs, width)
-    kept = (
-        made.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id")
-        .agg(F.min("raw").alias("_loom_raw"))
-        .withColumnRenamed("component_id", "_loom_id")
+    """One document of each component, that with its smallest doc_id, with all columns of ``docs``.
+
+    Components are told apart by their roots: texts that only share a doc_id,
+    or have none, all stay. A document without a doc_id is kept if its
+    component has no other.
+    """
+    return _one_of_each(docs, _decisions(docs, width).select("doc_id", "raw", "root"))
+
+
+#: Rows of (doc_id, raw) up to which a side is broadcast.
+BROADCAST_ROWS = 1 << 17
+
+
+def _one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, raw) comes first among those of their root, each once.
+
+    ``rooted`` has doc_id, raw and root of every row. What goes is mostly little, so rows are removed, not chosen.
+    """
+    counted = rooted.groupBy("doc_id", "raw", "root").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
+    first = counted.groupBy("root").agg(F.min(order).alias("first"))
+    placed = materialize(
+        counted.join(first, "root")
+        .select(F.col("doc_id").alias("_loom_id"), F.col("raw").alias("_loom_raw"), "n", order.eqNullSafe(F.col("first")).alias("kept"))
+        .where("n > 1 OR NOT kept")
     )
     hashed = docs.withColumn("_loom_text", F.xxhash64("text"))
-    found = hashed.join(
-        kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_loom_id")) & (F.col("_loom_text") == F.col("_loom_raw")), "left_semi"
-    )
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_loom_id")) & (F.col("_loom_text") == F.col("_loom_raw"))
+
+    def side(rows: DataFrame) -> tuple[DataFrame, int]:
+        n = rows.count()
+        return (F.broadcast(rows) if n <= BROADCAST_ROWS else rows), n
+
+    gone, _ = side(placed.select("_loom_id", "_loom_raw"))
+    found = hashed.join(gone, here, "left_anti").select(*docs.columns)
+    repeated, n = side(placed.where("kept").select("_loom_id", "_loom_raw"))
+    if not n:
+        return found
     same = Window.partitionBy("doc_id", "_loom_text").orderBy(F.lit(0))
-    return found.withColumn("_loom_nth", F.row_number().over(same)).where("_loom_nth = 1").select(*docs.columns)
+    once = hashed.join(repeated, here, "left_semi").withColumn("_loom_nth", F.row_number().over(same)).where("_loom_nth = 1")
+    return found.unionByName(once.select(*docs.columns))

@@ -156,6 +156,14 @@ def test_simhash_empty_and_stage(nothing, hard):
     assert kept.count() == len({c for _, _, c in brute_components(fps)})
 
 
+def test_unrelated_texts_without_or_under_one_id_all_stay(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[4]), (None, texts[5]), (7, texts[5]), (8, texts[6]), (8, texts[6])]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[5]), (8, texts[6])]
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in want)
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1100)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
