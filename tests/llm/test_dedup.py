@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chunk_dedup, simhash
+from sparkloom.llm import chunk_dedup, near_copies, simhash
 from sparkloom.llm.common import components
 
 from .conftest import HARD, SCHEMA, rows_of
@@ -164,6 +164,43 @@ def test_unrelated_texts_without_or_under_one_id_all_stay(spark):
     assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in want)
 
 
+def near_links(texts):
+    """Positions of all pairs with a Jaccard similarity of 5-word shingles of 0.8 at least."""
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in split]
+    return {(i, j) for i, j in combinations(range(len(texts)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+
+def test_stage_against_brute_force_on_planted_near_copies(spark):
+    """Copies with a few changed words, a crowd under one common passage, and a crowd of near copies of one text."""
+    rng = random.Random(5)
+    line = " ".join(f"common{j}" for j in range(60))
+    texts = [" ".join(f"t{k}w{j}" for j in range(200)) for k in range(30)] + [f"{line} " + " ".join(f"c{k}w{j}" for j in range(40)) for k in range(30)]
+    for t in list(texts):
+        words = t.split()
+        for n in (1, 2, 4):
+            changed = list(words)
+            for p in rng.sample(range(len(words)), n):
+                changed[p] = f"new{rng.getrandbits(40)}"
+            texts.append(" ".join(changed))
+    texts += [texts[0] + f" end{k}" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    truth = list(range(len(texts)))
+    for _ in range(4):
+        for i, j in sorted(near_links(texts)):
+            truth[i] = truth[j] = min(truth[i], truth[j])
+    made = near_copies.sketches(df, 5).cache()
+    at = {r["raw"]: r["doc_id"] for r in made.collect()}
+    for limit in (64, 4):
+        found = {tuple(sorted((at[a], at[b]))) for a, b in near_copies.links(df, made, 5, limit).collect()}
+        root = list(range(len(texts)))
+        for _ in range(4):
+            for i, j in sorted(found):
+                root[i] = root[j] = min(root[i], root[j])
+        assert found <= near_links(texts) and root == truth
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == set(truth)
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1100)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
