@@ -16,10 +16,6 @@ from .common import LOWER, texts_of
 
 SHINGLE = 5
 OVERLAP = 0.8
-#: Question and answer must each overlap by this much of their shingles, too.
-PART_OVERLAP = 0.4
-#: The share of an item's own BM25 score that a passage must reach to be retrieved.
-RETRIEVE = 0.6
 K1, B = 1.2, 0.75
 ITEM_BLOCK = 16
 #: Bytes of test items that one index holds; more items make more indexes, each broadcast in its turn.
@@ -40,11 +36,29 @@ def shingles(words: list[bytes], width: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
+def most_lost(words: list[bytes], weights: dict[bytes, float]) -> float:
+    """At most how much weight an item's words have that a passage with OVERLAP of its shingles lacks.
+
+    A missing word takes all shingles that hold it with it, and a shingle holds
+    SHINGLE words at most; the heaviest words for their shingles that so many
+    missing shingles allow, the last one in part, are an upper bound.
+    """
+    own = shingles(words)
+    holding = Counter(w for s in own for w in set(s.split(b" ")))
+    left, lost = SHINGLE * int((1 - OVERLAP) * len(own) + 1e-9), 0.0
+    for w in sorted(weights, key=lambda w: (-weights[w] / holding[w], w)):
+        lost += weights[w] * min(1.0, left / holding[w])
+        left -= holding[w]
+        if left <= 0:
+            break
+    return lost
+
+
 @dataclass
 class Item:
     item_id: int
     weights: dict[bytes, float]
-    own: float
+    need: float
     rest: float
     all: set[bytes]
     question: set[bytes]
@@ -81,18 +95,19 @@ class Index:
                 for w, tf in Counter(ws).items()
             }
             own, taken = sum(weights.values()), 0.0
+            need = own - most_lost(ws, weights)
             for w in sorted(weights, key=lambda w: (-weights[w], w)):
                 lists[w][k // ITEM_BLOCK].append((k, weights[w]))
                 taken += weights[w]
-                if own - taken < RETRIEVE * own:
+                if own - taken < need - 1e-9:
                     break
             cut = max(SHINGLE, len(ws) * 2 // 3)
             answer = ws[max(0, min(cut, len(ws) - SHINGLE)) :]
-            index.items.append(Item(item_id, weights, own, own - taken, shingles(ws), shingles(ws[:cut]), shingles(answer)))
+            index.items.append(Item(item_id, weights, need, own - taken, shingles(ws), shingles(ws[:cut]), shingles(answer)))
         for w, blocks in lists.items():
             index.postings[w] = [(b, max(x for _, x in found), found) for b, found in blocks.items()]
         for b in range(0, n, ITEM_BLOCK):
-            index.needs.append(min(it.own * RETRIEVE - it.rest for it in index.items[b : b + ITEM_BLOCK]))
+            index.needs.append(min(it.need - it.rest for it in index.items[b : b + ITEM_BLOCK]))
         return index
 
     def candidates(self, terms: set[bytes]) -> list[int]:
@@ -110,7 +125,7 @@ class Index:
                 if block in open_blocks:
                     for k, x in found:
                         sums[k] += x
-        return [k for k, x in sums.items() if x + self.items[k].rest >= RETRIEVE * self.items[k].own - 1e-9]
+        return [k for k, x in sums.items() if x + self.items[k].rest >= self.items[k].need - 1e-9]
 
     def matches(self, text: bytes) -> list[tuple[int, float, float, float, float]]:
         """(item_id, score, overlap, question_overlap, answer_overlap) of every verified item, by item.
@@ -133,11 +148,11 @@ class Index:
             for k in hits:
                 it = self.items[k]
                 score = sum([it.weights[w] for w in there & it.weights.keys()])
-                if score < RETRIEVE * it.own:
+                if score < it.need - 1e-9:
                     continue
                 seen = shingles(passage) if seen is None else seen
                 overlap, q, a = (len(s & seen) / len(s) for s in (it.all, it.question, it.answer))
-                if overlap >= OVERLAP and q >= PART_OVERLAP and a >= PART_OVERLAP and (k not in found or score > found[k][1]):
+                if overlap >= OVERLAP and (k not in found or score > found[k][1]):
                     found[k] = (it.item_id, score, overlap, q, a)
         return [found[k] for k in sorted(found)]
 
@@ -156,10 +171,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX
     """Rows (doc_id, item_id, score, overlap, question_overlap, answer_overlap): a document holds a test item.
 
     Every passage of every whole text is a BM25 query against the items; all
-    that reach three fifths of an item's own score are retrieved and verified: four
-    fifths of the item's five-word shingles, and two fifths of those of its
-    first two thirds (the question) and of its last third (the answer), occur
-    in the passage. ``score`` is the best passage's.
+    that reach the least score that four fifths of an item's five-word shingles
+    leave are retrieved and verified: so many of its shingles occur in the
+    passage. The overlaps of its first two thirds (the question) and its last
+    third (the answer) are reported. ``score`` is the best passage's.
 
     Null texts hold nothing; null items and items of fewer than five words
     match nothing. Repeated documents give their rows each time, equal items

@@ -176,3 +176,18 @@ def test_block_max_prunes_but_finds():
     for i, t in items:
         noise = " ".join(rng.choice(words) for _ in range(rng.randint(0, 300)))
         assert i in {m[0] for m in index.matches(f"{noise} {t.upper()}, {noise}".encode())}
+
+
+def test_a_changed_word_hides_no_item_at_any_place(spark):
+    items = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select("item_id", "text").collect()]
+    index = decontaminate.Index.build(items)
+    tried = missed = 0
+    for i, t in items:
+        words = decontaminate.words_of(t.encode())
+        own = decontaminate.shingles(words)
+        for p in range(len(words)):
+            changed = [*words[:p], b"zzqx", *words[p + 1 :]]
+            if len(own & decontaminate.shingles(changed)) >= 0.8 * len(own):
+                tried += 1
+                missed += i not in {m[0] for m in index.matches(b" ".join(changed))}
+    assert tried > 5000 and missed == 0, (tried, missed)
