@@ -76,6 +76,14 @@ def test_features_are_finite_for_any_text():
         assert len(f) == len(quality._NAMES) and np.isfinite(f).all()
 
 
+def test_top_word_counts_every_word_of_any_length():
+    at = quality._NAMES.index("top_word")
+    for n in (20, 100, 5000):
+        # The common word stands only where a stride from the first word on does not look.
+        words = [f"w{i}" if i % 2 == 0 else "same" for i in range(n)]
+        assert quality.features(" ".join(words).encode())[at] == 0.5
+
+
 def test_identity_terms_do_not_move_scores():
     """Toxic texts mention a group more often; with the penalty the term's weight all but goes."""
     rng = np.random.default_rng(1)
