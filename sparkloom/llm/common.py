@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    return at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a folder of our own is taken.
-    """
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="sparkloom-checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The rows as a compressed table in the shared folder, and what deletes it once no result reads it any more."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/sparkloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+
+    def drop() -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(at), drop
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:

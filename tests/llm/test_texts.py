@@ -1,10 +1,12 @@
 """Personal data, perspectives, repeats and decontamination against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import decontaminate, perspectives, pii, repeats
@@ -99,21 +101,50 @@ def repeat_texts(seed):
             a = rng.randint(0, len(p) // 3)
             t += " " + p[a : a + rng.randint(300, 560)] + " " + prose(rng.randint(0, 60))
         texts.append(t)
+    # Passages of 51 words, under 400 bytes, between other words, at ends, and glued to a word.
+    few = " ".join(rng.choice("abcdef") * rng.randint(3, 8) for _ in range(51))
+    texts += [f"{prose(20)} {few} {prose(30)}", f"{few}\n{prose(30)}", f"{prose(30)}\t{few}", few, f"{prose(9)} x{few}", f"{prose(9)} {few}y {prose(3)}"]
+    texts += [f"{few[60:200]} {prose(4)} {few} {prose(k)}" for k in range(12)]
     return [*texts, "ab" * 700, "ab" * 300 + "c" + "ab" * 400, "x" * 5000, "x" * 399, "x" * 400, "Of " * 300, "", None, texts[3], texts[3], texts[5][:500] + "!" + texts[5][500:]]
 
 
-@pytest.mark.parametrize("options", [{}, {"index_bytes": 5000}, {"together": 1}])
+def brute_passages(texts, n=50):
+    """Strings of 50 whole words, of 256 to 399 bytes, that occur as whole words twice; with the 400-byte strings."""
+    long = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    found, count = [], Counter()
+    for k, t in enumerate(texts):
+        words = list(re.finditer(rb"[^\x20\x09-\x0D]+", t))
+        for a, b in zip(words, words[n - 1 :]):
+            if 256 <= b.end() - a.start() < 400:
+                found.append((k, a.start(), b.end()))
+                count[t[a.start() : b.end()]] += 1
+    out = []
+    for k, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if long[t[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        for j, a, b in found:
+            if j == k and count[t[a:b]] > 1:
+                gone[a:b] = b"\1" * (b - a)
+        out.append((sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1])), sum(gone)))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"per_task": 7}, {"together": 1}, {"together": 3}])
 def test_repeats_against_brute_force(spark, options):
-    texts = repeat_texts(len(options))
+    texts = repeat_texts(sum(options.values()))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, **options).collect()}
-    assert got == dict(enumerate(brute_repeats([(t or "").encode() for t in texts])))
+    raw = [(t or "").encode() for t in texts]
+    assert got == {i: (*a, *b) for i, (a, b) in enumerate(zip(brute_repeats(raw), brute_passages(raw)))}
 
 
 def test_repeats_on_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
-    want = dict(zip([r[0] for r in rows], brute_repeats([(r[1] or "").encode() for r in rows])))
+    raw = [(r[1] or "").encode() for r in rows]
+    want = {r[0]: (*a, *b) for r, a, b in zip(rows, brute_repeats(raw), brute_passages(raw))}
     assert {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(docs).collect()} == want
 
 
@@ -123,19 +154,24 @@ def test_repeats_hard_and_empty(hard, nothing):
 
 
 def test_run_index_matching_statistics():
-    texts = [b"abracadabra", b"cadabrax", b"zzz"]
-    index = repeats.RunIndex(texts, 16)
+    rng = random.Random(3)
+    rows = [(g, bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))), bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 9)))) for g in range(3) for _ in range(25)]
+    rows = sorted(set(rows))
+    copies = np.array([2 if i % 17 == 0 else 1 for i in range(len(rows))])
+    pad = lambda x, n: [*x, *[256] * (n - len(x))]
+    left = np.array([pad(r[1][::-1], 9) for r in rows], np.uint16)
+    right = np.array([pad(r[2], 9) for r in rows], np.uint16)
+    index = repeats.RunIndex(np.array([r[0] for r in rows]), left, right, copies)
     got = index.matching_statistics()
-    joined = "".join(t.decode() + chr(300 + i) for i, t in enumerate(texts))
-    for i in range(len(joined)):
-        best = 0
-        for j in range(len(joined)):
-            k = 0
-            while i != j and max(i, j) + k < len(joined) and joined[i + k] == joined[j + k]:
-                k += 1
-            best = max(best, k)
-        assert got[i] == best
-    assert index.runs < len(joined)
+    for i, (g, back, on) in enumerate(rows):
+        for a in range(len(back) + 1):
+            own = back[len(back) - a :] + on
+            best = len(own) if copies[i] > 1 else 0
+            for j, (h, b, o) in enumerate(rows):
+                if i != j and g == h and a <= len(b):
+                    best = max(best, len(os.path.commonprefix([own, b[len(b) - a :] + o])))
+            assert got[i, a] == best
+    assert index.runs < left.size
 
 
 def brute_leaks(docs, items):
