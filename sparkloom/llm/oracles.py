@@ -53,31 +53,33 @@ spans AS ({" UNION ALL ".join(parts)}),
 found AS (
   SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) AS spans,
          coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) FILTER (ord < 4), '') AS base,
-         count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+         count(*) AS n_spans, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
          count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone
   FROM spans GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_spans, 0) AS n_spans
 FROM d LEFT JOIN found USING (doc_id)
 """
 
 OP5 = r"""
 WITH said AS (
-  SELECT conv_id, coalesce(floor(turn / 64), -1)::BIGINT AS segment, coalesce(turn, -1) AS turn,
-         coalesce(nullif(trim(role), ''), 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  SELECT conv_id, coalesce(nullif(trim(role), ''), 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, turn
   FROM conversations),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS nth FROM said),
 people AS (SELECT DISTINCT conv_id, role AS participant FROM said WHERE role <> 'system'),
 lines AS (
-  SELECT s.conv_id, participant, segment, turn, role, text, role = participant AS own,
+  SELECT s.conv_id, participant, nth // 64 AS segment, nth, role = participant AS own,
          '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head,
          text || '<|im_end|>' || chr(10) AS body
-  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM ranked s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
-  SELECT *, (sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, segment ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))::BIGINT AS e
+  SELECT *, (sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, segment ORDER BY nth ROWS UNBOUNDED PRECEDING))::BIGINT AS e
   FROM lines)
 SELECT conv_id, participant, segment, count(*) AS n_messages, count(*) FILTER (own) AS n_own,
-       string_agg(head || body, '' ORDER BY turn, role, text) AS rendered,
-       coalesce(string_agg((e - length(body)) || ':' || e, ',' ORDER BY turn, role, text) FILTER (own), '') AS mask,
+       string_agg(head || body, '' ORDER BY nth) AS rendered,
+       coalesce(string_agg((e - length(body)) || ':' || e, ',' ORDER BY nth) FILTER (own), '') AS mask,
        coalesce(sum(length(body)) FILTER (own), 0)::BIGINT AS n_masked
 FROM placed GROUP BY conv_id, participant, segment
 """

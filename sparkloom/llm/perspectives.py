@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # The markers of the format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Turns that one row holds; a longer dialogue is several rows.
@@ -22,38 +24,67 @@ def _safe(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+#: What tells a conversation; the key is not null, so that joins and groups share a partitioning.
+_CONV = ("conv_key", "conv_none")
+
+
+def _ranked(said: DataFrame) -> DataFrame:
+    """(mid, conv, nth): the place from 0 of each message in its conversation, by turn, role and digest of the text.
+
+    Ranges of all messages in order are numbered apart and moved on by what
+    earlier ranges hold of the same conversation, so no task sees a
+    conversation whole. Texts stay behind.
+    """
+    parts = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["turn", "role", "digest", "mid"]
+    narrow = said.select(*_CONV, "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"), "mid")
+    # Written out: ranges are sampled, and would differ if they were made twice.
+    ranged = materialize(narrow.repartitionByRange(parts, *_CONV, *order).withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy(*_CONV, "range").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*_CONV).orderBy("range")) - F.col("n")).drop("n")
+    nth = F.row_number().over(Window.partitionBy(*_CONV, "range").orderBy(*order))
+    return ranged.withColumn("here", nth).join(before, [*_CONV, "range"]).select(
+        "mid", *_CONV, (F.col("before") + F.col("here") - 1).alias("nth")
+    )
+
+
 def rotate(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
     """For every participant, the dialogue with that speaker as the assistant.
 
     Rows (conv_id, participant, segment, n_messages, n_own, rendered, mask,
-    n_masked). Messages come in the order of turn, then role and text. The
-    participant's messages are headed ``assistant``, the system's ``system``,
-    all others ``user name=<role>``. ``mask`` lists the spans start:end (code
-    points in ``rendered``, end exclusive) that are learnt: the participant's
-    texts with their closing marker. A segment holds the messages of ``turns``
-    successive turn numbers, so a row's size is bounded however long a
-    conversation is; a participant without a message there still gets it, all
-    context.
+    n_masked). Messages come in the order of turn, then role and the text's
+    MD5. The participant's messages are headed ``assistant``, the system's
+    ``system``, all others ``user name=<role>``. ``mask`` lists the spans
+    start:end (code points in ``rendered``, end exclusive) that are learnt: the
+    participant's texts with their closing marker. A segment holds ``turns``
+    successive messages, whatever their turn numbers, so no row holds more
+    however long a conversation is; a participant without a message there
+    still gets it, all context.
 
     A null text counts as empty, a null or blank role as ``unknown``; null
-    turns come first, in segment -1; null conv_ids are one conversation.
-    Markers inside texts are broken up. Repeated messages are kept. A
-    conversation in which only the system speaks gives no rows, an empty table
-    none. Extra columns are not read.
+    turns come first; null conv_ids are one conversation. Markers inside texts
+    are broken up. Repeated messages are kept. A conversation in which only the
+    system speaks gives no rows, an empty table none. Extra columns are not read.
     """
-    said = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.coalesce(F.floor(F.col("turn") / turns), F.lit(-1)).cast("long").alias("segment"),
-        F.struct(
-            F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), _role(F.col("role")).alias("role"), _safe(F.col("text")).alias("text")
-        ).alias("m"),
+    said = materialize(
+        conversations.select(
+            F.monotonically_increasing_id().alias("mid"),
+            F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_key"),
+            F.col("conv_id").isNull().alias("conv_none"),
+            F.col("turn").cast("long").alias("turn"),
+            _role(F.col("role")).alias("role"),
+            _safe(F.col("text")).alias("text"),
+        )
     )
-    participants = (
-        said.select("conv_id", F.col("m.role").alias("participant")).where(F.col("participant") != SYSTEM).distinct()
-        .select(F.col("conv_id").alias("of"), "participant")
+    placed = materialize(_ranked(said).select("mid", *_CONV, "nth", F.floor(F.col("nth") / turns).alias("segment")))
+    participants = said.select(*_CONV, F.col("role").alias("participant")).where(F.col("participant") != SYSTEM).distinct()
+    views = placed.select(*_CONV, "segment").distinct().join(participants, list(_CONV))
+    segments = (
+        said.select("mid", "role", "text").join(placed, "mid")
+        .groupBy(*_CONV, "segment")
+        .agg(F.array_sort(F.collect_list(F.struct("nth", "role", "text"))).alias("messages"))
     )
-    segments = said.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list("m")).alias("messages"))
-    seen = segments.join(participants, F.col("conv_id").eqNullSafe(F.col("of")))
+    seen = segments.join(views, [*_CONV, "segment"]).withColumn("conv_id", F.when(~F.col("conv_none"), F.col("conv_key")))
 
     own = F.col("participant")
     lines = F.transform(
