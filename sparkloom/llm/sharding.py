@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARDS = 24
-#: Partial partitions that one task combines.
-PER_TASK = 16_384
+#: Partial partitions that one task combines: the width of the tree, part of the method.
+WIDTH = 16_384
 #: Rows that one task numbers.
 PER_SLOT_BUCKET = 50_000
 
@@ -73,22 +73,22 @@ def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(next_part=place[row, pdf["part"]])[["tuple", "part", "upper", "next_part", "bytes"]]
 
 
-def assign_groups(spark: SparkSession, units: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+def assign_groups(spark: SparkSession, units: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, cut, shard) of indivisible ``units`` (key, cut, bytes).
 
     Differencing is a tree of combinations, so it is done level by level: each
-    task combines up to about ``per_task`` units into one partial partition, the next
+    task combines up to about ``width`` units into one partial partition, the next
     level combines those, until one is left. No task or driver sees more.
     """
-    tuples = max(1, -(-units.count() // per_task))
+    tuples = max(1, -(-units.count() // width))
     placed = materialize(
         units.withColumn("tuple", F.pmod(F.xxhash64("key", "cut"), F.lit(tuples)))
         .groupBy("tuple")
-        .applyInPandas(_units_to_parts, "tuple long, key binary, cut int, bytes long, part int")
+        .applyInPandas(_units_to_parts, "tuple long, key binary, cut long, bytes long, part int")
     )
     now = placed
     while tuples > 1:
-        tuples = -(-tuples // per_task)
+        tuples = -(-tuples // width)
         sums = now.groupBy("tuple", "part").agg(F.sum("bytes").alias("bytes"))
         moved = materialize(
             sums.withColumn("upper", F.pmod("tuple", F.lit(tuples)))
@@ -101,14 +101,14 @@ def assign_groups(spark: SparkSession, units: DataFrame, per_task: int = PER_TAS
     return now.select("key", "cut", F.col("part").alias("shard"))
 
 
-def shard(docs: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+def shard(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law ``bytes``: shards get nearly equal bytes, a document counting its UTF-8
-    bytes plus 8. Documents of equal text go to one shard, unless together they
-    exceed a whole shard's fair share; such a group (fewer than ``SHARDS`` can
-    exist) is cut into parts of at most a quarter of it. Slots run from 0 in each
-    shard without gaps.
+    bytes plus 8. Documents of equal text are one group and go to one shard. A
+    group of more bytes than a shard's fair share can't be balanced so: its
+    documents count as groups of their own (fewer than ``SHARDS`` such groups
+    can exist). Slots run from 0 in each shard without gaps.
 
     Null text has no bytes and CRC 0 and is a group apart from empty text.
     Repeated rows, ties and null doc_ids are documents like any other. An empty
@@ -129,15 +129,12 @@ def shard(docs: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     fair = (total[0] or 0) / SHARDS
     # At most SHARDS - 1 groups exceed a fair share: the list has a proven bound.
     large = [r for r in groups.where(F.col("bytes") > fair).collect()] if total[1] else []
-    # A part is no larger than a shard's share of the units that one task combines: what no task can level out, no later one can.
-    most = max(1.0, min(fair / 4, fair * per_task / max(1, total[1])))
-    cuts = spark.createDataFrame([(bytes(r["key"]), int(-(-r["bytes"] // most))) for r in large], "key binary, cuts int")
+    cuts = spark.createDataFrame([(bytes(r["key"]), True) for r in large], "key binary, parted boolean")
     keyed = rows.join(F.broadcast(cuts), "key", "left").select(
-        "uid", "doc_id", "size", "text_crc32", "key",
-        F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("cuts"))).cast("int").alias("cut"),
+        "uid", "doc_id", "size", "text_crc32", "key", F.when(F.col("parted"), F.col("uid")).otherwise(-1).alias("cut"),
     )
     units = keyed.groupBy("key", "cut").agg(F.sum("size").alias("bytes"))
-    placed = materialize(assign_groups(spark, units, per_task))
+    placed = materialize(assign_groups(spark, units))
     dealt = materialize(keyed.join(placed, ["key", "cut"]).drop("key", "cut"))
     # Slots: numbered within (shard, bucket), then moved on by what earlier buckets of the shard hold.
     buckets = max(1, rows.count() // (SHARDS * PER_SLOT_BUCKET) + 1)
