@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
+from math import fsum, log
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +17,11 @@ from .fitting import best_cut, descend, labelled, remainder
 
 #: Labelled rows of each class that a fit gathers.
 PER_CLASS = 2500
-#: Words that a model has weights for, most frequent first.
-VOCABULARY = 60_000
 #: Weight of the squared score change when identity terms are swapped.
 SWAP_PENALTY = 4.0
-#: Standard deviations by which a word's counts in the classes must differ; chance words would add up in long texts.
-SIGNIFICANT = 7.0
-# Terms that name groups; a neutral mention must not count. By kind: one is swapped for another of its kind.
+#: Features that differ between the classes as much as the kept ones by chance alone, at most about so many.
+CHANCE = 5.0
+# Terms that name groups, in the corpus's four languages; a neutral mention must not count. By kind: one is swapped for another of its kind.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "transgender"),
     ("gay", "lesbian", "straight", "bisexual", "queer"),
@@ -29,10 +29,27 @@ IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("immigrant", "refugee", "foreigner", "native"),
     ("disabled", "blind", "deaf", "old", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("schwul", "lesbisch", "heterosexuell", "bisexuell"),
+    ("muslime", "christen", "juden", "hindus", "atheisten"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("behinderte", "blinde", "taube", "alte", "junge"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("homosexuel", "lesbienne", "hétérosexuel", "bisexuel"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "athées"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("handicapés", "aveugles", "sourds", "vieux", "jeunes"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("homosexual", "lesbiana", "heterosexual", "bisexual"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "ateos"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("discapacitados", "ciegos", "sordos", "viejos", "jóvenes"),
 )
 
 #: Lengths of the beginnings of words that are features beside whole words: an insult is inflected and compounded.
-STEMS = range(5, 9)
+STEMS = range(3, 9)
+#: Different words with one beginning are told apart up to so many.
+TIMES = 3
 #: How much a clean text called toxic counts against a toxic one missed.
 CLEAN_WEIGHT = 4.0
 #: Words whose features a Python worker remembers; when there are more it starts anew.
@@ -52,25 +69,38 @@ def features_of(word: str) -> list[str]:
 
 @dataclass
 class Model:
+    """``weights`` of features; a feature with a number behind its star stands for so many different words."""
+
     weights: dict[str, float]
     bias: float
     known: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+    upto: dict[str, tuple[float, ...]] = field(default_factory=dict, repr=False)
+
+    def __post_init__(self) -> None:
+        for name in {x.rstrip("23") if "*" in x else x for x in self.weights}:
+            steps = [self.weights.get(x, 0.0) for x in _times(name)]
+            self.upto[name] = (0.0, *accumulate(steps))
 
     def score(self, words: set[str]) -> float:
-        """Probability for a text of these words; each feature counts once."""
-        known, found = self.known, set()
+        """Probability for a text of these words; each word counts once."""
+        known, counts = self.known, {}
         if len(known) > REMEMBERED:
             known.clear()
         for w in words:
             f = known.get(w)
             if f is None:
-                f = known[w] = tuple(x for x in features_of(w) if x in self.weights)
-            if f:
-                found.update(f)
-        raw = self.bias + sum([self.weights[x] for x in found])
+                f = known[w] = tuple(x for x in features_of(w) if x in self.upto)
+            for x in f:
+                counts[x] = counts.get(x, 0) + 1
+        raw = self.bias + fsum([self.upto[x][min(n, len(self.upto[x]) - 1)] for x, n in counts.items()])
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, raw)))))
 
 
+def _times(name: str) -> list[str]:
+    """A beginning as met in one, two, three different words; a word is one."""
+    return [name, *(f"{name}{n}" for n in range(2, TIMES + 1))] if name.endswith("*") else [name]
+
+
 def _swapped(words: set[str], turn: int) -> set[str]:
     """A sentence's words with each identity term swapped for another of its kind; where there is none, one is put in."""
     out, found = set(words), False
@@ -86,43 +116,61 @@ def _swapped(words: set[str], turn: int) -> set[str]:
     return out
 
 
-def _matrix(rows: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of every feature in ``index``, once a row."""
-    known: dict[str, tuple[int, ...]] = {}
-    ri, ci = [], []
-    for i, words in enumerate(rows):
-        here: set[int] = set()
-        for w in words:
-            f = known.get(w)
-            if f is None:
-                f = known[w] = tuple(index[x] for x in features_of(w) if x in index)
-            here.update(f)
-        ri.append(np.full(len(here), i, np.int32))
-        ci.append(np.fromiter(here, np.int32, len(here)))
-    return np.concatenate(ri), np.concatenate(ci)
-
-
-def _telling(rows: list[set[str]], y: np.ndarray, vocabulary: int) -> list[str]:
-    """Features whose counts in the classes differ by SIGNIFICANT standard deviations at least, commonest first."""
-    index: dict[str, int] = {}
-    of: dict[str, np.ndarray] = {}
-    both = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    for words, label in zip(rows, y.tolist()):
+class _Columns:
+    """Numbers of features. A feature's numbers for one, two, three words follow each other."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, int] = {}
+        self.of: dict[str, np.ndarray] = {}
+
+    def _first(self, name: str) -> int:
+        if name not in self.at:
+            self.at[name] = len(self.names)
+            self.names += _times(name)
+        return self.at[name]
+
+    def row(self, words: set[str]) -> np.ndarray:
+        """Columns of a text's features, each once."""
         for w in words:
-            if w not in of:
-                of[w] = np.array([index.setdefault(x, len(index)) for x in features_of(w)], np.int32)
-        here = np.unique(np.concatenate([of[w] for w in words])) if words else np.zeros(0, np.int32)
-        if len(index) > len(both[0]):
-            both = [np.concatenate([b, np.zeros(len(index) * 2 - len(b), np.int64)]) for b in both]
-        both[label][here] += 1
-    share = float(y.mean())
-    toxic, n = both[1][: len(index)], (both[0] + both[1])[: len(index)]
-    far = np.abs(toxic - share * n) >= SIGNIFICANT * np.sqrt(share * (1 - share) * np.maximum(n, 1))
-    names = list(index)
-    return [names[i] for i in sorted(np.flatnonzero(far).tolist(), key=lambda i: (-n[i], names[i]))[:vocabulary]]
+            if w not in self.of:
+                self.of[w] = np.array([self._first(x) for x in features_of(w)], np.int64)
+        if not words:
+            return np.zeros(0, np.int64)
+        first, n = np.unique(np.concatenate([self.of[w] for w in words]), return_counts=True)
+        starred = np.array([self.names[i].endswith("*") for i in first.tolist()])
+        more = [first[starred & (n >= t)] + t - 1 for t in range(2, TIMES + 1)]
+        return np.concatenate([first, *more])
+
 
+def _entries(rows: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and kept column of every entry; ``place`` is -1 for columns that are left out."""
+    ri = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    ci = place[np.concatenate([np.zeros(0, np.int64), *rows])]
+    return ri[ci >= 0], ci[ci >= 0]
 
-def fit(rows: list[set[str]], y: np.ndarray, vocabulary: int = VOCABULARY, penalty: float = SWAP_PENALTY) -> Model | None:
+
+def _telling(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Columns whose counts in the classes differ more than chance explains.
+
+    The chance of a feature's counts is bounded by that of a binomial tail
+    (Chernoff's bound); features too rare to differ at all aren't counted among those tried.
+    """
+    share = float(y.mean())
+    n = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=size)
+    k = np.bincount(np.concatenate([np.zeros(0, np.int64), *[r for r, label in zip(rows, y) if label]]), minlength=size)
+    p = k / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = n * (np.where(p > 0, p * np.log(p / share), 0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - share)), 0))
+    most = n * log(1 / min(share, 1 - share))
+    tried = np.sort(most)[::-1]
+    # As many are tried as could reach what so many tries ask for.
+    need = np.log(np.maximum(np.arange(1, len(tried) + 1) / CHANCE, 1.0))
+    asked = need[np.flatnonzero(tried >= need)[-1]] if len(tried) and (tried >= need).any() else 0.0
+    return np.flatnonzero((far >= asked) & (n > 1))
+
+
+def fit(rows: list[set[str]], y: np.ndarray, penalty: float = SWAP_PENALTY) -> Model | None:
     """Logistic regression on the words of a text, with the mean squared change of the
     raw score under identity swaps as a penalty. None if a class is missing.
 
@@ -131,21 +179,24 @@ def fit(rows: list[set[str]], y: np.ndarray, vocabulary: int = VOCABULARY, penal
     """
     if len(set(y.tolist())) < 2:
         return None
-    terms = [t for kind in IDENTITY_TERMS for t in kind]
-    index = {w: i for i, w in enumerate(dict.fromkeys([*terms, *_telling(rows, y, vocabulary)]))}
-    k, n = len(index), len(rows)
-    ri, ci = _matrix(rows, index)
+    columns = _Columns()
+    plain = [columns.row(ws) for ws in rows]
+    swapped = [columns.row(_swapped(ws, i)) for i, ws in enumerate(rows)]
+    terms = [columns._first(t) for kind in IDENTITY_TERMS for t in kind]
+    kept = np.array(list(dict.fromkeys([*terms, *_telling(plain, y, len(columns.names)).tolist()])))
+    place = np.full(len(columns.names), -1)
+    place[kept] = np.arange(len(kept))
+    k, n = len(kept), len(rows)
+    ri, ci = _entries(plain, place)
     toxic = y[ri] == 1
     p = np.bincount(ci[toxic], minlength=k) + 1.0
     q = np.bincount(ci[~toxic], minlength=k) + 1.0
     ratio = np.log(p / (y.sum() + 2)) - np.log(q / ((1 - y).sum() + 2))
     ratio[: len(terms)] = np.where(ratio[: len(terms)] == 0, 1.0, ratio[: len(terms)])
-    # What a swap moves: the features of the words that come, less those of the words that go.
-    changed = [_swapped(ws, i) for i, ws in enumerate(rows)]
-    si, sj = _matrix([a - b for a, b in zip(changed, rows)], index)
-    di, dj = _matrix([b - a for a, b in zip(changed, rows)], index)
-    ki, kj = np.concatenate([si, di]), np.concatenate([sj, dj])
-    sign = np.concatenate([np.ones(len(si)), -np.ones(len(di))])
+    # What a swap moves: the features that come, less those that go.
+    si, sj = _entries(swapped, place)
+    ki, kj = np.concatenate([si, ri]), np.concatenate([sj, ci])
+    sign = np.concatenate([np.ones(len(si)), -np.ones(len(ri))])
     balance = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, (1 - y).sum())))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -159,7 +210,7 @@ def fit(rows: list[set[str]], y: np.ndarray, vocabulary: int = VOCABULARY, penal
     w = descend(loss, np.zeros(k + 1), 60)
     v = w[:k] * ratio
     raw = np.bincount(ri, v[ci], minlength=n)
-    return Model({word: float(v[i]) for word, i in index.items() if abs(v[i]) > 1e-4}, -best_cut(raw, y, CLEAN_WEIGHT))
+    return Model({columns.names[c]: float(x) for c, x in zip(kept.tolist(), v) if abs(x) > 1e-4}, -best_cut(raw, y, CLEAN_WEIGHT))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
