@@ -20,18 +20,24 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, per_class: int) -> D
 
     The bound is on what a fit gathers, not on what is scored. The rows are
     those with the smallest hashes of their doc_ids, so the same at every run.
+    A doc_id with both labels is in neither class; of several documents with
+    one doc_id the text with the smallest hash counts.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias("label")).where(
-        F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder("doc_id") != 0)
+    usable = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias("label"))
+        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder("doc_id") != 0))
+        .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
     )
-    order = [F.xxhash64("doc_id"), "doc_id", "label"]
+    order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = usable.where("label = 0").orderBy(*order).limit(per_class).unionByName(
         usable.where("label = 1").orderBy(*order).limit(per_class)
     )
     # At most 2 * per_class short rows.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(
-        F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id"
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(
+        F.broadcast(chosen.select("doc_id", "label")), "doc_id"
     )
+    one = met.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"))
+    return one.select("doc_id", "label", "least.text")
 
 
 def best_cut(raw: np.ndarray, label: np.ndarray, negative_weight: float = 1.0) -> float:

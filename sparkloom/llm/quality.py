@@ -142,7 +142,13 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted good, with all columns of ``docs``, in one pass: no join."""
+    """The documents predicted good, with all columns of ``docs``, in one pass: no join.
+
+    Null text counts as empty and is scored like any text, however long. Equal
+    rows are kept or dropped alike; without labels of both classes all are
+    kept. An empty table gives no rows. Only ``text`` is read, other columns
+    pass through whatever their names.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
