@@ -26,8 +26,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,8 +40,8 @@ LENGTH = 400
 #: Words of a passage whose repeats are counted, and the least bytes it has.
 WORDS, SHORTEST = 50, 256
 GRAM = 32
-#: Slices that one task indexes, about.
-PER_TASK = 2000
+#: Slices that are indexed at a time, about; a task goes through its groups in such lots.
+PER_LOT = 2000
 #: Slices that are indexed together; a plan parameter that changes no result.
 TOGETHER = 128
 #: Parts of the distances from the anchor by which a crowded anchor is parted.
@@ -318,13 +318,34 @@ def _fetched(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.Re
 _MARK = "hash long, digest long, kind int, start int, end int"
 
 
-def _index_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates(["key", "part", "hash", "digest"]).sort_values(["key", "part", "hash", "digest"], ignore_index=True)
-    group = pdf.groupby(["key", "part"]).ngroup().to_numpy()
+def _index_lot(lot: pa.Table) -> pa.RecordBatch:
+    pdf = lot.to_pandas().drop_duplicates(["key", "part", "hash", "digest"], ignore_index=True)
+    group = pdf.groupby(["key", "part"], sort=False).ngroup().to_numpy()
     found = repeated(group, pdf["bytes"].tolist(), pdf["shape"].to_numpy(), pdf["n"].to_numpy())
     at = np.array([f[0] for f in found], int)
     rest = np.array([f[1:] for f in found], np.int32).reshape(len(found), 3)
-    return pd.DataFrame({"hash": pdf["hash"].to_numpy()[at], "digest": pdf["digest"].to_numpy()[at], "kind": rest[:, 0], "start": rest[:, 1], "end": rest[:, 2]})
+    columns = [pdf["hash"].to_numpy()[at], pdf["digest"].to_numpy()[at], rest[:, 0], rest[:, 1], rest[:, 2]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "digest", "kind", "start", "end"])
+
+
+def _index_batches(batches: Iterator[pa.RecordBatch], per_lot: int) -> Iterator[pa.RecordBatch]:
+    """Marks of a partition's groups, which follow each other and are small: a lot ends with the last whole group."""
+    held: pa.Table | None = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        if len(held) < per_lot:
+            continue
+        key, part = held["key"].to_numpy(), held["part"].to_numpy()
+        opens = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+        begin = 0
+        for at in opens.tolist():
+            if at - begin >= per_lot or (at == opens[-1] and at > begin):
+                yield _index_lot(held.slice(begin, at - begin))
+                begin = at
+        held = held.slice(begin)
+    if held is not None and len(held):
+        yield _index_lot(held)
 
 
 _STRINGS = f"string binary, n long, {_MARK}"
@@ -354,33 +375,47 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _cut(text: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str, int, int]:
+    """n_bytes, n_removed, n_spans, kept_sha256, n_passages and passage_bytes of a text with these marks."""
+    end = np.minimum(end, len(text))
+    whole = kind == 2
+    short = whole & (end - start < LENGTH)
+    if short.any():
+        # Slices that repeat whole but are short: the words in them.
+        a, b = long_words(text)
+        lo, hi = np.searchsorted(a, start[short]), np.searchsorted(b, end[short], "right")
+        within = np.unique(np.concatenate([np.arange(x, max(x, y)) for x, y in zip(lo, hi)]))
+        more = (a[within], b[within])
+    else:
+        more = (np.zeros(0, np.int64),) * 2
+
+    def covered(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(text) + 1
+        return np.cumsum(np.bincount(starts, minlength=n)[:-1] - np.bincount(ends, minlength=n)[:-1]) > 0
+
+    def runs(mask: np.ndarray) -> int:
+        return int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum())
+
+    long = ~short & (kind != 1)
+    gone = covered(start[long], end[long])
+    also = gone | covered(np.concatenate([start[kind == 1], more[0]]), np.concatenate([end[kind == 1], more[1]]))
+    return len(text), int(gone.sum()), runs(gone), hashlib.sha256(text[~gone].tobytes()).hexdigest(), runs(also), int(also.sum())
+
+
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         columns: list[list] = [[] for _ in range(6)]
-        for packed, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            text = np.frombuffer(unpack(packed), np.uint8)
-            edges = np.zeros((2, len(text) + 1), np.int32)
-            spans = []
-            words = None
-            for m in marks or ():
-                start, end = m["start"], min(m["end"], len(text))
-                if m["kind"] < 2 or end - start >= LENGTH:
-                    spans.append((m["kind"] % 2, start, end))
-                    continue
-                # A slice that repeats whole but is short: the words in it.
-                words = long_words(text) if words is None else words
-                spans += [(1, a, b) for a, b in zip(*words) if start <= a and b <= end]
-            for kind, start, end in spans:
-                edges[kind, start] += 1
-                edges[kind, end] -= 1
-            gone, also = np.cumsum(edges[:, :-1], axis=1) > 0
-            also = gone | also
-            row = (
-                len(text), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()),
-                hashlib.sha256(text[~gone].tobytes()).hexdigest(),
-                int((np.diff(also.astype(np.int8), prepend=0) == 1).sum()), int(also.sum()),
-            )
+        marks = batch.column(2)
+        flat = marks.flatten()
+        kind, start, end = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("kind", "start", "end"))
+        at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))])
+        for i, packed in enumerate(batch.column(1).to_pylist()):
+            text, here = unpack(packed), slice(at[i], at[i + 1])
+            if at[i] == at[i + 1]:
+                row = (len(text), 0, 0, hashlib.sha256(text).hexdigest(), 0, 0)
+            else:
+                row = _cut(np.frombuffer(text, np.uint8), kind[here], start[here], end[here])
             for c, v in zip(columns, row):
                 c.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -390,7 +425,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def marks(texts: DataFrame, packed: DataFrame, per_task: int = PER_TASK, together: int = TOGETHER) -> DataFrame:
+def marks(texts: DataFrame, packed: DataFrame, per_lot: int = PER_LOT, together: int = TOGETHER) -> DataFrame:
     """(uid, marks): per text the (start, end, kind) of what repeats, which may overlap; materialised.
 
     ``texts`` has (uid, text), ``packed`` the same texts compressed. ``uid`` is a
@@ -422,11 +457,10 @@ def marks(texts: DataFrame, packed: DataFrame, per_task: int = PER_TASK, togethe
     crowds = materialize(met.where("part >= 0").groupBy("key", "part").agg(F.count("*").alias("of")).where("of > 1"))
     parted = met.where("part >= 0").join(crowds, ["key", "part"])
     together_now = met.where("part < 0").unionByName(parted.where(F.col("of") <= together).drop("of"))
-    buckets = max(1, -(-alike.join(kinds, "hash", "left_semi").count() // per_task))
+    # Groups are small, so any partition of them is even; each lies together after the sort.
     indexed = (
-        together_now.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInPandas(_index_bucket, _MARK)
+        together_now.repartition("key", "part").sortWithinPartitions("key", "part")
+        .mapInArrow(lambda batches: _index_batches(batches, per_lot), _MARK)
     )
     strings = materialize(parted.where(F.col("of") > together).drop("of").mapInArrow(_strings, _STRINGS))
     often = materialize(strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string"))
@@ -454,7 +488,7 @@ def marks(texts: DataFrame, packed: DataFrame, per_task: int = PER_TASK, togethe
     return per
 
 
-def remove_repeats(docs: DataFrame, per_task: int = PER_TASK, together: int = TOGETHER) -> DataFrame:
+def remove_repeats(docs: DataFrame, per_lot: int = PER_LOT, together: int = TOGETHER) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes.
 
     Every byte of the UTF-8 text that a 400-byte string covers which also
@@ -475,7 +509,7 @@ def remove_repeats(docs: DataFrame, per_task: int = PER_TASK, together: int = TO
         F.unhex(F.md5(text.cast("binary"))).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")
     )
     packed = numbered.mapInArrow(_packed, "uid binary, doc_id long, packed binary")
-    per = marks(numbered.select("uid", "text"), packed.select("uid", "packed"), per_task, together)
+    per = marks(numbered.select("uid", "text"), packed.select("uid", "packed"), per_lot, together)
     return (
         packed.join(per, "uid", "left")
         .select("doc_id", "packed", "marks")

@@ -1,13 +1,15 @@
 """Classifiers by held-out accuracy; shards and packing by their laws."""
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from sparkloom.llm import packing, quality, sharding, toxicity
-from sparkloom.llm.fitting import remainder
+from sparkloom.llm.fitting import labelled, remainder
 
 from .conftest import HARD
 
@@ -23,8 +25,7 @@ def tables(spark):
     return [spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels")]
 
 
-# A tenth of the toxic rows here bear signs too rare to be learnt from 350 of them; larger tables give all (README).
-@pytest.mark.parametrize("module, label, threshold, least", [(quality, "quality", 0.3, (0.97, 0.97)), (toxicity, "toxic", 0.5, (0.98, 0.85))])
+@pytest.mark.parametrize("module, label, threshold, least", [(quality, "quality", 0.3, (0.97, 0.97)), (toxicity, "toxic", 0.5, (0.98, 0.9))])
 def test_held_out_accuracy(tables, module, label, threshold, least):
     docs, labels = tables
     got = module.score(docs, labels).toPandas()
@@ -54,6 +55,34 @@ def test_labels_of_held_out_rows_are_not_used(tables):
     assert np.array_equal(a.weights, b.weights) and a.cut == b.cut
 
 
+def test_scores_from_a_fixed_model(spark):
+    """Scores of the trained model, recomputed text by text without Spark."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    for i, t in texts.items():
+        words = {w for w in re.findall(r"\w+", (t or "").lower())}
+        starts = Counter(w[:n] + "*" for w in words for n in range(3, 9) if len(w) > n)
+        raw = model.bias + sum(model.weights.get(w, 0) for w in words)
+        raw += sum(model.weights.get(f"{x}{k if k > 1 else ''}", 0) for x, n in starts.items() for k in range(1, min(n, 3) + 1))
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-9
+    ranker = quality.train(docs, labels)
+    scored = {r["doc_id"]: r["score"] for r in quality.score(docs, labels).collect()}
+    for i, t in texts.items():
+        z = np.clip((np.array(quality.features((t or "").encode())) - ranker.mean) / ranker.scale, -8, 8)
+        raw = ranker.slope * (float(z @ ranker.weights) - ranker.cut) + np.log(3 / 7)
+        assert abs(scored[i] - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-9
+
+
+def test_a_doc_id_with_both_labels_is_not_learnt_from(spark):
+    ids = [i for i in range(1, 40) if not held_out(i)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(ids[0], "a second text")], "doc_id long, text string")
+    marked = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[1], 1 - ids[1] % 2), (ids[2], ids[2] % 2)], "doc_id long, quality int")
+    got = Counter(r["doc_id"] for r in labelled(docs, marked, "quality", 100).collect())
+    assert got == {i: 1 for i in ids if i != ids[1]}
+
+
 def test_quality_stage(hard, nothing, labels):
     kept = quality.keep_good(hard, labels)
     assert kept.columns == hard.columns and kept.count() <= len(HARD)
@@ -104,9 +133,10 @@ def test_identity_terms_do_not_move_scores():
     assert np.mean(right) > 0.97
 
 
-@pytest.mark.parametrize("per_task", [4096, 3])
-def test_shard_laws(hard, nothing, per_task):
-    got = sharding.shard(hard, per_task).toPandas()
+@pytest.mark.parametrize("width", [4096, 3])
+def test_shard_laws(hard, nothing, width, monkeypatch):
+    monkeypatch.setattr(sharding.assign_groups, "__defaults__", (width,))
+    got = sharding.shard(hard).toPandas()
     assert len(got) == len(HARD) and got["shard"].between(0, 23).all() and (got["law"] == "bytes").all()
     for _, slots in got.groupby("shard")["slot"]:
         assert sorted(slots) == list(range(len(slots)))
@@ -115,6 +145,19 @@ def test_shard_laws(hard, nothing, per_task):
     assert sharding.shard(nothing).count() == 0
 
 
+@pytest.mark.parametrize("width", [16_384, 50, 7])
+def test_no_width_parts_a_group(spark, width, monkeypatch):
+    """Groups under a fair share stay whole at any width; which are parted depends on the rows alone."""
+    monkeypatch.setattr(sharding.assign_groups, "__defaults__", (width,))
+    rows = [(i, f"group {i % 97} " * 30) for i in range(2000)] + [(i, "copy" * 60) for i in range(2000, 3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().merge(pd.DataFrame(rows, columns=["doc_id", "text"]), on="doc_id")
+    shards = got.groupby("text")["shard"].nunique()
+    assert shards["copy" * 60] == 24 and shards.drop("copy" * 60).max() == 1
+    if width > 50:
+        sums = got.groupby("shard")["size"].sum()
+        assert sums.max() <= 1.01 * sums.mean()
+
+
 def test_shards_are_balanced_and_keep_groups(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = sharding.shard(docs).toPandas().merge(docs.toPandas(), on="doc_id")
@@ -126,7 +169,7 @@ def test_shards_are_balanced_and_keep_groups(spark):
 def test_a_group_over_a_fair_share_is_cut(spark):
     docs = spark.createDataFrame([(i, "copy" * 50 if i < 700 else f"text {i} " * 20) for i in range(2000)], "doc_id long, text string")
     sums = sharding.shard(docs).toPandas().groupby("shard")["size"].sum()
-    assert len(sums) == 24 and sums.max() <= 1.2 * sums.mean()
+    assert len(sums) == 24 and sums.max() <= 1.01 * sums.mean()
 
 
 def test_differencing_beats_greedy_by_hand():

@@ -4,6 +4,8 @@ import hashlib
 import os
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -49,6 +51,16 @@ def test_base_spans_against_brute_force(spark, hard):
     assert pii.find_personal_data(hard).count() == len(HARD)
 
 
+def test_many_spans_in_one_text(spark):
+    texts = ["a@b.c " * 100_000, "1.2.3.4 +1 339 555 8607 x" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(df)).collect()}
+    assert time.monotonic() - began < 30
+    for i, t in enumerate(texts):
+        assert got[i]["spans"].split(",") == brute(t) and got[i]["n_spans"] == len(brute(t))
+
+
 def test_added_kinds_need_checksum_or_context(spark):
     texts = ["IBAN GB82 WEST 1234 5698 7654 32 ok", "GB82WEST12345698765433", "phone: (212) 555-0100", "(212) 555-0100", "tel +1 (212) 555-0100"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -64,17 +76,30 @@ def test_perspectives_by_hand(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, None, " ", "x"), (3, 70, "ann", "late"), (3, 1, "bob", "b"), (3, 1, "bob", "b")]
     df = spark.createDataFrame([(*r, 5, "k") for r in rows], "conv_id long, turn long, role string, text string, segment int, participant string")
     got = {(r["conv_id"], r["participant"], r["segment"]): r for r in perspectives.rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", -1), (3, "ann", 0), (3, "ann", 1), (3, "bob", 0), (3, "bob", 1)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "ann", 0), (3, "bob", 0)}
     bob = got[1, "bob", 0]
     assert bob["rendered"] == (
         "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n"
     )
     s, e = map(int, bob["mask"].split(":"))
     assert bob["rendered"][s:e] == "yo<|im_end|>\n" and bob["n_masked"] == e - s
-    assert got[1, "ann", 0]["n_own"] == 2 and got[3, "bob", 0]["n_messages"] == 2 and got[3, "bob", 1]["n_own"] == 0
+    assert got[1, "ann", 0]["n_own"] == 2 and got[3, "bob", 0]["n_messages"] == 3 and got[3, "bob", 0]["n_own"] == 2
     assert perspectives.rotate(df.limit(0)).count() == 0
 
 
+def test_perspectives_bound_their_rows(spark):
+    """Null, equal and repeated turns: no row holds over 64 messages, none is lost, a very long text stays whole."""
+    rows = [(1, None, "ann", f"m{i}") for i in range(150)] + [(2, 5, "bob", "same")] * 130 + [(None, 1, None, "x" * 300_000), (None, None, "ann", None)]
+    df = spark.createDataFrame([(*r, 1, 2, "z") for r in rows], "conv_id long, turn long, role string, text string, nth int, mid int, conv_key string").repartition(3)
+    got = perspectives.rotate(df).collect()
+    assert max(r["n_messages"] for r in got) <= 64
+    assert Counter((r["conv_id"], r["participant"]) for r in got) == {(1, "ann"): 3, (2, "bob"): 3, (None, "ann"): 1, (None, "unknown"): 1}
+    assert sum(r["n_messages"] for r in got if r["conv_id"] == 1) == 150 and sum(r["n_own"] for r in got if r["conv_id"] == 2) == 130
+    said = "".join(r["rendered"] for r in sorted(got, key=lambda r: r["segment"]) if r["conv_id"] == 1)
+    assert sorted(re.findall(r"assistant\n(m\d+)<", said)) == sorted(f"m{i}" for i in range(150))
+    assert max(r["n_masked"] for r in got) == 300_000 + len(perspectives.CLOSE)
+
+
 def brute_repeats(texts, n=400):
     count = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
@@ -131,7 +156,7 @@ def brute_passages(texts, n=50):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"per_task": 7}, {"together": 1}, {"together": 3}])
+@pytest.mark.parametrize("options", [{}, {"per_lot": 7}, {"together": 1}, {"together": 3}])
 def test_repeats_against_brute_force(spark, options):
     texts = repeat_texts(sum(options.values()))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
@@ -177,20 +202,45 @@ def test_run_index_matching_statistics():
 def brute_leaks(docs, items):
     found = set()
     for d, t in docs:
-        seen = decontaminate.shingles(decontaminate.words_of((t or "").encode()))
+        words = decontaminate.words_of((t or "").encode())
+        seen = {n: decontaminate.shingles(words, n) for n in range(1, 6)}
         for i, x in items:
-            own = decontaminate.shingles(decontaminate.words_of((x or "").encode()))
-            if own and len(own & seen) >= 0.8 * len(own):
+            asked = decontaminate.words_of((x or "").encode())
+            width = min(5, len(asked))
+            own = decontaminate.shingles(asked, width) if asked else set()
+            if own and len(own & seen[width]) >= 0.8 * len(own):
                 found.add((d, i))
     return found
 
 
-@pytest.mark.parametrize("index_bytes", [32 << 20, 700])
-def test_decontamination_against_brute_force(spark, sf_dir, index_bytes):
+def test_one_index_or_many_give_equal_scores(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "benchmark"))
+    long = spark.createDataFrame([(10_000 + i, " ".join(f"w{j % (97 + i)}" for j in range(900))) for i in range(3)], "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.contaminated(docs, items.unionByName(long), m).collect())) for m in (1 << 30, 3_000_000))
+    assert one and one == many
+
+
+def test_short_items_and_memory(spark):
+    items = spark.createDataFrame([(1, "Red fox!"), (2, "fox"), (3, "one two three four"), (4, "?!")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a red, FOX ran"), (2, "fox red"), (3, "one two three five four"), (4, "x one two three four y")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1), (1, 2), (2, 2), (4, 3)}
+    texts = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select("item_id", "text").collect()]
+    texts += [(10_000 + i, " ".join(f"word{i}x{j}" for j in range(300))) for i in range(200)]
+    tracemalloc.start()
+    index = decontaminate.Index.build(texts)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(index.items) == len(texts)
+    assert taken <= sum(decontaminate.memory_of(len(t.split()), len(t.encode())) for _, t in texts)
+
+
+@pytest.mark.parametrize("index_memory", [256 << 20, 700_000])
+def test_decontamination_against_brute_force(spark, sf_dir, index_memory):
     docs, items = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items, index_bytes).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items, index_memory).collect()}
     assert got == brute_leaks([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], [(r[0], r[1]) for r in items.select("item_id", "text").collect()])
-    kept = {r[0] for r in decontaminate.keep_clean(docs, items, index_bytes).select("doc_id").collect()}
+    kept = {r[0] for r in decontaminate.keep_clean(docs, items, index_memory).select("doc_id").collect()}
     assert kept == {r[0] for r in docs.select("doc_id").collect()} - {d for d, _ in got}
 
 
@@ -198,10 +248,10 @@ def test_decontamination_edges(spark, hard, nothing):
     items = spark.createDataFrame([(1, None), (2, "one"), (3, HARD[9][1]), (3, HARD[9][1]), (None, HARD[9][1]), (4, "")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(hard, items).collect()}
     # Document 9 has one word changed, which takes five of nineteen shingles.
-    assert got == {(d, i) for d in (7, 8, 14) for i in (3, None)}
+    assert got == {(d, i) for d in (7, 8, 14) for i in (3, None)} | {(4, 2)}
     assert decontaminate.contaminated(nothing, items).count() == 0 and decontaminate.contaminated(hard, items.limit(0)).count() == 0
     kept = decontaminate.keep_clean(hard, items)
-    assert kept.columns == hard.columns and kept.count() == len(HARD) - 3
+    assert kept.columns == hard.columns and kept.count() == len(HARD) - 4
 
 
 def test_block_max_prunes_but_finds():
