@@ -31,7 +31,7 @@ def casefold_key(text: pd.Series) -> pd.Series:
 
 def normalize_text(c: Column) -> Column:
     """Without byte order marks, white space single and trimmed; null is empty. For text in normal form C."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "﻿", ""), SPACE, " "))
+    return F.trim(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\ufeff"), F.lit("")), SPACE, " "))
 
 
 def normalize_word(c: Column) -> Column:
@@ -62,17 +62,19 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
-def masked_words(c: Column) -> Column:
-    """Lower-case words with numbers masked."""
-    return F.transform(words(normalize_text(c)), lambda w: F.when(w.rlike(r"^\p{Nd}+$"), "<num>").otherwise(F.lower(w)))
+def masked_text(c: Column) -> Column:
+    """Lower-case words with numbers masked, one space between."""
+    bare = F.replace(F.coalesce(c, F.lit("")), F.lit("\ufeff"), F.lit(""))
+    spaced = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
+    return F.lower(F.regexp_replace(spaced, r"(?<![^ ])\p{Nd}+(?![^ ])", "<num>"))
 
 
 def template_key(c: Column, names: Column | None = None) -> Column:
     """SHA-1 of the words with names (an array of lower-case words) and numbers masked."""
-    masked = masked_words(c)
+    masked = masked_text(c)
     if names is not None:
-        masked = F.transform(masked, lambda w: F.when(F.array_contains(names, w), "<name>").otherwise(w))
-    return F.sha1(F.array_join(masked, " "))
+        masked = F.array_join(F.transform(F.split(masked, " "), lambda w: F.when(F.array_contains(names, w), "<name>").otherwise(w)), " ")
+    return F.sha1(masked)
 
 
 def numbers(c: Column) -> Column:
@@ -110,7 +112,8 @@ def loose_words(c: Column) -> Column:
 
 def variant_key(c: Column) -> Column:
     """A text with case, spacing, punctuation and numbers set aside, to tell different translations."""
-    return F.array_join(loose_words(c), " ")
+    found = F.regexp_extract_all(c, F.lit(WORD + "(?:['’]" + WORD + ")*"), F.lit(0))
+    return F.regexp_replace(F.lower(F.array_join(found, " ")), r"\p{Nd}+", "#")
 
 
 def shingle_set(c: Column) -> Column:

@@ -11,20 +11,21 @@ K1, B = 1.2, 0.75
 
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): the inverted table; terms are lower-case words. Written once, it serves every query."""
-    w = docs.select(key, F.transform(words(F.col(text)), F.lower).alias("w"))
-    return w.select(key, F.explode("w").alias("term"), F.size("w").alias("length")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    """(key, words, length): lower-case words of each document, where it lies. Nothing is shuffled."""
+    w = docs.select(key, F.transform(words(F.col(text)), F.lower).alias("words"))
+    return w.withColumn("length", F.size("words"))
 
 
 def bm25(index: DataFrame, key: str, asked: DataFrame) -> DataFrame:
-    """(query, key, score) of every document with a term of a query; ``asked`` has (query, term), few rows.
+    """(query, key, score) of every document with a term of a query; ``asked`` has (query, term).
 
-    Only postings of asked terms leave the table, so the join shrinks before
-    anything is shuffled by document.
+    Words that nobody asks for are dropped before anything is counted or
+    shuffled; the number and mean length of documents come from their rows.
     """
     terms = asked.select("term").distinct()
-    stats = index.select(key, "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    hit = index.join(terms, "term")
+    stats = index.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    met = index.select(key, "length", F.explode("words").alias("term")).join(terms, "term")
+    hit = met.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

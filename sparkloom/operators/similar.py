@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,34 +14,134 @@ from ..functions.text import jaccard, shingle_set
 from .lineage import checkpointed
 
 PERMUTATIONS, BANDS = 32, 16
+#: Bands that a crowded key is parted by, at last.
+DEEPEST = 3
+#: Hashes times permutations that are computed at once.
+AT_ONCE = 1 << 12
+
+_rng = np.random.default_rng(29)
+_FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of two MinHash values of a set of 64-bit hashes."""
+    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), AT_ONCE):
+        np.minimum(least, (_FACTORS[:, None] * hashes[None, k : k + AT_ONCE]).min(axis=1), out=least)
+    pairs = least.reshape(BANDS, PERMUTATIONS // BANDS)
+    keys = pairs[:, 0].copy()
+    for column in pairs.T[1:]:
+        keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) ^ column
+    return keys.view(np.int64)
+
+
+def _keyed(rows: DataFrame, deep: int, bands: int) -> DataFrame:
+    """key, n, bands, k and band for each choice of ``deep`` bands that all are crowded for the row (``hot``)."""
+    choices = list(combinations(range(bands), deep))
+    made = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(*[F.col("bands")[b] for b in c]).alias("band"), F.array(*map(F.lit, c)).alias("of")) for k, c in enumerate(choices)])
+    if deep > 1:
+        made = F.filter(made, lambda x: F.size(F.array_except(x["of"], F.col("hot"))) == 0)
+    return rows.select("key", "n", "bands", F.explode(made).alias("e")).select("key", "n", "bands", "e.k", "e.band")
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """The rows of bands that several sets have, with ``of``, their number, and ``first``, the least of them."""
+    sizes = keyed.groupBy("k", "band").agg(F.count("*").alias("of"), F.min(F.struct("key", "n")).alias("first")).where("of > 1")
+    return checkpointed(keyed.join(sizes, ["k", "band"]))
+
+
+def _close(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (a, b) of the pairs whose sizes allow for the threshold."""
+    fit = pairs.where("a <> b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    return fit.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _to_first(met: DataFrame, threshold: float) -> DataFrame:
+    """Of every band each set with the first one: one pair a set, however large the band."""
+    return _close(met.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("first.key").alias("b"), F.col("first.n").alias("nb")), threshold)
+
 
+def _across(met: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of bands whose sets aren't all connected yet, with their ``root``."""
+    placed = met.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    apart = placed.groupBy("k", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return checkpointed(placed.join(apart.select("k", "band"), ["k", "band"]))
 
-def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float, least: int = 5, hot: int = 200) -> DataFrame:
+
+def _between(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of sets of one band that aren't connected."""
+    one, two = (rows.select("k", "band", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    return _close(one.join(two, ["k", "band"]).where("a > b AND ra <> rb"), threshold)
+
+
+def connecting_pairs(
+    sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, hot: int, prepare: Callable[[DataFrame], None] | None = None
+) -> DataFrame:
+    """Verified pairs (a, b) that connect every group of similar sets; ``sketches`` has key, n (its size) and bands.
+
+    First every set meets the first of each of its bands; what that connects
+    needs no other pair. Then the sets of a band that aren't connected meet, in
+    bands of up to ``hot`` sets. Larger ones, as with a common line, are parted
+    by two of the bands that are crowded for them, then three; who agrees in
+    another band has met there. In what is crowded still every set has met the
+    first alone, so the work stays linear and no band makes all its pairs.
+
+    ``verify`` takes pairs and returns those that hold, written out; before it
+    is asked, ``prepare`` is told which keys can be in a pair.
+    """
+    rows = checkpointed(sketches.select("key", "n", "bands"))
+    bands = rows.select(F.max(F.size("bands"))).first()[0] or 0
+    met = _met(_keyed(rows, 1, bands)) if bands else None
+    if met is None:
+        return rows.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    if prepare:
+        prepare(met.select("key").distinct())
+    found = verify(_to_first(met, threshold))
+    for deep in range(1, DEEPEST + 1):
+        if deep > 1:
+            met = _met(_keyed(rows, deep, bands))
+            found = checkpointed(found.unionByName(verify(_to_first(met, threshold))).distinct())
+        apart = _across(met, components(found))
+        found = checkpointed(found.unionByName(verify(_between(apart.where(F.col("of") <= hot), threshold))).distinct())
+        many = apart.where(F.col("of") > hot)
+        if deep == DEEPEST or many.isEmpty():
+            break
+        crowded = many.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.collect_set("k").alias("hot"))
+        rows = checkpointed(crowded if deep == 1 else rows.join(crowded.select("key"), "key", "left_semi"))
+    return found
+
+
+def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float, least: int = 1, hot: int = 200) -> DataFrame:
     """(a, b) pairs of distinct texts whose shingle sets reach Jaccard similarity ``threshold``, enough to connect each group.
 
     ``texts`` holds distinct texts. Sets of fewer than ``least`` shingles are
-    left out. Sets that agree in a band of two MinHash values meet. In a band
-    of up to ``hot`` sets all pairs are verified; in a larger one every set is
-    verified against the band's least key alone, so its work stays linear.
+    left out: empty sets, unless more is asked. See connecting_pairs for who
+    meets; ``hot`` is a plan choice. Shingle sets are made twice, for the
+    sketches and for those that meet, and travel only with pairs.
     """
     # Shingles are compared by their 64-bit hashes: long arrays, hashed once.
-    sets = texts.select(key, F.transform(shingle_set(F.col(text)), lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") >= least)
-    signed = checkpointed(sets.select(key, "s", F.array(*[_min_hash(i) for i in range(PERMUTATIONS)]).alias("sig")))
-    width = PERMUTATIONS // BANDS
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * width + 1, width)).alias("h")) for b in range(BANDS)])
-    rows = signed.select(key, F.explode(bands).alias("x")).select(key, "x.band", "x.h")
-    sizes = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
-    met = checkpointed(rows.join(sizes, ["band", "h"]))
-    few = met.where(F.col("n") <= hot)
-    all_pairs = few.select("band", "h", F.col(key).alias("a")).join(few.select("band", "h", F.col(key).alias("b")), ["band", "h"])
-    star = met.where(F.col("n") > hot).select(F.col("first").alias("a"), F.col(key).alias("b"))
-    pairs = all_pairs.select("a", "b").unionByName(star).where("a < b").distinct()
-    left, right = signed.select(F.col(key).alias("a"), F.col("s").alias("sa")), signed.select(F.col(key).alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
-
-
-def _min_hash(i: int):
-    return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(i))))
+    hashed = texts.select(F.col(key).alias("key"), F.transform(shingle_set(F.col(text)), lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") >= least)
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(1)
+            flat, at = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
+            keys = [band_keys(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
+            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+            found = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(offsets, found)], ["key", "n", "bands"])
+
+    kind = hashed.schema["key"].dataType.simpleString()
+    sets: list[DataFrame] = []
+
+    def prepare(needed: DataFrame) -> None:
+        sets.append(checkpointed(hashed.join(needed, "key", "left_semi")))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left, right = sets[0].toDF("a", "sa"), sets[0].toDF("b", "sb")
+        return checkpointed(pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b"))
+
+    return connecting_pairs(hashed.mapInArrow(sketched, f"key {kind}, n long, bands array<long>"), verify, threshold, hot, prepare)
 
 
 def components(pairs: DataFrame) -> DataFrame:

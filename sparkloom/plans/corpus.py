@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as q
 from ..functions import text as t
 from ..operators.dedup import HELD_OUT, keep_best, keep_first, nearest_rank
+from ..operators.lineage import checkpointed
 from ..sources.views import SQL, line_pairs, lines, table, turn_pairs
 from .registry import query
 
@@ -118,10 +119,6 @@ def learned_names(spark: SparkSession, sf: str) -> DataFrame:
     return learned(_lines(spark, sf), "line")
 
 
-def _mask_sql(x: str) -> str:
-    return f"list_transform({t.sql_words(t.sql_text(x))}, lambda w: CASE WHEN lower(w) IN ('the', 'and') THEN '<name>' WHEN regexp_full_match(w, '\\p{{Nd}}+') THEN '<num>' ELSE lower(w) END)"
-
-
 @query(
     f"""WITH {SQL["line_pairs"]} SELECT id FROM line_pairs
 WHERE list_sort(regexp_extract_all(source_text, '\\p{{Nd}}+')) <> list_sort(regexp_extract_all(target_text, '\\p{{Nd}}+'))"""
@@ -179,24 +176,32 @@ scored AS (SELECT * REPLACE ({q.sql_score("flags")} AS score) FROM final)"""
 
 
 def checked(pairs: DataFrame) -> DataFrame:
-    """Both passes: row flags, then those that need the whole corpus (reuse, numbers, length ratio); score; template split."""
-    f = flagged(pairs)
-    again = f.withColumn("target_key", t.normalize_word(F.col("target_text")))
-    with_reuse = again.join(reused(f).select(F.col("target").alias("target_key"), F.lit(True).alias("is_reused")), "target_key", "left")
-    ratio = t.length_log_ratio(F.col("source_text"), F.col("target_text"))
-    bounded = with_reuse.crossJoin(F.broadcast(ratio_bounds(f)))
+    """Both passes: row flags, then those that need the whole corpus (reuse, numbers, length ratio); score; template split.
+
+    Returns id, flags, score and split of every distinct pair. All that depends
+    on a row's texts is worked out where they lie, once; only keys travel.
+    """
+    clean = pairs.select("id", t.normalize_text(F.col("source_text")).alias("s"), t.normalize_text(F.col("target_text")).alias("g"))
+    s, g = F.col("s"), F.col("g")
+    words = clean.withColumns({"source_key": t.normalize_word(s), "target_key": t.normalize_word(g)})
+    rows = words.select(
+        F.sha1(F.concat("source_key", F.lit("\t"), "target_key")).alias("pair_hash"), "id",
+        F.sha1("source_key").alias("family"), F.sha1("target_key").alias("target"),
+        q.quality_flags(s, g).alias("flags"), q.number_mismatch(s, g).alias("numbers_differ"),
+        t.length_log_ratio(s, g).alias("ratio"), t.hash_split(t.template_key(s)).alias("split"),
+    )
+    first = checkpointed(keep_first(rows, ["pair_hash"], "id"))
+    many = first.select("target", "family").distinct().groupBy("target").agg(F.count("*").alias("n")).where("n >= 3")
+    met = first.join(many.select("target", F.lit(True).alias("is_reused")), "target", "left")
+    bounded = met.crossJoin(F.broadcast(nearest_rank(first.select("ratio"), "ratio", {"low": 0.005, "high": 0.995})))
     more = F.array_compact(
         F.array(
             F.when(F.col("is_reused"), "target_reused"),
-            F.when(q.number_mismatch(F.col("source_text"), F.col("target_text")), "number_mismatch"),
-            F.when((ratio < F.col("low") - 1e-12) | (ratio > F.col("high") + 1e-12), "length_ratio_outlier"),
+            F.when(F.col("numbers_differ"), "number_mismatch"),
+            F.when((F.col("ratio") < F.col("low") - 1e-12) | (F.col("ratio") > F.col("high") + 1e-12), "length_ratio_outlier"),
         )
     )
-    return (
-        bounded.withColumn("flags", F.concat("flags", more))
-        .withColumns({"score": q.quality_score(F.col("flags")), "split": t.hash_split(t.template_key(F.col("source_text")))})
-        .select(*f.columns)
-    )
+    return bounded.withColumn("flags", F.concat("flags", more)).select("id", "flags", q.quality_score(F.col("flags")).alias("score"), "split")
 
 
 @query(f"""WITH {_PASS2_SQL} SELECT id, array_to_string(flags, ',') AS flags, score, split FROM scored""")
@@ -282,7 +287,8 @@ def routed(pairs: DataFrame) -> DataFrame:
 
     Decisions are made on narrow columns (id, pair, split, score); texts don't travel.
     """
-    rows = filter_rows(pairs).select("id", "model", "pair", "split", "score", "hard", "soft")
+    # Written out: three branches need them, and the patterns of the flags are the dear part.
+    rows = checkpointed(filter_rows(pairs).select("id", "model", "pair", "split", "score", "hard", "soft"))
     best = keep_best(rows.where(F.size("hard") == 0).select("id", "pair", "split", "score"), ["split", "pair"], "score", "id").select("id", F.lit(True).alias("is_best"))
     held = rows.where(F.col("split").isin(*HELD_OUT)).select("pair").distinct().withColumn("is_held", F.lit(True))
     joined = rows.join(best, "id", "left").join(held, "pair", "left")

@@ -9,6 +9,8 @@ from ..functions import quality as q
 from ..functions import text as t
 from ..operators.dedup import nth_identical
 from ..operators.folds import decide, latest, wilson
+from ..operators.lineage import checkpointed
+from ..operators.numbering import numbered
 from ..sources.views import SQL, decision_log, line_pairs, table
 from .registry import query
 
@@ -193,16 +195,25 @@ SELECT id, phase, member FROM r ORDER BY phase, CASE WHEN phase <> 1 THEN -prior
 )
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     """The first 500 of the review order: clusters by priority, ten of each, then single rows, then the rest."""
-    rows = queued(line_pairs(table(spark, sf, "documents"))).select("id", "template", "target_key", "uncertainty")
-    j = rows.drop("target_key").join(clusters(rows).drop("n", "variants"), "template", "left")
-    order = Window.partitionBy("template").orderBy(F.col("id") != F.col("representative"), F.desc("uncertainty"), "id")
-    ranked = j.withColumn("member", F.when(F.col("priority").isNotNull(), F.row_number().over(order)))
-    phased = ranked.withColumn("phase", F.when(F.col("member").isNull(), 1).when(F.col("member") <= 10, 0).otherwise(2))
+    # Written out: the clusters and the order both need them, and the flags are the dear part.
+    rows = checkpointed(queued(line_pairs(table(spark, sf, "documents"))))
+    j = checkpointed(rows.drop("target_key").join(clusters(rows).drop("n", "variants"), "template", "left"))
+    single = j.where("priority IS NULL").select("id", "priority", "first_id", "uncertainty", F.lit(None).cast("long").alias("member"), F.lit(1).alias("phase"))
+    clustered = j.where("priority IS NOT NULL").withColumn("at", F.struct((F.col("id") != F.col("representative")).alias("later"), -F.col("uncertainty"), "id"))
+    columns = ["id", "priority", "first_id", "uncertainty", "member", "phase"]
+    # Ten of each cluster: every task keeps ten before the shuffle.
+    nth = F.row_number().over(Window.partitionBy("template").orderBy("at"))
+    ten = clustered.withColumn("member", nth.cast("long")).where("member <= 10").withColumn("phase", F.lit(0)).select(*columns)
+    shown = ten.unionByName(single.select(*columns))
+    if shown.limit(500).count() < 500:
+        # What comes after the tenth is numbered by ranges: a cluster may hold any share of all rows.
+        rest = numbered(clustered.select(*columns[:4], "template", "at"), "at", "member", within="template")
+        shown = shown.unionByName(rest.where("member > 10").withColumn("phase", F.lit(2)).select(*columns))
     in_cluster = F.col("phase") != 1
     return (
-        phased.orderBy("phase", F.when(in_cluster, -F.col("priority")).asc_nulls_last(), F.when(in_cluster, F.col("first_id")).asc_nulls_last(), F.col("member").asc_nulls_last(), -F.col("uncertainty"), "id")
+        shown.orderBy("phase", F.when(in_cluster, -F.col("priority")).asc_nulls_last(), F.when(in_cluster, F.col("first_id")).asc_nulls_last(), F.col("member").asc_nulls_last(), -F.col("uncertainty"), "id")
         .limit(500)
-        .select("id", F.col("phase").cast("int").alias("phase"), F.col("member").cast("long").alias("member"))
+        .select("id", F.col("phase").cast("int").alias("phase"), "member")
     )
 
 

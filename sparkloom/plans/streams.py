@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
 from ..sources.views import SQL, decision_log, table
 from ..streaming.logs import rate_verdicts, stream_decisions, window_counts
 from .registry import query
@@ -16,8 +16,7 @@ from .registry import query
 
 def _replay(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there and return its sink as a table; state and sink lie in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
-    at = os.path.join(shared, f"stream-{uuid.uuid4().hex}")
+    at = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
 
     def write(batch: DataFrame, number: int) -> None:
         # A batch that runs again after a failure replaces its own folder.
