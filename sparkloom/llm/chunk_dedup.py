@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, texts_of
+from .common import LOWER, materialize, texts_of, without
 
 #: A boundary falls where the top bits of a 32-byte rolling hash are zero: about every 2 KiB.
 BOUNDARY_BITS = 11
@@ -140,15 +140,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all its columns.
+    """The rows of ``docs`` that stay, with all its columns: of equal texts the one with the largest doc_id.
 
-    Rows alike in doc_id and text are one: of them one stays. Texts move once,
-    to meet the decisions by doc_id.
+    Rows alike in doc_id and text are one: of them one stays. Decisions are
+    made on hashes; texts move once at most, to meet them by doc_id. Null text
+    counts as empty, and all empty texts are one group; a null doc_id is
+    smaller than any other. Very long texts are chunked where they lie. An
+    empty table gives no rows. Columns beside doc_id and text pass through
+    whatever their names.
     """
-    kept = _decisions(docs).where("kept").select(F.col("doc_id").alias("_loom_id"), F.col("raw").alias("_loom_raw")).distinct()
-    hashed = docs.withColumn("_loom_text", F.xxhash64("text"))
-    found = hashed.join(
-        kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_loom_id")) & (F.col("_loom_text") == F.col("_loom_raw")), "left_semi"
-    )
-    same = Window.partitionBy("doc_id", "_loom_text").orderBy(F.lit(0))
-    return found.withColumn("_loom_nth", F.row_number().over(same)).where("_loom_nth = 1").select(*docs.columns)
+    counted = _decisions(docs).groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    return without(docs, counted)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,36 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(at), drop
 
 
+#: Rows of doc_id and hash up to which a side is broadcast.
+BROADCAST_ROWS = 1 << 17
+
+
+def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with its columns, by ``decided``: doc_id, raw (XXH64 of the text), n, kept.
+
+    Of ``n`` rows alike one stays. Decisions that change nothing are left out;
+    where the others are few they go to the texts, else the texts move once to meet them.
+    """
+    placed = materialize(
+        decided.where("n > 1 OR NOT kept").select(
+            F.coalesce("doc_id", F.lit(0)).alias("_loom_id"), F.col("doc_id").isNull().alias("_loom_none"), F.col("raw").alias("_loom_raw"), "n", "kept"
+        ).withColumnsRenamed({"n": "_loom_n", "kept": "_loom_kept"})
+    )
+    keys = ["_loom_id", "_loom_none", "_loom_raw"]
+    doc_id = F.col("doc_id").cast("long")
+    hashed = docs.withColumns({"_loom_id": F.coalesce(doc_id, F.lit(0)), "_loom_none": doc_id.isNull(), "_loom_raw": F.xxhash64("text")})
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    if placed.count() <= BROADCAST_ROWS:
+        stay = hashed.join(F.broadcast(placed.select(*keys)), keys, "left_anti").select(*docs.columns)
+        repeated = placed.where("_loom_kept").select(*keys)
+        if repeated.isEmpty():
+            return stay
+        once = hashed.join(F.broadcast(repeated), keys, "left_semi").withColumn("_loom_nth", nth).where("_loom_nth = 1")
+        return stay.unionByName(once.select(*docs.columns))
+    met = hashed.join(placed, keys, "left").where("_loom_kept IS NULL OR _loom_kept").withColumn("_loom_nth", nth)
+    return met.where("_loom_nth = 1").select(*docs.columns)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a batch's texts, end to end, and the n+1 offsets; null counts as empty."""
     column = pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")

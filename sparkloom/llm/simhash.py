@@ -8,11 +8,11 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import components, materialize, texts_of
+from .common import components, materialize, texts_of, without
 
 SEED = 42
 #: Shingles whose bits are counted at once; bounds a task's memory for very long texts.
@@ -136,43 +136,15 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
     Groups are told apart by their roots: texts that only share a doc_id, or
     have none, all stay. A document without a doc_id is kept if its group has
-    no other.
+    no other; of equal rows one stays. Null text counts as empty, texts of
+    fewer than ``width`` words are one shingle, so equal ones are copies; very
+    long texts are compared whole. An empty table gives no rows. Columns beside
+    doc_id and text pass through whatever their names.
     """
     made = materialize(near_copies.sketches(docs, width))
     linked = components(near_copies.links(docs, made, width)).withColumnRenamed("node", "raw")
     rooted = made.select("doc_id", "raw").join(linked, "raw", "left").select("doc_id", "raw", F.coalesce("root", "raw").alias("root"))
-    return _one_of_each(docs, rooted)
-
-
-#: Rows of (doc_id, raw) up to which a side is broadcast.
-BROADCAST_ROWS = 1 << 17
-
-
-def _one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, raw) comes first among those of their root, each once.
-
-    ``rooted`` has doc_id, raw and root of every row. What goes is mostly little, so rows are removed, not chosen.
-    """
     counted = rooted.groupBy("doc_id", "raw", "root").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
     first = counted.groupBy("root").agg(F.min(order).alias("first"))
-    placed = materialize(
-        counted.join(first, "root")
-        .select(F.col("doc_id").alias("_loom_id"), F.col("raw").alias("_loom_raw"), "n", order.eqNullSafe(F.col("first")).alias("kept"))
-        .where("n > 1 OR NOT kept")
-    )
-    hashed = docs.withColumn("_loom_text", F.xxhash64("text"))
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_loom_id")) & (F.col("_loom_text") == F.col("_loom_raw"))
-
-    def side(rows: DataFrame) -> tuple[DataFrame, int]:
-        n = rows.count()
-        return (F.broadcast(rows) if n <= BROADCAST_ROWS else rows), n
-
-    gone, _ = side(placed.select("_loom_id", "_loom_raw"))
-    found = hashed.join(gone, here, "left_anti").select(*docs.columns)
-    repeated, n = side(placed.where("kept").select("_loom_id", "_loom_raw"))
-    if not n:
-        return found
-    same = Window.partitionBy("doc_id", "_loom_text").orderBy(F.lit(0))
-    once = hashed.join(repeated, here, "left_semi").withColumn("_loom_nth", F.row_number().over(same)).where("_loom_nth = 1")
-    return found.unionByName(once.select(*docs.columns))
+    return without(docs, counted.join(first, "root").select("doc_id", "raw", "n", order.eqNullSafe(F.col("first")).alias("kept")))

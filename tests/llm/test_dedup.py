@@ -6,10 +6,11 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chunk_dedup, near_copies, simhash
+from sparkloom.llm import chunk_dedup, common, near_copies, simhash
 from sparkloom.llm.common import components
 
 from .conftest import HARD, SCHEMA, rows_of
@@ -201,6 +202,38 @@ def test_stage_against_brute_force_on_planted_near_copies(spark):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == set(truth)
 
 
+def test_a_crowd_of_near_copies_is_connected(spark):
+    """300 copies of one text, each with its own changed words, and 150 texts that share half their shingles but aren't copies."""
+    rng = random.Random(8)
+    base = [f"b{j}" for j in range(150)]
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for p in rng.sample(range(150), 2):
+            words[p] = f"own{k}x{p}"
+        texts.append(" ".join(words))
+    line = " ".join(f"common{j}" for j in range(80))
+    texts += [line + " " + " ".join(f"c{k}w{j}" for j in range(60)) for k in range(150)]
+    truth = list(range(len(texts)))
+    for _ in range(6):
+        for i, j in sorted(near_links(texts)):
+            truth[i] = truth[j] = min(truth[i], truth[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == set(truth)
+
+
+@pytest.mark.parametrize("limit", [1 << 17, 0])
+def test_dropping_by_broadcast_or_by_join_is_alike(hard, limit, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    got = sorted(map(str, chunk_dedup.drop_duplicates(hard).select("doc_id", "text").collect()))
+    best = {}
+    for i, t in HARD:
+        k = "".join(c.lower() if c.isascii() else c for c in t or "")
+        best[k] = max(best.get(k, -1), -1 if i is None else i)
+    assert len(got) == len(best) and {int(g.split("doc_id=")[1].split(",")[0].replace("None", "-1")) for g in got} == set(best.values())
+    assert simhash.drop_near_duplicates(hard).count() == 10
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1100)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
