@@ -77,6 +77,15 @@ def template_key(c: Column, names: Column | None = None) -> Column:
     return F.sha1(masked)
 
 
+# Lower-case letters with marks and the same without.
+MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def fold_marks(c: Column) -> Column:
+    """Letters without their accents, for search."""
+    return F.translate(c, MARKED, PLAIN)
+
+
 def numbers(c: Column) -> Column:
     return F.sort_array(F.regexp_extract_all(c, F.lit(r"\p{Nd}+"), F.lit(0)))
 
