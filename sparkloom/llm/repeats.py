@@ -44,6 +44,8 @@ GRAM = 32
 PER_LOT = 2000
 #: Slices that are indexed together; a plan parameter that changes no result.
 TOGETHER = 128
+#: Ways in which the rows of one string are spread.
+SALTS = 16
 #: Parts of the distances from the anchor by which a crowded anchor is parted.
 PARTS = 8
 
@@ -355,24 +357,20 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each string of a slice whose start is so far from the anchor as its part says."""
     digest = xxhash.xxh3_128_digest
     for batch in batches:
-        for row in batch.to_pylist():
+        strings, times, of, rows = [], [], [], batch.to_pylist()
+        for k, row in enumerate(rows):
             blob, last, anchor, part = row["bytes"], row["shape"] >> 9, row["shape"] & 511, row["part"]
             lo = max(0, anchor - (_REACH if part == PARTS - 1 else (part + 1) * _STEP - 1))
             hi = min(last, anchor - part * _STEP)
-            spans = [(0, s, s + LENGTH) for s in range(lo, hi + 1) if s + LENGTH < len(blob)]
+            spans = [(0, s, s + LENGTH) for s in range(lo, min(hi + 1, len(blob) - LENGTH))]
             spans += [(1, int(a), int(b)) for a, b in zip(*long_words(np.frombuffer(blob, np.uint8)[1:], bool(_SPACE[blob[0]]))) if lo <= a <= hi]
-            k = len(spans)
-            columns = list(zip(*spans)) or [()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([digest(blob[1 + a : 1 + b], kind) for kind, a, b in spans], pa.binary()),
-                    pa.array([min(row["n"], 2)] * k, pa.int64()),
-                    pa.array([row["hash"]] * k, pa.int64()),
-                    pa.array([row["digest"]] * k, pa.int64()),
-                    *[pa.array(c, pa.int32()) for c in columns],
-                ],
-                ["string", "n", "hash", "digest", "kind", "start", "end"],
-            )
+            strings += [digest(blob[1 + a : 1 + b], kind) for kind, a, b in spans]
+            times += [min(row["n"], 2)] * len(spans)
+            of += [(k, *span) for span in spans]
+        at, kind, start, end = np.array(of, np.int64).reshape(len(of), 4).T
+        columns = [pa.array(strings, pa.binary()), pa.array(times, pa.int64()), *(batch.column(c).take(pa.array(at)) for c in ("hash", "digest"))]
+        columns += [pa.array(x.astype(np.int32)) for x in (kind, start, end)]
+        yield pa.RecordBatch.from_arrays(columns, ["string", "n", "hash", "digest", "kind", "start", "end"])
 
 
 def _cut(text: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str, int, int]:
@@ -464,7 +462,12 @@ def marks(texts: DataFrame, packed: DataFrame, per_lot: int = PER_LOT, together:
     )
     strings = materialize(parted.where(F.col("of") > together).drop("of").mapInArrow(_strings, _STRINGS))
     often = materialize(strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string"))
-    compared = strings.join(often, "string").select("hash", "digest", "kind", "start", "end")
+    # A string may stand in any share of all slices: its rows are spread by a salt.
+    salted = often.select("string", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    compared = (
+        strings.withColumn("salt", F.pmod("digest", F.lit(SALTS)).cast("int")).join(salted, ["string", "salt"])
+        .select("hash", "digest", "kind", "start", "end")
+    )
     # A slice of an anchor without other kinds is known whole.
     whole = alike.where("n > 1").join(kinds, "hash", "left_anti").select(
         "hash", "digest", F.lit(2).alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end")
