@@ -146,8 +146,9 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float, least
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): each node with the least it is connected to. Large-star and small-star steps until nothing moves."""
-    edges = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    checksum = lambda rows: rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    seen = checksum(edges)
     while True:
         both = edges.toDF("u", "v").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -155,7 +156,7 @@ def components(pairs: DataFrame) -> DataFrame:
         joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = checkpointed(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = checksum(edges)
         if now == seen:
             return edges.toDF("node", "root")
         seen = now

@@ -112,7 +112,7 @@ def merge_entries(spark: SparkSession, sf: str) -> DataFrame:
     old = p.where("p_size <= 25")
     fresh = p.where("p_size > 25").groupBy("headword", "definition").agg(F.min("p_partkey").alias("first")).join(old, ["headword", "definition"], "left_anti")
     last = old.agg(F.coalesce(F.max("p_partkey"), F.lit(0)).alias("last"))
-    return numbered(fresh, "first").crossJoin(last).select((F.col("last") + F.col("nth")).alias("new_id"), "headword", "definition")
+    return numbered(fresh, "first").crossJoin(F.broadcast(last)).select((F.col("last") + F.col("nth")).alias("new_id"), "headword", "definition")
 
 
 @query(

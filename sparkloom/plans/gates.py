@@ -111,7 +111,7 @@ def build_report(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("pairs"), F.count_if(F.size("flags") == 0).alias("clean"), F.count_if(F.size("flags") > 0).alias("flagged"),
         of("train"), of("validation"), of("test"), F.round(F.avg("score"), 6).alias("mean_score"),
     )
-    return g.crossJoin(turns.agg(F.count("*").alias("all"))).withColumn("duplicates", F.col("all") - F.col("pairs")).drop("all")
+    return g.crossJoin(F.broadcast(turns.agg(F.count("*").alias("all")))).withColumn("duplicates", F.col("all") - F.col("pairs")).drop("all")
 
 
 @query(f"""WITH {SQL["line_pairs"]}, {_flagged_sql("line_pairs")} SELECT id, score FROM flagged WHERE split = 'test' AND score >= 0.8 ORDER BY id LIMIT 400""")

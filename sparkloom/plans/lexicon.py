@@ -216,13 +216,16 @@ def other_senses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {SQL["lines"]}, w AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}]+')[2:]) AS form FROM lines)
-SELECT lower(form) AS name, count(DISTINCT (doc_id, line_no)) AS lines_with, arg_min(form, form) AS form FROM w WHERE regexp_matches(form, '^\\p{{Lu}}') GROUP BY 1 HAVING lines_with >= 20"""
+SELECT name, sum(n)::BIGINT AS lines_with, arg_min(form, (-n, form)) AS form FROM (SELECT name, form, count(*) AS n FROM (
+  SELECT lower(form) AS name, doc_id, line_no, min(form) AS form FROM w WHERE regexp_matches(form, '^\\p{{Lu}}') GROUP BY ALL) GROUP BY ALL) GROUP BY name HAVING lines_with >= 20"""
 )
 def name_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Capitalised words inside lines by how many lines have them."""
+    """Capitalised words inside lines by how many lines have them, with the commonest form (a line counts its least)."""
     w = lines(_docs(spark, sf)).select("doc_id", "line_no", F.explode(F.array_distinct(F.slice(t.words(F.col("line")), 2, 1 << 30))).alias("form")).where(F.col("form").rlike(r"^\p{Lu}"))
     per = w.groupBy(F.lower("form").alias("name"), "doc_id", "line_no").agg(F.min("form").alias("form"))
-    return per.groupBy("name").agg(F.count("*").alias("lines_with"), F.min("form").alias("form")).where("lines_with >= 20")
+    forms = per.groupBy("name", "form").agg(F.count("*").alias("n"))
+    commonest = F.min(F.struct(-F.col("n"), "form")).alias("best")
+    return forms.groupBy("name").agg(F.sum("n").alias("lines_with"), commonest).where("lines_with >= 20").select("name", "lines_with", "best.form")
 
 
 @query()

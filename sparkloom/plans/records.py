@@ -75,7 +75,7 @@ def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CONSENT_SQL = """last AS (SELECT user_id, arg_max(event_type, event_id) AS choice, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id),
-speakers AS (SELECT c_custkey AS speaker, c_nationkey AS source, choice, value FROM customer LEFT JOIN last ON last.user_id = c_custkey WHERE c_custkey < 150)"""
+speakers AS (SELECT c_custkey AS speaker, c_nationkey AS source, choice, value FROM customer LEFT JOIN last ON last.user_id = c_custkey)"""
 
 
 @query(
@@ -86,7 +86,7 @@ def speech_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     """A source is usable if every speaker's latest consent is there, not withdrawn and says yes; every reason is counted."""
     e = table(spark, sf, "events")
     last = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("choice"), F.max_by("value", "event_id").alias("value"))
-    c = table(spark, sf, "customer").where("c_custkey < 150").select(F.col("c_custkey").alias("speaker"), F.col("c_nationkey").alias("source"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("speaker"), F.col("c_nationkey").alias("source"))
     s = c.join(last, F.col("speaker") == F.col("user_id"), "left")
     return s.groupBy("source").agg(
         (F.bool_and(F.coalesce(F.col("choice") != "error", F.lit(False))) & F.bool_and(F.coalesce(F.col("value") >= 1, F.lit(False)))).alias("eligible"),

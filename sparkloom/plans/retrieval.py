@@ -226,7 +226,7 @@ def align_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH a AS (SELECT 'dictionary' AS store, p_partkey AS id, p_name AS text, p_name = 'red bolt' AS exact FROM part WHERE contains(p_name, 'red bolt')),
-b AS (SELECT 'corpus' AS store, doc_id AS id, left(text, 40) AS text, false AS exact FROM documents WHERE contains(text, 'red bolt') OR contains(text, 'than that'))
+b AS (SELECT 'corpus' AS store, doc_id AS id, text, false AS exact FROM documents WHERE contains(text, 'red bolt') OR contains(text, 'than that'))
 SELECT store, id, exact, row_number() OVER (ORDER BY NOT exact, store DESC, length(text), id) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY place <= 50"""
 )
 def unified_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,7 +235,7 @@ def unified_search(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("dictionary").alias("store"), F.col("p_partkey").alias("id"), F.char_length("p_name").alias("n"), (F.col("p_name") == "red bolt").alias("exact")
     )
     b = _docs(spark, sf).where(F.contains("text", F.lit("red bolt")) | F.contains("text", F.lit("than that"))).select(
-        F.lit("corpus").alias("store"), F.col("doc_id").alias("id"), F.least(F.char_length("text"), F.lit(40)).alias("n"), F.lit(False).alias("exact")
+        F.lit("corpus").alias("store"), F.col("doc_id").alias("id"), F.char_length("text").alias("n"), F.lit(False).alias("exact")
     )
     best = a.unionByName(b).orderBy(~F.col("exact"), F.desc("store"), "n", "id").limit(50)
     nth = F.row_number().over(Window.orderBy(~F.col("exact"), F.desc("store"), "n", "id"))

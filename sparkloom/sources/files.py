@@ -35,7 +35,7 @@ def verify(spark: SparkSession, pins: dict[str, str]) -> None:
         raise SourceError(f"checksum differs: {', '.join(wrong)}")
 
 
-def read_pairs(spark: SparkSession, paths: list[str], source: str = "en", target: str = "zomi") -> DataFrame:
+def read_pairs(spark: SparkSession, paths: list[str], source: str = "en", target: str = "target") -> DataFrame:
     """Sentence pairs of .jsonl, .csv or .csv.gz files: source_text, target_text (null is empty) and all further columns.
 
     Each part of a CSV corpus has its own header; the two named columns must be there.
@@ -163,13 +163,17 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 # OCR lines: headword, [phonetic], part of speech, then the translation after the first separator that is there.
-_OCR = r"^([A-Za-z][A-Za-z' -]*?)\s*(?:\[([^\]]*)\])?\s*\(?\b(n|v|adj|adv|prep|conj|pron|int)\b\.?\)?\s*(?:\t|Zomi:|[-–—]|\s{2,}|\s)\s*(.+)$"
+_OCR = r"^([A-Za-z][A-Za-z' -]*?)\s*(?:\[([^\]]*)\])?\s*\(?\b(n|v|adj|adv|prep|conj|pron|int)\b\.?\)?\s*(?:\t|{label}:|[-–—]|\s{2,}|\s)\s*(.+)$"
 
 
-def parse_ocr_lines(rows: DataFrame, line: str = "line") -> DataFrame:
-    """The rows with headword, phonetic (null if there is none), pos and translation; noise lines go."""
-    part = lambda i: F.trim(F.regexp_extract(line, _OCR, i))
-    return rows.where(F.col(line).rlike(_OCR)).withColumns(
+def parse_ocr_lines(rows: DataFrame, line: str = "line", label: str = "Target") -> DataFrame:
+    """The rows with headword, phonetic (null if there is none), pos and translation; noise lines go.
+
+    ``label`` is the word that may announce a translation.
+    """
+    pattern = _OCR.replace("{label}", re.escape(label))
+    part = lambda i: F.trim(F.regexp_extract(line, pattern, i))
+    return rows.where(F.col(line).rlike(pattern)).withColumns(
         {"headword": part(1), "phonetic": F.nullif(part(2), F.lit("")), "pos": part(3), "translation": part(4)}
     )
 

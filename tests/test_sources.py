@@ -26,8 +26,8 @@ def test_pins(spark, tmp_path):
 
 def test_pairs_of_several_formats(spark, tmp_path):
     with gzip.open(tmp_path / "a.csv.gz", "wt") as f:
-        f.write('en,zomi,note\n"say ""hi""",x,n\n"two\nlines",,\n')
-    (tmp_path / "b.jsonl").write_text('{"en": "e", "zomi": "z", "id": 7}\n')
+        f.write('en,target,note\n"say ""hi""",x,n\n"two\nlines",,\n')
+    (tmp_path / "b.jsonl").write_text('{"en": "e", "target": "z", "id": 7}\n')
     got = files.read_pairs(spark, [str(tmp_path / "a.csv.gz"), str(tmp_path / "b.jsonl")])
     assert rows(got, "source_text", "target_text", "id") == [("e", "z", 7), ('say "hi"', "x", None), ("two\nlines", "", None)]
     (tmp_path / "c.csv").write_text("en,other\na,b\n")
@@ -72,7 +72,7 @@ def test_roster(spark, tmp_path, text, fine):
 
 
 def test_terms(spark, tmp_path):
-    (tmp_path / "t.tsv").write_text("sun\tni\tTedim\nmoon\tလ\t\nstar\taက\tx\nbad\tline\n")
+    (tmp_path / "t.tsv").write_text("sun\tni\tnorth\nmoon\tလ\t\nstar\taက\tx\nbad\tline\n")
     got = files.read_terms(spark, str(tmp_path / "t.tsv"))
     assert rows(got, "line_no", F.coalesce("script", F.lit("")), F.array_join("issues", ",")) == [
         (1, "latin", ""), (2, "my", "unlabelled variety"), (3, "my", "mixed script"), (4, "", "columns"),
@@ -88,7 +88,7 @@ def test_dictionary(spark, tmp_path):
 
 
 def test_ocr_lines(spark):
-    df = spark.createDataFrame([("sun [sʌn] n. ni, nisa",), ("12 --- 13",), ("run v. Zomi: tai",)], "line string")
+    df = spark.createDataFrame([("sun [sʌn] n. ni, nisa",), ("12 --- 13",), ("run v. Target: tai",)], "line string")
     got = files.parse_ocr_lines(df)
     assert rows(got, "headword", F.coalesce("phonetic", F.lit("")), "pos", "translation") == [("run", "", "v", "tai"), ("sun", "sʌn", "n", "ni, nisa")]
 
