@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -65,11 +66,31 @@ def bleu(total: np.ndarray) -> float:
     return float(100 * np.exp(brief + np.log(rows[:, 2] / rows[:, 0]).mean()))
 
 
-def bootstrap(stats: np.ndarray, metric, resamples: int = 1000, seed: int = 12345) -> np.ndarray:
-    """The metric over resamples of the sentences; a resample is a vector of multinomial weights."""
-    rng = np.random.default_rng(seed)
-    weights = rng.multinomial(len(stats), np.full(len(stats), 1 / len(stats)), size=resamples)
-    return np.array([metric(w @ stats) for w in weights])
+def weights(key: object, resamples: int, seed: int = 12345) -> np.ndarray:
+    """How often a sentence is drawn in each resample: Poisson numbers that its key alone decides, so that systems are paired."""
+    return np.random.default_rng([seed, zlib.crc32(str(key).encode())]).poisson(1.0, resamples)
+
+
+def resampled(stats: DataFrame, key: str, resamples: int = 1000, seed: int = 12345) -> DataFrame:
+    """system, resample, sums: the statistics of each resample, summed where the sentences are.
+
+    ``stats`` has system, ``key`` and stats. Each task brings one vector a
+    system and resample, however many sentences there are.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for system, k, x in zip(pdf["system"], pdf[key], pdf["stats"]):
+                own = np.outer(weights(k, resamples, seed), np.asarray(x))
+                sums[system] = own if system not in sums else sums[system] + own
+        for system, total in sums.items():
+            yield pd.DataFrame({"system": system, "resample": np.arange(resamples), "sums": list(total)})
+
+    width = 3 * (CHAR_ORDER + BLEU_ORDER)
+    parts = stats.select("system", key, "stats").mapInPandas(run, "system string, resample long, sums array<long>")
+    total = parts.groupBy("system", "resample").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)])
+    return total.select("system", "resample", F.array(*[f"s{i}" for i in range(width)]).alias("sums"))
 
 
 def gate(candidate: dict, baselines: list[dict], metric: str = "chrf", p_below: float = 0.05) -> bool:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +34,19 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _keyed(rows: DataFrame, deep: int, bands: int) -> DataFrame:
-    """key, n, bands, k and band for each choice of ``deep`` bands that all are crowded for the row (``hot``)."""
-    choices = list(combinations(range(bands), deep))
-    made = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(*[F.col("bands")[b] for b in c]).alias("band"), F.array(*map(F.lit, c)).alias("of")) for k, c in enumerate(choices)])
-    if deep > 1:
-        made = F.filter(made, lambda x: F.size(F.array_except(x["of"], F.col("hot"))) == 0)
+def _keyed(rows: DataFrame, deep: int) -> DataFrame:
+    """key, n, bands, k and band for each band, or each choice of ``deep`` bands that are crowded for the row (``hot``)."""
+    if deep == 1:
+        made = F.transform("bands", lambda v, i: F.struct(i.alias("k"), v.alias("band")))
+    else:
+        hot = F.array_sort("hot")
+        chosen = F.transform(hot, lambda i: F.array(i))
+        for _ in range(deep - 1):
+            chosen = F.flatten(F.transform(chosen, lambda c: F.transform(F.filter(hot, lambda i: i > F.element_at(c, -1)), lambda i: F.concat(c, F.array(i)))))
+        made = F.transform(
+            chosen,
+            lambda c: F.struct(F.aggregate(c, F.lit(0), lambda k, i: k * 64 + i).alias("k"), F.xxhash64(F.transform(c, lambda i: F.get("bands", i))).alias("band")),
+        )
     return rows.select("key", "n", "bands", F.explode(made).alias("e")).select("key", "n", "bands", "e.k", "e.band")
 
 
@@ -90,16 +96,13 @@ def connecting_pairs(
     is asked, ``prepare`` is told which keys can be in a pair.
     """
     rows = checkpointed(sketches.select("key", "n", "bands"))
-    bands = rows.select(F.max(F.size("bands"))).first()[0] or 0
-    met = _met(_keyed(rows, 1, bands)) if bands else None
-    if met is None:
-        return rows.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    met = _met(_keyed(rows, 1))
     if prepare:
         prepare(met.select("key").distinct())
     found = verify(_to_first(met, threshold))
     for deep in range(1, DEEPEST + 1):
         if deep > 1:
-            met = _met(_keyed(rows, deep, bands))
+            met = _met(_keyed(rows, deep))
             found = checkpointed(found.unionByName(verify(_to_first(met, threshold))).distinct())
         apart = _across(met, components(found))
         found = checkpointed(found.unionByName(verify(_between(apart.where(F.col("of") <= hot), threshold))).distinct())

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scoring
+from ..operators.lineage import checkpointed
 from ..sources.views import table
 from .registry import query
 
@@ -43,21 +44,24 @@ def word_matches(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("item_id", F.col("stats")[at].alias("hypothesis_words"), F.col("stats")[at + 1].alias("reference_words"), F.col("stats")[at + 2].alias("matched"))
 
 
-def _matrix(spark: SparkSession, sf: str, system: str) -> np.ndarray:
-    """One vector a test sentence; a test set has at most a few thousand."""
-    return np.array([r["stats"] for r in _stats(spark, sf, system).orderBy("item_id").select("stats").collect()])
+RESAMPLES = 1000
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    """95 % intervals over a thousand resamples, and the one-sided paired test that the far system is as good."""
-    close, far = _matrix(spark, sf, "close"), _matrix(spark, sf, "far")
-    rows = []
-    for name, stats in (("close", close), ("far", far)):
-        scores = scoring.bootstrap(stats, scoring.chrf)
-        rows.append((name, scoring.chrf(stats.sum(0)), *np.percentile(scores, [2.5, 97.5]).tolist()))
-    worse = float(np.mean(scoring.bootstrap(close, scoring.chrf) <= scoring.bootstrap(far, scoring.chrf)))
-    return spark.createDataFrame([(*r, worse) for r in rows], "system string, chrf double, low double, high double, p_value double")
+    """95 % intervals over a thousand resamples, and the one-sided paired test that the far system is as good.
+
+    Resamples are summed on the executors; the driver sees one vector for each system and resample.
+    """
+    both = checkpointed(_stats(spark, sf, "close").unionByName(_stats(spark, sf, "far")))
+    width = 3 * (scoring.CHAR_ORDER + scoring.BLEU_ORDER)
+    sums = {r[0]: scoring.chrf(np.array(r[1:])) for r in both.groupBy("system").agg(*[F.sum(F.col("stats")[i]) for i in range(width)]).collect()}
+    scores: dict[str, np.ndarray] = {name: np.zeros(RESAMPLES) for name in sums}
+    for r in scoring.resampled(both, "item_id", RESAMPLES).collect():
+        scores[r["system"]][r["resample"]] = scoring.chrf(np.array(r["sums"]))
+    worse = float(np.mean(scores["close"] <= scores["far"])) if len(scores) == 2 else 1.0
+    rows = [(name, sums[name], *np.percentile(scores[name], [2.5, 97.5]).tolist(), worse) for name in sorted(sums)]
+    return spark.createDataFrame(rows, "system string, chrf double, low double, high double, p_value double")
 
 
 @query()

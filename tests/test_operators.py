@@ -170,10 +170,15 @@ def test_clipped_matches_by_hand():
     assert s[18:21] == [3, 3, 2] and s[21:24] == [2, 2, 0]
 
 
-def test_bootstrap_is_deterministic_and_covers():
-    stats = np.array([scoring.sentence_statistics(f"a b c d {i}", f"a b c d {i % 7}") for i in range(40)])
-    a, b = scoring.bootstrap(stats, scoring.chrf, 50), scoring.bootstrap(stats, scoring.chrf, 50)
-    assert np.array_equal(a, b) and a.min() <= scoring.chrf(stats.sum(0)) <= a.max()
+def test_resamples_are_deterministic_paired_and_cover(spark):
+    rows = [(name, i, scoring.sentence_statistics(f"a b c d {i}", f"a b c d {i % n}")) for name, n in (("x", 7), ("y", 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "system string, item_id long, stats array<long>")
+    a, b = ({(r["system"], r["resample"]): r["sums"] for r in scoring.resampled(df.repartition(n), "item_id", 50).collect()} for n in (1, 3))
+    assert a == b and len(a) == 100
+    want = sum(np.outer(scoring.weights(i, 50), x) for name, i, x in rows if name == "x")
+    assert [a["x", k] for k in range(50)] == want.tolist()
+    scores = [scoring.chrf(want[k]) for k in range(50)]
+    assert min(scores) <= scoring.chrf(sum(np.array(x) for name, _, x in rows if name == "x")) <= max(scores)
 
 
 def test_gate():
