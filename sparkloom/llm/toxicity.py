@@ -117,30 +117,45 @@ def _swapped(words: set[str], turn: int) -> set[str]:
 
 
 class _Columns:
-    """Numbers of features. A feature's numbers for one, two, three words follow each other."""
+    """Numbers of features. A beginning's numbers for one, two, three words follow each other."""
 
     def __init__(self) -> None:
         self.names: list[str] = []
         self.at: dict[str, int] = {}
         self.of: dict[str, np.ndarray] = {}
+        self.starred = bytearray()
 
-    def _first(self, name: str) -> int:
+    def first(self, name: str) -> int:
         if name not in self.at:
             self.at[name] = len(self.names)
             self.names += _times(name)
+            self.starred += bytes([name.endswith("*")]) * (len(self.names) - len(self.starred))
         return self.at[name]
 
-    def row(self, words: set[str]) -> np.ndarray:
-        """Columns of a text's features, each once."""
-        for w in words:
-            if w not in self.of:
-                self.of[w] = np.array([self._first(x) for x in features_of(w)], np.int64)
-        if not words:
-            return np.zeros(0, np.int64)
-        first, n = np.unique(np.concatenate([self.of[w] for w in words]), return_counts=True)
-        starred = np.array([self.names[i].endswith("*") for i in first.tolist()])
-        more = [first[starred & (n >= t)] + t - 1 for t in range(2, TIMES + 1)]
-        return np.concatenate([first, *more])
+    def word(self, w: str) -> np.ndarray:
+        if w not in self.of:
+            self.of[w] = np.array([self.first(x) for x in features_of(w)], np.int64)
+        return self.of[w]
+
+    def counts(self, words: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First columns of a text's features, and of how many words each is one."""
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *[self.word(w) for w in words]]), return_counts=True)
+
+    def columns(self, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        starred = np.frombuffer(self.starred, np.uint8)[first] > 0
+        return np.concatenate([first[n > 0], *[first[starred & (n >= t)] + t - 1 for t in range(2, TIMES + 1)]])
+
+    def moved(self, first: np.ndarray, n: np.ndarray, go: set[str], come: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Columns that come and that go when a text with these counts changes some words."""
+        touched = np.unique(np.concatenate([np.zeros(0, np.int64), *[self.word(w) for w in (*go, *come)]]))
+        at = np.minimum(np.searchsorted(first, touched), max(0, len(first) - 1))
+        before = np.where(first[at] == touched, n[at], 0) if len(first) else np.zeros(len(touched), np.int64)
+        change = np.zeros(len(touched), np.int64)
+        for words, sign in ((go, -1), (come, 1)):
+            for w in words:
+                np.add.at(change, np.searchsorted(touched, self.word(w)), sign)
+        old, new = self.columns(touched, before), self.columns(touched, before + change)
+        return np.setdiff1d(new, old), np.setdiff1d(old, new)
 
 
 def _entries(rows: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +195,11 @@ def fit(rows: list[set[str]], y: np.ndarray, penalty: float = SWAP_PENALTY) -> M
     if len(set(y.tolist())) < 2:
         return None
     columns = _Columns()
-    plain = [columns.row(ws) for ws in rows]
-    swapped = [columns.row(_swapped(ws, i)) for i, ws in enumerate(rows)]
-    terms = [columns._first(t) for kind in IDENTITY_TERMS for t in kind]
+    terms = [columns.first(t) for kind in IDENTITY_TERMS for t in kind]
+    counted = [columns.counts(ws) for ws in rows]
+    plain = [columns.columns(*c) for c in counted]
+    changed = [_swapped(ws, i) for i, ws in enumerate(rows)]
+    moves = [columns.moved(*c, ws - new, new - ws) for c, ws, new in zip(counted, rows, changed)]
     kept = np.array(list(dict.fromkeys([*terms, *_telling(plain, y, len(columns.names)).tolist()])))
     place = np.full(len(columns.names), -1)
     place[kept] = np.arange(len(kept))
@@ -194,9 +211,10 @@ def fit(rows: list[set[str]], y: np.ndarray, penalty: float = SWAP_PENALTY) -> M
     ratio = np.log(p / (y.sum() + 2)) - np.log(q / ((1 - y).sum() + 2))
     ratio[: len(terms)] = np.where(ratio[: len(terms)] == 0, 1.0, ratio[: len(terms)])
     # What a swap moves: the features that come, less those that go.
-    si, sj = _entries(swapped, place)
-    ki, kj = np.concatenate([si, ri]), np.concatenate([sj, ci])
-    sign = np.concatenate([np.ones(len(si)), -np.ones(len(ri))])
+    si, sj = _entries([m[0] for m in moves], place)
+    di, dj = _entries([m[1] for m in moves], place)
+    ki, kj = np.concatenate([si, di]), np.concatenate([sj, dj])
+    sign = np.concatenate([np.ones(len(si)), -np.ones(len(di))])
     balance = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, (1 - y).sum())))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
