@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,18 @@ def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return met.where("_loom_nth = 1").select(*docs.columns)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is materialised meanwhile: rows with texts of any length fill much memory twice, in and outside the JVM."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a batch's texts, end to end, and the n+1 offsets; null counts as empty."""
     column = pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")

@@ -141,7 +141,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     long texts are compared whole. An empty table gives no rows. Columns beside
     doc_id and text pass through whatever their names.
     """
-    made = materialize(near_copies.sketches(docs, width))
+    made = near_copies.sketches(docs, width)
     linked = components(near_copies.links(docs, made, width)).withColumnRenamed("node", "raw")
     rooted = made.select("doc_id", "raw").join(linked, "raw", "left").select("doc_id", "raw", F.coalesce("root", "raw").alias("root"))
     counted = rooted.groupBy("doc_id", "raw", "root").agg(F.count("*").alias("n"))

@@ -190,7 +190,7 @@ def test_stage_against_brute_force_on_planted_near_copies(spark):
     for _ in range(4):
         for i, j in sorted(near_links(texts)):
             truth[i] = truth[j] = min(truth[i], truth[j])
-    made = near_copies.sketches(df, 5).cache()
+    made = near_copies.sketches(df, 5)
     at = {r["raw"]: r["doc_id"] for r in made.collect()}
     for limit in (64, 4):
         found = {tuple(sorted((at[a], at[b]))) for a, b in near_copies.links(df, made, 5, limit).collect()}
