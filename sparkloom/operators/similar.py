@@ -100,18 +100,30 @@ def connecting_pairs(
     if prepare:
         prepare(met.select("key").distinct())
     found = verify(_to_first(met, threshold))
+    linked = components(found)
     for deep in range(1, DEEPEST + 1):
         if deep > 1:
             met = _met(_keyed(rows, deep))
-            found = checkpointed(found.unionByName(verify(_to_first(met, threshold))).distinct())
-        apart = _across(met, components(found))
-        found = checkpointed(found.unionByName(verify(_between(apart.where(F.col("of") <= hot), threshold))).distinct())
+            more = verify(_to_first(met, threshold))
+            if not more.isEmpty():
+                found, linked = found.unionByName(more), _joined(linked, more)
+        apart = _across(met, linked)
+        few = apart.where(F.col("of") <= hot)
+        if not few.isEmpty():
+            more = verify(_between(few, threshold))
+            if not more.isEmpty():
+                found, linked = found.unionByName(more), _joined(linked, more)
         many = apart.where(F.col("of") > hot)
         if deep == DEEPEST or many.isEmpty():
             break
         crowded = many.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.collect_set("k").alias("hot"))
         rows = checkpointed(crowded if deep == 1 else rows.join(crowded.select("key"), "key", "left_semi"))
-    return found
+    return found.distinct()
+
+
+def _joined(linked: DataFrame, more: DataFrame) -> DataFrame:
+    """The components once more links are there: earlier ones count as the stars they are, so few steps are left."""
+    return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float, least: int = 1, hot: int = 200) -> DataFrame:
