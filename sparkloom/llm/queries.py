@@ -10,6 +10,8 @@ from . import oracles
 from .chunk_dedup import exact_dedup
 from .common import table
 from .decontaminate import contaminated
+from .infilling import digest as digest_infilling
+from .infilling import fill_in_middle
 from .packing import pack
 from .perspectives import rotate
 from .pii import digest, find_personal_data
@@ -60,6 +62,11 @@ def op10_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op12_event_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, with hashes of its output and of what is restored from it."""
+    return digest_infilling(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_chunk_recipe_dedup,
@@ -72,9 +79,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_differencing_shards,
         op9_counterfactual_toxicity,
         op10_large_item_packing,
+        op12_event_infilling,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chunk_recipe_dedup": oracles.OP1, "op3_personal_data": oracles.op3(), "op5_perspective_rotation": oracles.OP5}
+    return {"op1_chunk_recipe_dedup": oracles.OP1, "op3_personal_data": oracles.op3(), "op5_perspective_rotation": oracles.OP5, "op12_event_infilling": oracles.OP12}
