@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .alignment import align
 from .chunk_dedup import exact_dedup
 from .common import table
 from .decontaminate import contaminated
@@ -67,6 +68,11 @@ def op12_event_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_infilling(fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op13_event_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with the links' counts in the whole corpus."""
+    return align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_chunk_recipe_dedup,
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_counterfactual_toxicity,
         op10_large_item_packing,
         op12_event_infilling,
+        op13_event_alignment,
     )
     return {f.__name__: f for f in found}
 
