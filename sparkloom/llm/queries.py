@@ -13,6 +13,7 @@ from .common import table
 from .decontaminate import contaminated
 from .infilling import digest as digest_infilling
 from .infilling import fill_in_middle
+from .language import identify
 from .packing import pack
 from .perspectives import rotate
 from .pii import digest, find_personal_data
@@ -63,6 +64,11 @@ def op10_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by character models of all others' languages outside the held-out fold."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op12_event_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-the-middle form of every document, with hashes of its output and of what is restored from it."""
     return digest_infilling(fill_in_middle(table(spark, sf_dir, "documents")))
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_differencing_shards,
         op9_counterfactual_toxicity,
         op10_large_item_packing,
+        op11_kneser_ney_language,
         op12_event_infilling,
         op13_event_alignment,
     )
