@@ -19,9 +19,9 @@ from .common import materialize, texts_of, written
 from .packing import vocabulary
 
 #: Units whose ids a Python worker remembers; when there are more it starts anew.
-REMEMBERED = 250_000
-#: Bytes of texts whose units are looked up at once.
-TOGETHER = 4 << 20
+REMEMBERED = 500_000
+#: Bytes of texts whose units are looked up at once, and of new units that are encoded as one text.
+TOGETHER, LEARNT_AT_ONCE = 8 << 20, 1 << 16
 #: Bytes of text whose end events travel in one row.
 WINDOW = 1 << 16
 #: Tokens that the sweep takes in at once.
@@ -67,18 +67,41 @@ class Vocabulary:
             out.append(np.array(ids, "<u4").tobytes() if b"".join([tokens[i] for i in ids]) == text else None)
         return out
 
+    def _learnt(self, units: list[bytes]) -> list[bytes | None]:
+        """Ids of units. Those that end in a visible ASCII character are encoded as one text, which is cut behind them."""
+        out: list[bytes | None] = [None] * len(units)
+        alone = [i for i, u in enumerate(units) if not 32 < u[-1] < 127]
+        rest = [i for i, u in enumerate(units) if 32 < u[-1] < 127]
+        sizes = np.fromiter((len(units[i]) for i in rest), np.int64, len(rest))
+        parts = np.cumsum(sizes) // LEARNT_AT_ONCE
+        for part in np.split(np.arange(len(rest)), np.flatnonzero(np.diff(parts)) + 1):
+            members = [rest[k] for k in part.tolist()]
+            ids = self.checked([b"".join([units[i] for i in members])])[0] if members else None
+            if ids is None:
+                alone += members
+                continue
+            ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
+            at = np.searchsorted(ends, np.cumsum(sizes[part]), "right").tolist()
+            begin = 0
+            for i, end in zip(members, at):
+                out[i] = ids[4 * begin : 4 * end]
+                begin = end
+        for i, ids in zip(alone, self.checked([units[i] for i in alone])):
+            out[i] = ids
+        return out
+
     def units(self, units: list[bytes]) -> list[bytes | None]:
         """Ids of distinct units, learnt where they aren't remembered."""
-        found = [self.known.get(u, 0) for u in units]
+        known = self.known
+        found = [known.get(u, 0) for u in units]
         fresh = [u for u, x in zip(units, found) if x == 0]
         if not fresh:
             return found
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {b" ": self.known[b" "]}
+        if len(known) + len(fresh) > REMEMBERED:
+            known = self.known = {b" ": known[b" "]}
             fresh = [u for u in units if u != b" "]
-        learnt = dict(zip(fresh, self.checked(fresh)))
-        self.known |= learnt
-        return list(map(self.known.get, units))
+        known.update(zip(fresh, self._learnt(fresh)))
+        return list(map(known.get, units))
 
     def of(self, texts: list[bytes]) -> list[np.ndarray | None]:
         """Ids of texts that begin with a space; none where their bytes, joined, aren't the text.
@@ -88,17 +111,21 @@ class Vocabulary:
         """
         data = np.frombuffer(b"".join(texts), np.uint8)
         at = np.cumsum([0, *map(len, texts)])
-        cuts = np.union1d(at[:-1], _cuts(data))
+        cuts = _cuts(data, at[:-1])
         whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(data)])
         words = whole.dictionary_encode()
-        ids = self.units(words.dictionary.to_pylist())
+        ids = self.units(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         bad = np.fromiter((x is None for x in ids), bool, len(ids))
-        flat = np.frombuffer(b"".join([x or b"" for x in ids]), "<u4")
-        sizes = np.fromiter((len(x or b"") for x in ids), np.int64, len(ids)) // 4
+        if bad.any():
+            ids = [x or b"" for x in ids]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         nth = words.indices.to_numpy()
         n = sizes[nth]
-        ends = np.cumsum(n)
-        placed = flat[np.repeat((np.cumsum(sizes) - sizes)[nth] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(n, dtype=np.int64)
+        place = np.repeat((np.cumsum(sizes, dtype=np.int64) - sizes)[nth] - ends + n, n)
+        place += np.arange(len(place))
+        placed = flat[place]
         edges = np.concatenate([[0], ends])[np.searchsorted(cuts, at)]
         out: list[np.ndarray | None] = [placed[a:b] for a, b in zip(edges, edges[1:])]
         for i in np.unique(np.searchsorted(at, cuts[bad[nth]], "right") - 1).tolist():
@@ -119,12 +146,14 @@ def _piece_bytes(model, i: int) -> bytes:
     return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
 
 
-def _cuts(data: np.ndarray) -> np.ndarray:
-    """Places of spaces after a visible ASCII character or one of U+00C0 to U+027F."""
-    spaces = np.flatnonzero(data == 32)
-    spaces = spaces[spaces > 1]
-    before, lead = data[spaces - 1], data[spaces - 2]
-    return spaces[((before > 32) & (before < 127)) | ((before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead <= 0xC9))]
+def _cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The begins of texts, and places of spaces after a visible ASCII character or one of U+00C0 to U+027F."""
+    space = data == 32
+    visible = (data > 32) & (data < 127)
+    visible[1:] |= ((data[1:] & 0xC0) == 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xC9)
+    space[1:] &= visible[:-1]
+    space[begins] = True
+    return np.flatnonzero(space)
 
 
 _loaded: dict[str, Vocabulary] = {}
