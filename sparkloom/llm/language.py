@@ -27,7 +27,7 @@ BINS = 256
 #: Bytes of models that a task holds at a time; with more, texts are read in as many passes as needed.
 MODEL_MEMORY = 96 << 20
 #: Bytes of texts that are worked on at once.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 UNKNOWN = "und"
 
 _SPACE = 32
