@@ -9,6 +9,7 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -229,14 +230,14 @@ def _slices(made: DataFrame, memory: int) -> Models:
                 part[chosen] = _branch(codes[end - 2][chosen], codes[end - 1][chosen], parts)
             value = np.log(np.where(context, back, p)).astype(np.float32)
             kind = np.where(context, k, k + ORDER + 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kind), pa.array(key.view(np.int64)), pa.array(value), pa.array(part.astype(np.int32))], ["lang", "kind", "key", "value", "part"])
+            of = pc.index_in(batch.column(0), value_set=pa.array(languages, batch.column(0).type))
+            yield pa.RecordBatch.from_arrays([of, pa.array(kind), pa.array(key.view(np.int64)), pa.array(value), pa.array(part.astype(np.int32))], ["of", "kind", "key", "value", "part"])
 
-    hashed = materialize(made.select("lang", "k", *_GRAM, "p", "back").mapInArrow(run, "lang string, kind int, key long, value float, part int"))
+    hashed = materialize(made.select("lang", "k", *_GRAM, "p", "back").mapInArrow(run, "of int, kind int, key long, value float, part int"))
     slices = []
     for part in range(parts):
-        here = hashed.where(F.col("part").isin(-1, part)).select("lang", "kind", "key", "value").toArrow()
-        of = np.searchsorted(np.array(languages, object), np.array(here["lang"].to_pylist(), object))
-        kind, key, value = (here[c].to_numpy() for c in ("kind", "key", "value"))
+        here = hashed.where(F.col("part").isin(-1, part)).select("of", "kind", "key", "value").toArrow()
+        of, kind, key, value = (here[c].to_numpy() for c in ("of", "kind", "key", "value"))
         key = key.view(np.uint64)
         models = [Model() for _ in languages]
         order = np.lexsort((key, kind, of))
