@@ -113,33 +113,12 @@ def spelling_family(form: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(form, "['-]", ""), r"([aeiou])\1+", "$1")
 
 
-def loose_words(c: Column) -> Column:
-    """Lower-case words, apostrophes inside kept, runs of digits as #."""
-    found = F.regexp_extract_all(c, F.lit(WORD + "(?:['’]" + WORD + ")*"), F.lit(0))
-    return F.transform(found, lambda x: F.regexp_replace(F.lower(x), r"\p{Nd}+", "#"))
-
-
 def variant_key(c: Column) -> Column:
     """A text with case, spacing, punctuation and numbers set aside, to tell different translations."""
     found = F.regexp_extract_all(c, F.lit(WORD + "(?:['’]" + WORD + ")*"), F.lit(0))
     return F.regexp_replace(F.lower(F.array_join(found, " ")), r"\p{Nd}+", "#")
 
 
-def shingle_set(c: Column) -> Column:
-    """Distinct loose words and pairs of them."""
-    w = loose_words(c)
-    pairs = F.when(
-        F.size(w) > 1,
-        F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(w, pairs))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all; of two empty sets 1."""
-    return F.when(F.size(F.array_union(a, b)) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-
-
 def split_alternatives(c: Column) -> Column:
     """``;`` separated alternatives, trimmed, empty ones dropped."""
     return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, shingle_set
+from .components import components
 from .lineage import checkpointed
 
 PERMUTATIONS, BANDS = 32, 16
@@ -124,54 +123,3 @@ def connecting_pairs(
 def _joined(linked: DataFrame, more: DataFrame) -> DataFrame:
     """The components once more links are there: earlier ones count as the stars they are, so few steps are left."""
     return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-
-def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float, least: int = 1, hot: int = 200) -> DataFrame:
-    """(a, b) pairs of distinct texts whose shingle sets reach Jaccard similarity ``threshold``, enough to connect each group.
-
-    ``texts`` holds distinct texts. Sets of fewer than ``least`` shingles are
-    left out: empty sets, unless more is asked. See connecting_pairs for who
-    meets; ``hot`` is a plan choice. Shingle sets are made twice, for the
-    sketches and for those that meet, and travel only with pairs.
-    """
-    # Shingles are compared by their 64-bit hashes: long arrays, hashed once.
-    hashed = texts.select(F.col(key).alias("key"), F.transform(shingle_set(F.col(text)), lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") >= least)
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = batch.column(1)
-            flat, at = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
-            keys = [band_keys(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
-            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            found = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(offsets, found)], ["key", "n", "bands"])
-
-    kind = hashed.schema["key"].dataType.simpleString()
-    sets: list[DataFrame] = []
-
-    def prepare(needed: DataFrame) -> None:
-        sets.append(checkpointed(hashed.join(needed, "key", "left_semi")))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left, right = sets[0].toDF("a", "sa"), sets[0].toDF("b", "sb")
-        return checkpointed(pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b"))
-
-    return connecting_pairs(hashed.mapInArrow(sketched, f"key {kind}, n long, bands array<long>"), verify, threshold, hot, prepare)
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): each node with the least it is connected to. Large-star and small-star steps until nothing moves."""
-    checksum = lambda rows: rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = checksum(edges)
-    while True:
-        both = edges.toDF("u", "v").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = checkpointed(small.distinct())
-        now = checksum(edges)
-        if now == seen:
-            return edges.toDF("node", "root")
-        seen = now

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators.similar import components, similar_pairs
+from ..operators.prefix_join import similar_groups
+from ..operators.shingles import loose_shingles
 from ..sources.views import SQL, lines, table
 from .registry import query
 
@@ -230,12 +231,12 @@ def name_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document that is near another text (four fifths of words and word pairs), with its group.
+    """Every document that is near another text (four fifths of words and word pairs), with its group, named by its least doc_id.
 
-    Equal texts are one representative while searching and share its group.
+    Equal texts are one while searching and share a group.
     """
-    d = _docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    reps = d.groupBy("sha").agg(F.min("doc_id").alias("rep"))
-    texts = d.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text")
-    groups = components(similar_pairs(texts, "doc_id", "text", 0.8))
-    return d.select("doc_id", "sha").join(reps, "sha").join(groups, F.col("rep") == F.col("node")).select("doc_id", F.col("root").alias("group_id"))
+    d = _docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    groups = similar_groups(d, loose_shingles, 0.8)
+    placed = d.select("doc_id", "key").join(groups.withColumnRenamed("node", "key"), "key")
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    return placed.join(least, "root").select("doc_id", "group_id")

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import folds, scoring, search
+from sparkloom.operators.components import components
 from sparkloom.operators.dedup import keep_best, keep_first, nearest_rank
 from sparkloom.operators.numbering import numbered
 from sparkloom.operators.records import can_follow, decide_rights, with_rights
-from sparkloom.operators.similar import components, similar_pairs
 from sparkloom.plans.corpus import checked, reused, routed
 from sparkloom.plans.lexicon import standardize
 from sparkloom.streaming.logs import import_new, rate_verdicts, stream_decisions
@@ -114,45 +114,6 @@ def test_standard_form(spark):
     assert df.select(standardize(F.col("a"))).first()[0] == "The then-x other ANDE and Mit, the"
 
 
-@pytest.mark.parametrize("hot", [200, 3, 1])
-def test_near_duplicates_against_brute_force(spark, hot):
-    rng = random.Random(4)
-    words = [a + b for a in "abcdefghijklmno" for b in "pqrstuvwxyz"]
-    base = [[rng.choice(words) for _ in range(30)] for _ in range(12)]
-    texts = []
-    for b in base:
-        texts.append(b)
-        for _ in range(3):
-            c = list(b)
-            c[rng.randrange(30)] = "changed"
-            texts.append(c)
-    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
-
-    def shingles(x):
-        return set(x) | {f"{a} {b}" for a, b in zip(x, x[1:])}
-
-    sets = [shingles(x) for x in texts]
-    near = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])}
-    got = {tuple(sorted((r["a"], r["b"]))) for r in similar_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text", 0.85, hot=hot).collect()}
-    assert got <= near
-
-    def groups(links):
-        root = list(range(len(sets)))
-        for _ in range(4):
-            for i, j in sorted(links):
-                root[i] = root[j] = min(root[i], root[j])
-        return root
-
-    # Bands of two values at 0.85: a pair is missed with a chance of about 1e-9.
-    assert groups(got) == groups(near)
-
-
-def test_short_texts_are_compared(spark):
-    rows = [(1, "Amen"), (2, "amen!"), (3, "other"), (4, ""), (5, "...")]
-    got = {tuple(sorted(r)) for r in similar_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text", 0.8).collect()}
-    assert got == {(1, 2)}
-
-
 def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 4)], "a long, b long")).collect()}
     assert got == {2: 1, 3: 1, 4: 1, 9: 8}

@@ -74,13 +74,6 @@ def test_spelling_tokens_fold_marks(spark):
     assert one(spark, t.spelling_tokens(F.col("a")), a="Pa’s ba‐ak topa' x2") == ["pa's", "ba-ak", "topa'", "x"]
 
 
-def test_shingles_and_jaccard(spark):
-    assert one(spark, F.array_sort(t.shingle_set(F.col("a"))), a="A b 12") == ["#", "a", "a b", "b", "b #"]
-    assert one(spark, F.array_sort(t.shingle_set(F.col("a"))), a="one") == ["one"]
-    none = F.array().cast("array<string>")
-    assert one(spark, t.jaccard(none, none), a="x") == 1.0
-
-
 @pytest.mark.parametrize(
     "word, bases",
     [("cities", ["city", "citie"]), ("boxes", ["box", "boxe"]), ("stopped", ["stopp", "stoppe", "stop"]), ("making", ["mak", "make"]), ("running", ["runn", "runne", "run"]), ("bus", []), ("glass", []), ("tried", ["try", "tri", "trie"])],
