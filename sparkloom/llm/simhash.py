@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -11,10 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import near_copies
+from ..operators.prefix_join import FREQUENT, similar_groups
+from ..operators.shingles import word_shingles
 from .common import components, materialize, texts_of, without
 
 SEED = 42
+#: Jaccard similarity of near copies.
+SIMILARITY = 0.8
 #: Shingles whose bits are counted at once; bounds a task's memory for very long texts.
 AT_ONCE = 1 << 15
 
@@ -126,13 +130,14 @@ def near_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
     """One document of each group of near copies, that with its smallest doc_id, with all columns of ``docs``.
 
     Documents are linked if their sets of ``width``-word shingles (of words as
-    in ``near_dedup``) reach a Jaccard similarity of 0.8. Pairs meet by MinHash
-    bands, not by SimHash: at 0.8 fingerprints differ in 4 to 14 bits. A pair
-    of exactly 0.8 meets with a chance of 0.99999, see ``near_copies``.
+    in ``near_dedup``) reach a Jaccard similarity of ``similarity``. Pairs meet
+    by an exact prefix-filter join, not by SimHash: at 0.8 fingerprints differ
+    in 4 to 14 bits, and no link may be lost in a crowd. See ``similar_groups``,
+    also for ``frequent``.
 
     Groups are told apart by their roots: texts that only share a doc_id, or
     have none, all stay. A document without a doc_id is kept if its group has
@@ -141,10 +146,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     long texts are compared whole. An empty table gives no rows. Columns beside
     doc_id and text pass through whatever their names.
     """
-    made = near_copies.sketches(docs, width)
-    linked = components(near_copies.links(docs, made, width)).withColumnRenamed("node", "raw")
-    rooted = made.select("doc_id", "raw").join(linked, "raw", "left").select("doc_id", "raw", F.coalesce("root", "raw").alias("root"))
-    counted = rooted.groupBy("doc_id", "raw", "root").agg(F.count("*").alias("n"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), "text")
+    linked = similar_groups(keyed.select(F.col("raw").alias("key"), "text"), partial(word_shingles, width=width), similarity, frequent=frequent)
+    counted = materialize(keyed.groupBy("doc_id", "raw").agg(F.count("*").alias("n")))
+    rooted = counted.join(linked.withColumnRenamed("node", "raw"), "raw", "left").withColumn("root", F.coalesce("root", "raw"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
-    first = counted.groupBy("root").agg(F.min(order).alias("first"))
-    return without(docs, counted.join(first, "root").select("doc_id", "raw", "n", order.eqNullSafe(F.col("first")).alias("kept")))
+    first = rooted.groupBy("root").agg(F.min(order).alias("first"))
+    return without(docs, rooted.join(first, "root").select("doc_id", "raw", "n", order.eqNullSafe(F.col("first")).alias("kept")))
