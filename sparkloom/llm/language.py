@@ -10,6 +10,7 @@ from functools import cache, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ BINS = 256
 MODEL_MEMORY = 96 << 20
 #: Bytes of texts that are worked on at once.
 TOGETHER = 2 << 20
+#: Grams that a task holds before it adds up equal ones, and parts that a language's grams are dealt into.
+MERGED_AT, BUCKETS = 1 << 21, 64
 UNKNOWN = "und"
 
 _SPACE = 32
@@ -81,20 +84,41 @@ def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[first] for c in columns], nth
 
 
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Grams and counts of several parts, each gram once."""
+    whole = np.concatenate(parts, axis=1)
+    columns, nth = distinct(list(whole[:ORDER]))
+    sums = [np.bincount(nth, row).astype(whole.dtype) for row in whole[ORDER:]]
+    return np.stack([*columns, *sums]).astype(whole.dtype) if len(nth) else whole
+
+
+def _packed(lang: str, grams: np.ndarray) -> pa.RecordBatch:
+    """Grams and counts dealt into buckets, each sorted and compressed: next to each other they take a few bytes each."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    bucket = (hashes(list(grams[:ORDER])) >> np.uint64(40)) % np.uint64(BUCKETS)
+    order = np.lexsort((*grams[ORDER - 1 :: -1], bucket))
+    edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    rows = [(k, pack(np.ascontiguousarray(grams[:, order[a:b]]).tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "bucket", "packed"])
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, fold, the characters of a gram, and its count, over all texts that models learn from; written out.
+    """lang, the characters of a gram, n, and n_fit (outside the calibration fold), over all texts that models learn from; written out.
 
-    Counts are added up text by text, batch by batch and task by task before
-    they travel; there are as many rows as the languages have different grams.
+    A task adds up its texts' counts and hands on sorted, compressed parts; the
+    parts of a language's bucket are merged one after another, so a task holds
+    the different grams of one bucket and what comes next.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_back: dict[str, list[np.ndarray]] = {}
+        size = 0
         for batch in batches:
             data, at = texts_of(batch, "text")
-            keys = pa.StructArray.from_arrays(batch.columns[:2], ["lang", "held"]).to_pylist()
-            groups: dict[tuple, list[int]] = {}
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            groups: dict[tuple[str, bool], list[int]] = {}
             for i, key in enumerate(keys):
-                groups.setdefault((key["lang"], key["held"]), []).append(i)
+                groups.setdefault(key, []).append(i)
             for (lang, held), rows in groups.items():
                 ends = np.cumsum([at[i + 1] - at[i] for i in rows])
                 k = 0
@@ -105,15 +129,46 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     if not len(places):
                         continue
                     columns, nth = distinct([laid[places - d] for d in range(ORDER - 1, -1, -1)])
-                    n = np.bincount(nth)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(n)), pa.array([held] * len(n)), *(pa.array(c.astype(np.int32)) for c in columns), pa.array(n)], ["lang", "held", *_GRAM, "n"]
-                    )
+                    n = np.bincount(nth).astype(np.uint32)
+                    held_back.setdefault(lang, []).append(np.stack([*columns, n, n * np.uint32(not held)]))
+                    size += len(n)
+            if size > MERGED_AT:
+                held_back = {lang: [_merged(parts)] for lang, parts in held_back.items()}
+                size = sum(p[0].shape[1] for p in held_back.values())
+                if size > MERGED_AT // 2:
+                    for lang, parts in held_back.items():
+                        yield _packed(lang, parts[0])
+                    held_back, size = {}, 0
+        for lang, parts in held_back.items():
+            yield _packed(lang, _merged(parts))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        key, parts, size = None, [], 0
+
+        def given() -> pa.RecordBatch:
+            grams = _merged(parts)
+            n = grams.shape[1]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * n), *(pa.array(c.astype(np.int32)) for c in grams[:ORDER]), *(pa.array(c.astype(np.int64)) for c in grams[ORDER:])], ["lang", *_GRAM, "n", "n_fit"])
+
+        for batch in batches:
+            for lang, bucket, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (lang, bucket) != key:
+                    if parts:
+                        yield given()
+                    key, parts, size = (lang, bucket), [], 0
+                parts.append(np.frombuffer(unpack(packed), np.uint32).reshape(ORDER + 2, -1).astype(np.uint64))
+                size += parts[-1].shape[1]
+                if size > max(MERGED_AT, 2 * parts[0].shape[1]):
+                    parts = [_merged(parts)]
+                    size = parts[0].shape[1]
+        if parts:
+            yield given()
 
     fold = remainder("doc_id")
     read = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold != 0).select(F.col("lang").cast("string"), (fold == CALIBRATION_FOLD).alias("held"), "text")
-    counted = read.mapInArrow(run, f"lang string, held boolean, {', '.join(f'{c} int' for c in _GRAM)}, n long")
-    return materialize(counted.groupBy("lang", *_GRAM).agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("held"), F.col("n"))).alias("n_fit")))
+    parts = read.mapInArrow(count, "lang string, bucket int, packed binary").repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return materialize(parts.mapInArrow(merge, f"lang string, {', '.join(f'{c} int' for c in _GRAM)}, n long, n_fit long"))
 
 
 def probabilities(counted: DataFrame) -> DataFrame:
