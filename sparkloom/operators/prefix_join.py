@@ -20,9 +20,9 @@ Hasher = Callable[[list[bytes]], list[np.ndarray]]
 #: Shingles told apart as frequent, at most; a plan choice, for any order of shingles gives the same pairs.
 FREQUENT = 1 << 20
 #: Shingles whose repeats a task counts at once.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 #: Bytes of texts that are worked on at once.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 #: Rows of a frequent shingle that are grouped together.
 PER_SALT = 1 << 14
 #: Rows up to which a list of keys is broadcast.
@@ -32,18 +32,13 @@ _SLACK = 1e-6
 
 def _sets(batch: pa.RecordBatch, hasher: Hasher, seen: set[int]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Keys and sets of a batch of (key, text), a few megabytes of text at a time; of a task's equal texts the first one."""
-    fresh = []
-    for i, key in enumerate(batch.column(0).to_pylist()):
-        if key not in seen:
-            seen.add(key)
-            fresh.append(i)
-    batch = batch.take(pa.array(fresh, pa.int64()))
-    texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "").cast(pa.large_binary())
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy())
-    k = 0
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy())
+    keys, k = batch.column(0).to_pylist(), 0
     while k < batch.num_rows:
         m = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + TOGETHER, "right")))
-        yield batch.column(0).slice(k, m - k), hasher(texts.slice(k, m - k).to_pylist())
+        fresh = [i for i, key in enumerate(keys[k:m], k) if not (key in seen or seen.add(key))]
+        texts = batch.column(1).take(pa.array(fresh, pa.int64())).fill_null("").cast(pa.large_binary())
+        yield batch.column(0).take(pa.array(fresh, pa.int64())), hasher(texts.to_pylist())
         k = m
 
 
