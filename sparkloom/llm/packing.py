@@ -132,6 +132,11 @@ def _tokenizer(path: str) -> WordIds:
     return _memory[path]
 
 
+def forget_words() -> None:
+    """For a worker that goes on to other work: what it remembers of words is let go."""
+    _memory.clear()
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

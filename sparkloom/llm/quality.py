@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import texts_of
 from .fitting import best_cut, descend, labelled, remainder
+from .packing import forget_words
 
 #: Labelled rows of each class that a fit gathers.
 PER_CLASS = 4000
@@ -152,6 +153,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for batch in batches:
             if model.value is None:
                 yield batch

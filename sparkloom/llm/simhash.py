@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.prefix_join import FREQUENT, similar_groups
 from ..operators.shingles import word_shingles
 from .common import components, materialize, texts_of, without
+from .packing import forget_words
 
 SEED = 42
 #: Jaccard similarity of near copies.
@@ -130,6 +131,11 @@ def near_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
+def _shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
+    forget_words()
+    return word_shingles(texts, width)
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
     """One document of each group of near copies, that with its smallest doc_id, with all columns of ``docs``.
 
@@ -147,7 +153,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SI
     doc_id and text pass through whatever their names.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), "text")
-    linked = similar_groups(keyed.select(F.col("raw").alias("key"), "text"), partial(word_shingles, width=width), similarity, frequent=frequent)
+    linked = similar_groups(keyed.select(F.col("raw").alias("key"), "text"), partial(_shingles, width=width), similarity, frequent=frequent)
     counted = materialize(keyed.groupBy("doc_id", "raw").agg(F.count("*").alias("n")))
     rooted = counted.join(linked.withColumnRenamed("node", "raw"), "raw", "left").withColumn("root", F.coalesce("root", "raw"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
