@@ -171,55 +171,50 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return materialize(parts.mapInArrow(merge, f"lang string, {', '.join(f'{c} int' for c in _GRAM)}, n long, n_fit long"))
 
 
-def probabilities(counted: DataFrame) -> DataFrame:
-    """lang, k, c0.. (the k characters of a gram at the end, -1 before), p, and weight of the shorter context of a context, by interpolated Kneser-Ney.
-
-    Grams of full length count as often as they occur, shorter ones as many
-    different characters as stand before them. Each length has its own
-    discount, from the grams counted once and twice. A gram has ``p``, the
-    probability of its last character; a context has ``back``, the share that
-    goes to the shorter one.
+def statistics(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What interpolated Kneser-Ney needs: grams (lang, k, c0.., n) and contexts (lang, k, c0.., all, kinds); written out.
+
+    Characters stand at the end, -1 before them. Grams of full length count as
+    often as they occur, shorter ones as many different characters as stand
+    before them. A context has the sum of what follows it, and how many kinds.
     """
-    levels = {ORDER: counted.select("lang", *_GRAM, F.col("n").cast("double").alias("n"))}
+    level = counted.select("lang", F.lit(ORDER).alias("k"), *_GRAM, F.col("n").cast("double").alias("n"))
+    levels = [level]
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = materialize(levels[k + 1].groupBy("lang", *_GRAM[ORDER - k :]).agg(F.count("*").cast("double").alias("n")))
-    letters = levels[1].agg(F.countDistinct(_GRAM[-1])).first()[0] + 1
-    lower, found = None, []
-    for k in range(1, ORDER + 1):
-        gram, context = _GRAM[ORDER - k :], _GRAM[ORDER - k : -1]
-        once, twice = (F.count(F.when(F.col("n") == c, 1)) for c in (1, 2))
-        # Where no gram is counted twice the share says nothing; a discount of one would leave nothing to what is counted once.
-        cut = levels[k].groupBy("lang").agg(F.when((once > 0) & (twice > 0), F.least(F.lit(0.95), once / (once + 2 * twice))).otherwise(F.lit(0.5)).alias("cut"))
-        sums = levels[k].groupBy("lang", *context).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).join(cut, "lang")
-        sums = sums.withColumn("back", F.col("cut") * F.col("kinds") / F.col("all"))
-        met = levels[k].join(sums, ["lang", *context])
-        if k == 1:
-            p = met.withColumn("lower", F.lit(1.0 / letters))
-        else:
-            p = met.join(lower.select("lang", *gram[1:], F.col("p").alias("lower")), ["lang", *gram[1:]])
-        own = (F.col("n") - F.col("cut")) / F.col("all") + F.col("back") * F.col("lower")
-        lower = materialize(p.select("lang", *gram, own.alias("p")))
-        blank = lambda names: [F.col(c) if c in names else F.lit(-1).alias(c) for c in _GRAM]
-        found.append(lower.select("lang", F.lit(k).alias("k"), *blank(gram), "p", F.lit(None).cast("double").alias("back")))
-        # A context is laid at the end, too.
-        shifted = dict(zip(_GRAM[ORDER - k + 1 :], context))
-        found.append(sums.select("lang", F.lit(k - 1).alias("k"), *[F.col(shifted[c]).alias(c) if c in shifted else F.lit(-1).alias(c) for c in _GRAM], F.lit(None).cast("double").alias("p"), "back"))
-    return reduce(DataFrame.unionByName, found).withColumn("floor", F.lit(1.0 / letters))
+        kept = _GRAM[ORDER - k :]
+        shorter = level.groupBy("lang", *kept).agg(F.count("*").cast("double").alias("n"))
+        level = shorter.select("lang", F.lit(k).alias("k"), *[F.col(c) if c in kept else F.lit(-1).alias(c) for c in _GRAM], "n")
+        levels.append(level)
+    grams = materialize(reduce(DataFrame.unionByName, levels))
+    moved = grams.select("lang", (F.col("k") - 1).alias("k"), F.lit(-1).alias("c0"), *[F.col(a).alias(b) for a, b in zip(_GRAM, _GRAM[1:])], "n")
+    contexts = moved.groupBy("lang", "k", *_GRAM).agg(F.sum("n").alias("all"), F.count("*").cast("double").alias("kinds"))
+    return grams, contexts
 
 
 @dataclass
 class Model:
-    """One language: sorted hashes of grams by length with log probabilities, and of contexts with log weights of shorter ones."""
+    """One language: sorted hashes of grams by length with their counts, and of contexts with sums and kinds; a discount for each length."""
 
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    grams: dict[int, tuple[np.ndarray, ...]] = field(default_factory=dict)
+    contexts: dict[int, tuple[np.ndarray, ...]] = field(default_factory=dict)
+    cuts: dict[int, float] = field(default_factory=dict)
 
     @staticmethod
-    def _found(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray, missing: float) -> np.ndarray:
+    def _found(table: tuple[np.ndarray, ...] | None, keys: np.ndarray) -> list[np.ndarray]:
+        """The values of each key, zeros where it isn't there."""
         if table is None or not len(table[0]):
-            return np.full(len(keys), missing)
+            return [np.zeros(len(keys))] * 2
         at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return np.where(table[0][at] == keys, table[1][at], missing)
+        there = table[0][at] == keys
+        return [np.where(there, values[at], 0.0) for values in table[1:]]
+
+    def probability(self, k: int, own: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Of grams of length k, by their and their contexts' hashes and the probabilities by shorter contexts."""
+        n, cut = self._found(self.grams.get(k), own)[0], self.cuts.get(k, 0.5)
+        whole, kinds = self._found(self.contexts.get(k - 1), context)
+        seen = whole > 0
+        whole = np.where(seen, whole, 1.0)
+        return np.where(seen, (np.maximum(n - cut, 0) + cut * kinds * below) / whole, below)
 
 
 @dataclass
@@ -232,17 +227,16 @@ class Slice:
     part: int = 0
     parts: int = 1
 
-    def scores(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Log probability of the last character of each gram, a row for each language."""
-        if len(columns) == 0:
-            return np.full((len(self.models), 1), math.log(self.floor))
+    def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Of the last character of each gram, a row for each language."""
         k = len(columns)
+        if k == 0:
+            return np.full((len(self.models), 1), self.floor)
         shorter, nth = distinct(columns[1:]) if k > 1 else ([], np.zeros(len(columns[0]), np.int64))
-        below = self.scores(shorter)[:, nth]
+        below = self.probabilities(shorter)[:, nth]
         own, context = hashes(columns), hashes(columns[:-1]) if k > 1 else np.zeros(len(columns[0]), np.uint64)
         for i, m in enumerate(self.models):
-            p = m._found(m.grams.get(k), own, np.nan)
-            below[i] = np.where(np.isnan(p), below[i] + m._found(m.contexts.get(k - 1), context, 0.0), p)
+            below[i] = m.probability(k, own, context, below[i])
         return below
 
 
@@ -263,45 +257,54 @@ class Models:
     threshold: float = 0.5
 
 
-def _slices(made: DataFrame, memory: int) -> Models:
+def _slices(counted: DataFrame, memory: int) -> Models:
     """Models as sorted hash arrays, in slices of about ``memory`` bytes; grams of up to two characters are in each."""
-    made = materialize(made)
-    languages = [r[0] for r in made.select("lang").distinct().orderBy("lang").collect()]
+    grams, contexts = statistics(counted)
+    once, twice = (F.count(F.when(F.col("n") == c, 1)) for c in (1, 2))
+    levels = grams.groupBy("lang", "k").agg(F.count("*").alias("rows"), once.alias("once"), twice.alias("twice"), F.collect_set(F.when(F.col("k") == 1, F.col(_GRAM[-1]))).alias("letters"))
+    found = levels.collect()
+    languages = sorted({r["lang"] for r in found})
     if not languages:
         return Models([], [], 1.0)
-    floor, rows = made.agg(F.max("floor"), F.count("*")).first()
-    parts = max(1, math.ceil(rows * 12 / memory))
+    floor = 1 / (len({c for r in found for c in r["letters"]}) + 1)
+    # Where no gram is counted twice the share says nothing; a discount of one would leave nothing to what is counted once.
+    cuts = {(r["lang"], r["k"]): min(0.95, r["once"] / (r["once"] + 2 * r["twice"])) if r["once"] and r["twice"] else 0.5 for r in found}
+    parts = max(1, math.ceil(sum(r["rows"] for r in found) * 40 / memory))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.column(1).to_numpy()
             codes = [batch.column(2 + j).to_numpy().astype(np.uint32) for j in range(ORDER)]
-            p, back = (batch.column(2 + ORDER + j).to_numpy(zero_copy_only=False) for j in range(2))
+            context = batch.column(2 + ORDER).to_numpy(zero_copy_only=False)
             key, part = np.zeros(len(k), np.uint64), np.full(len(k), -1)
             for n in range(1, ORDER + 1):
                 key[k == n] = hashes([c[k == n] for c in codes[ORDER - n :]])
-            context = np.isnan(p)
             for chosen, end in ((context & (k >= 2), ORDER), (~context & (k >= 3), ORDER - 1)):
                 part[chosen] = _branch(codes[end - 2][chosen], codes[end - 1][chosen], parts)
-            value = np.log(np.where(context, back, p)).astype(np.float32)
             kind = np.where(context, k, k + ORDER + 1).astype(np.int32)
             of = pc.index_in(batch.column(0), value_set=pa.array(languages, batch.column(0).type))
-            yield pa.RecordBatch.from_arrays([of, pa.array(kind), pa.array(key.view(np.int64)), pa.array(value), pa.array(part.astype(np.int32))], ["of", "kind", "key", "value", "part"])
+            yield pa.RecordBatch.from_arrays([of, pa.array(kind), pa.array(key.view(np.int64)), *batch.columns[-2:], pa.array(part.astype(np.int32))], ["of", "kind", "key", "n", "kinds", "part"])
 
-    hashed = materialize(made.select("lang", "k", *_GRAM, "p", "back").mapInArrow(run, "of int, kind int, key long, value float, part int"))
+    named = F.lit(False).alias("context"), "n", F.lit(0.0).alias("kinds")
+    both = grams.select("lang", "k", *_GRAM, *named).union(contexts.select("lang", "k", *_GRAM, F.lit(True), "all", "kinds"))
+    hashed = both.mapInArrow(run, "of int, kind int, key long, n double, kinds double, part int")
+    hashed = materialize(hashed) if parts > 1 else hashed
     slices = []
     for part in range(parts):
-        here = hashed.where(F.col("part").isin(-1, part)).select("of", "kind", "key", "value").toArrow()
-        of, kind, key, value = (here[c].to_numpy() for c in ("of", "kind", "key", "value"))
+        here = hashed.where(F.col("part").isin(-1, part)).drop("part").toArrow()
+        of, kind, key, n, kinds = (here[c].to_numpy() for c in ("of", "kind", "key", "n", "kinds"))
         key = key.view(np.uint64)
-        models = [Model() for _ in languages]
+        models = [Model(cuts={k: cut for (lang, k), cut in cuts.items() if lang == x}) for x in languages]
         order = np.lexsort((key, kind, of))
-        cut = np.flatnonzero(np.diff(of[order]) | np.diff(kind[order])) + 1
-        for chosen in np.split(order, cut):
-            x = int(kind[chosen[0]])
-            table = (key[chosen], value[chosen])
-            (models[of[chosen[0]]].contexts if x <= ORDER else models[of[chosen[0]]].grams)[x if x <= ORDER else x - ORDER - 1] = table
-        slices.append(made.sparkSession.sparkContext.broadcast(Slice(languages, models, floor, part, parts)))
+        for chosen in np.split(order, np.flatnonzero(np.diff(of[order]) | np.diff(kind[order])) + 1):
+            if not len(chosen):
+                continue
+            x, model = int(kind[chosen[0]]), models[of[chosen[0]]]
+            if x <= ORDER:
+                model.contexts[x] = (key[chosen], n[chosen], kinds[chosen].astype(np.int32))
+            else:
+                model.grams[x - ORDER - 1] = (key[chosen], n[chosen])
+        slices.append(counted.sparkSession.sparkContext.broadcast(Slice(languages, models, floor, part, parts)))
     return Models(languages, slices, -math.log(floor))
 
 
@@ -352,7 +355,7 @@ def _summed(batch: pa.RecordBatch, texts: list[bytes], models: Slice, sums: list
         columns, nth = distinct([laid[places - d] for d in range(ORDER - 1, -1, -1)])
         begins = np.cumsum(counts) - counts
         some = counts > 0
-        for i, scores in enumerate(models.scores(columns)):
+        for i, scores in enumerate(np.log(models.probabilities(columns))):
             got[i, some] = np.add.reduceat(scores[nth], begins[some])
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), *map(pa.array, got)], [*batch.schema.names[:-1], "n", *sums])
 
@@ -404,10 +407,10 @@ def fit(docs: DataFrame, memory: int = MODEL_MEMORY) -> Models:
     the documents of that fold.
     """
     counted = gram_counts(docs)
-    models = _slices(probabilities(counted.select("lang", *_GRAM, "n")), memory)
+    models = _slices(counted.select("lang", *_GRAM, "n"), memory)
     if not models.languages:
         return models
-    trial = _slices(probabilities(counted.where("n_fit > 0").select("lang", *_GRAM, F.col("n_fit").alias("n"))), memory)
+    trial = _slices(counted.where("n_fit > 0").select("lang", *_GRAM, F.col("n_fit").alias("n")), memory)
     if trial.languages:
         held = docs.where(F.col("lang").isNotNull()).where(remainder("doc_id") == CALIBRATION_FOLD)
         calibrated(trial, _chosen(cross_entropies(held.withColumn("lang", F.col("lang").cast("string")), trial, "lang"), trial))
