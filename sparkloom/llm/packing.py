@@ -20,9 +20,9 @@ CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
 #: Words whose ids a Python worker remembers; when there are more it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Bytes of texts whose words are looked up at once.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: Pieces that are packed together in one task.
 PER_BUCKET = 20_000
 
