@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, texts_of
+from .common import LOWER, materialize, release_memory, texts_of
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -285,6 +285,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, index_memory: int = INDEX_
         index = docs.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            release_memory()
             for batch in batches:
                 data, at = texts_of(batch)
                 clean = [not index.value.matches(data[at[i] : at[i + 1]].tobytes()) for i in range(len(at) - 1)]

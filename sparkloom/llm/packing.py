@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, materialize, texts_of
+from .common import LOWER, materialize, release_memory, texts_of
 
 CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
 #: Words whose ids a Python worker remembers; when there are more it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of texts whose words are looked up at once.
 TOGETHER = 4 << 20
 #: Pieces that are packed together in one task.
@@ -134,7 +134,9 @@ def _tokenizer(path: str) -> WordIds:
 
 def forget_words() -> None:
     """For a worker that goes on to other work: what it remembers of words is let go."""
-    _memory.clear()
+    if _memory:
+        _memory.clear()
+        release_memory()
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -147,6 +149,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     """uid, doc_id, piece, start, length, ids_crc32: every text's ids and its end id, cut after ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         ids_of = _tokenizer(path or vocabulary())
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import release_memory, texts_of
 from .fitting import best_cut, descend, labelled, remainder
 from .packing import forget_words
 
@@ -154,6 +154,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_words()
+        release_memory()
         for batch in batches:
             if model.value is None:
                 yield batch
