@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "corpus_quality_report"
-_MODULES = ("corpus", "decisions", "retrieval", "lexicon", "records", "evaluation", "streams", "gates", "catalogue", "review", "lookup", "standards", "rights", "changesets", "record_makers")
+_MODULES = ("corpus", "decisions", "retrieval", "lexicon", "records", "evaluation", "streams", "gates", "catalogue", "review", "lookup", "standards", "rights", "changesets", "record_makers", "conformance")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
