@@ -220,3 +220,33 @@ def primary_answers(spark: SparkSession, sf: str) -> DataFrame:
     return best.join(corpus, "query", "full").select(
         "query", F.when(F.col("id").isNotNull(), "dictionary").otherwise("corpus").alias("store"), F.coalesce("id", "doc").alias("id"), sure.alias("confidence")
     )
+
+
+_MESSAGES_SQL = """books AS (SELECT p_name AS book, min(p_partkey) AS rank FROM part GROUP BY p_name), keys AS (SELECT regexp_replace(lower(book), '[^0-9a-z]', '', 'g') AS key, book FROM books),
+chapters AS (SELECT DISTINCT p_name AS book, p_size AS chapter FROM part),
+messages AS (SELECT p_partkey AS message, CASE p_partkey % 5 WHEN 0 THEN 'please show me the ' WHEN 1 THEN 'Bible ' WHEN 2 THEN 'read ' WHEN 3 THEN '1 2 ' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN upper(p_name[1]) || p_name[2:] ELSE p_name END || ' ' || p_size
+  || CASE p_partkey % 3 WHEN 0 THEN ':' || p_size WHEN 1 THEN '' ELSE ' : 7 - 9' END || CASE WHEN p_partkey % 7 = 0 THEN ' and cold widget 3:1' ELSE '' END AS text FROM part)"""
+
+
+@query(
+    f"""WITH {_MESSAGES_SQL},
+m AS (SELECT message, text, unnest(ms) AS m, generate_subscripts(ms, 1) AS nth FROM (SELECT *, regexp_extract_all(text, '(?:[1-3]\\s*)?\\p{{L}}[\\p{{L}}\\p{{N}}_'' .]{{0,80}}?\\s*\\d{{1,3}}(?:\\s*[:.]\\s*\\d{{1,3}}(?:\\s*[-–]\\s*\\d{{1,3}})?)?') AS ms FROM messages)),
+p AS (SELECT message, nth, regexp_matches(lower(text), '\\bbible\\b') AS asks, regexp_extract(m, '^(.*?)\\s*(\\d{{1,3}})(?:\\s*[:.]\\s*(\\d{{1,3}})(?:\\s*[-–]\\s*(\\d{{1,3}}))?)?$', ['words', 'chapter', 'verse', 'last']) AS r FROM m),
+w AS (SELECT message, nth, asks, string_split(trim(r.words), ' ') AS words, r.chapter::INT AS chapter, nullif(r.verse, '')::INT AS verse, nullif(r.last, '')::INT AS last FROM p),
+s AS (SELECT *, unnest(range(1, len(words) + 1)) AS start FROM w), n AS (SELECT *, array_to_string(words[start:], ' ') AS name FROM s),
+hit AS (SELECT message, nth, start, book, chapter, verse, coalesce(last, verse) AS last FROM n JOIN keys ON key = regexp_replace(lower(name), '[^0-9a-z]', '', 'g') WHERE verse IS NOT NULL OR asks OR NOT regexp_matches(name[1], '\\p{{Ll}}')
+  QUALIFY row_number() OVER (PARTITION BY message ORDER BY nth, start) = 1)
+SELECT message, book, chapter, verse, last FROM hit SEMI JOIN chapters USING (book, chapter)"""
+)
+def message_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The passage that a message names, book names of several words among them; part names are the books, sizes their chapters."""
+    from ..operators.references import book_names, find_references
+
+    parts, k = table(spark, sf, "part"), F.col("p_partkey")
+    books = parts.groupBy(F.col("p_name").alias("book")).agg(F.min("p_partkey").alias("rank"))
+    names = book_names(books.select("book", "rank", F.col("book").alias("name"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("name_local")))
+    opening = F.when(k % 5 == 0, "please show me the ").when(k % 5 == 1, "Bible ").when(k % 5 == 2, "read ").when(k % 5 == 3, "1 2 ").otherwise("")
+    name = F.when(k % 2 == 0, F.concat(F.upper(F.left("p_name", F.lit(1))), F.substr("p_name", F.lit(2)))).otherwise(F.col("p_name"))
+    verse = F.when(k % 3 == 0, F.concat(F.lit(":"), "p_size")).when(k % 3 == 1, "").otherwise(" : 7 - 9")
+    text = F.concat(opening, name, F.lit(" "), "p_size", verse, F.when(k % 7 == 0, " and cold widget 3:1").otherwise(""))
+    return find_references(parts.select(k.alias("message"), text.alias("text")), names, parts.select(F.col("p_name").alias("book"), F.col("p_size").alias("chapter")))
