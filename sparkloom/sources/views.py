@@ -13,8 +13,24 @@ from pyspark.sql import functions as F
 from ..operators.numbering import numbered
 
 
+#: Bytes a core up to which the rows of a table are dealt out to all cores.
+SPREAD_UP_TO = 4 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores if there are few of them: a small file of one row group would be one task.
+
+    Larger tables come in as many tasks as their files have parts and aren't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPREAD_UP_TO else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents, whose rows are much work each, spread over the cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def lines(docs: DataFrame) -> DataFrame:
