@@ -25,42 +25,52 @@ from .toxicity import score as score_toxicity
 
 
 def op1_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the copy that stays; null texts are empty ones."""
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def op2_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, hash and list of the personal data in every document."""
     return digest(find_personal_data(table(spark, sf_dir, "documents")))
 
 
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt outside the held-out fold."""
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("raw")
 
 
 def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each participant's side."""
     return rotate(table(spark, sf_dir, "conversations"))
 
 
 def op6_run_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of 400 bytes take from every document."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item that it holds."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, sizes near equal."""
     return shard(table(spark, sf_dir, "documents"))
 
 
 def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt outside the held-out fold."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
     return pack(table(spark, sf_dir, "documents"))
 
 
