@@ -20,7 +20,7 @@ Hasher = Callable[[list[bytes]], list[np.ndarray]]
 #: Shingles told apart as frequent, at most; a plan choice, for any order of shingles gives the same pairs.
 FREQUENT = 1 << 20
 #: Shingles whose repeats a task counts at once.
-COUNTED = 1 << 21
+COUNTED = 1 << 23
 #: Bytes of texts that are worked on at once.
 TOGETHER = 2 << 20
 #: Rows of a frequent shingle that are grouped together.
@@ -42,22 +42,27 @@ def _sets(batch: pa.RecordBatch, hasher: Hasher, seen: set[int]) -> Iterator[tup
         k = m
 
 
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """What a shingle is counted by. Two that share it share a count, for all texts alike, so the order is still one for all."""
+    return (tokens >> np.uint64(32)).astype(np.uint32)
+
+
 def _repeated(texts: DataFrame, hasher: Hasher) -> DataFrame:
-    """token and n: shingles that several texts of one task have, with how many; those met once are left out."""
+    """token and n: shingles (see ``_short``) that several texts of one task have, with how many; those met once are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
         seen: set[int] = set()
 
         def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate([*waiting, np.zeros(0, np.uint64)]), return_counts=True)
+            found, n = np.unique(np.concatenate([*waiting, np.zeros(0, np.uint32)]), return_counts=True)
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].astype(np.int64)), pa.array(n[n > 1])], ["token", "n"])
 
         size = 0
         for batch in batches:
             for _, sets in _sets(batch, hasher, seen):
-                waiting += sets
+                waiting += map(_short, sets)
                 size += sum(map(len, sets))
                 if size > COUNTED:
                     yield counted()
@@ -77,7 +82,7 @@ def _frequent(texts: DataFrame, hasher: Hasher, most: int) -> tuple[np.ndarray,
             break
         least = row["bin"]
     found = counted.where(F.col("bin") >= least).select("token", "n").toArrow()
-    token, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    token, n = found["token"].to_numpy().astype(np.uint32), found["n"].to_numpy()
     order = np.argsort(token)
     return token[order], n[order]
 
@@ -111,8 +116,9 @@ def _met(texts: DataFrame, hasher: Hasher, threshold: float, least: int, frequen
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 often = np.zeros(len(flat), np.int64)
                 if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
-                    often = np.where(tokens[at] == flat, counts[at], 0)
+                    asked = _short(flat)
+                    at = np.minimum(np.searchsorted(tokens, asked), len(tokens) - 1)
+                    often = np.where(tokens[at] == asked, counts[at], 0)
                 chosen, ends, kept = [], np.cumsum([0, *map(len, sets)]), []
                 for i, s in enumerate(sets):
                     if len(s) < max(1, least):
@@ -175,13 +181,21 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 
 
 def _to_first(met: DataFrame, threshold: float) -> DataFrame:
-    """Every text with the first one of each shingle's group: one pair a row, however large the group."""
-    direct = met.where(_may_meet(("n", "p"), ("fn", "fp"), threshold)).select(F.col("key").alias("a"), F.col("first").alias("b"))
+    """Every text with up to four of the first ones of its shingles' groups: the two least, and those of its two earliest shingles.
+
+    A crowd of copies shares its least texts, a small group its rarest
+    shingles. This is to connect most of what is similar by a few pairs a text;
+    who isn't connected meets in ``_between``.
+    """
+    direct = met.where(_may_meet(("n", "p"), ("fn", "fp"), threshold)).select(F.col("key").alias("a"), "p", F.col("first").alias("b"))
     # Of a frequent shingle the groups' firsts meet the first of them.
     parts = met.where("salt > 0 AND key = first").select("token", "key", "n", "p")
     least = parts.groupBy("token").agg(F.min(F.struct("key", "n", "p")).alias("f")).select("token", F.col("f.key").alias("first"), F.col("f.n").alias("fn"), F.col("f.p").alias("fp"))
-    across = parts.join(least, "token").where(_may_meet(("n", "p"), ("fn", "fp"), threshold)).select(F.col("key").alias("a"), F.col("first").alias("b"))
-    return _distinct(direct.unionByName(across))
+    across = parts.join(least, "token").where(_may_meet(("n", "p"), ("fn", "fp"), threshold)).select(F.col("key").alias("a"), "p", F.col("first").alias("b"))
+    met_first = direct.unionByName(across).where("a <> b").groupBy("a").agg(F.array_sort(F.collect_set(F.struct("p", "b"))).alias("firsts"))
+    named = F.transform("firsts", lambda x: x["b"])
+    chosen = F.array_distinct(F.concat(F.slice(F.array_sort(F.array_distinct(named)), 1, 2), F.slice(named, 1, 2)))
+    return _distinct(met_first.select("a", F.explode(chosen).alias("b")))
 
 
 def _between(met: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
