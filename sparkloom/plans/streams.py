@@ -8,14 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import checkpointed, shared_folder
 from ..sources.views import SQL, decision_log, table
 from ..streaming.logs import rate_verdicts, stream_decisions, window_counts
 from .registry import query
 
 
 def _replay(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there and return its sink as a table; state and sink lie in the shared folder."""
+    """Run a stream over all that is there and return its sink as a table; state and sink lie in the shared folder until it has ended."""
     at = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
 
     def write(batch: DataFrame, number: int) -> None:
@@ -23,8 +23,12 @@ def _replay(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
     running = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    try:
+        running.awaitTermination()
+        return checkpointed(spark.read.parquet(f"{at}/out"))
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @query(

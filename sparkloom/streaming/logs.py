@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -63,6 +64,45 @@ def stream_decisions(log: DataFrame) -> DataFrame:
     )
 
 
+_LIVE_STATE = "newest long, approved long, decision string, until long"
+
+
+def _fold_live(key, batches: Iterator[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
+    """As ``fold_decisions``, until no record of the pair has come for so long in event time."""
+    if state.hasTimedOut:
+        newest, approved, decision, _ = state.get
+        state.remove()
+        yield pd.DataFrame({"pair": [key[0]], "newest": [newest], "approved": [approved], "decision": [decision], "closed": [True]})
+        return
+    newest, approved, decision, until = state.get if state.exists else (-1, -1, None, 0)
+    for pdf in batches:
+        until = max(until, int(pdf["at_ms"].max()) + keep_ms)
+        reviews = pdf.loc[pdf["kind"] == "review", "position"]
+        newest = max(newest, int(reviews.max()) if len(reviews) else -1)
+        approvals = pdf[pdf["kind"] == "approval"]
+        if len(approvals):
+            last = approvals.loc[approvals["position"].idxmax()]
+            if int(last["position"]) > approved:
+                approved, decision = int(last["position"]), last["decision"]
+    state.update((newest, approved, decision, until))
+    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame({"pair": [key[0]], "newest": [newest], "approved": [approved], "decision": [decision], "closed": [False]})
+
+
+def live_decisions(log: DataFrame, late: str = "1 hour", keep_seconds: int = 86_400) -> DataFrame:
+    """Each pair's standing as it changes, and once more, ``closed``, when it has been still for ``keep_seconds``.
+
+    ``log`` has pair, position, kind, decision and ts. Records later than the
+    watermark allows are dropped; state lives as long as its pair is live, so
+    it is as large as what came within that time, however long the stream runs.
+    A record of a closed pair opens it anew, without what was known before.
+    """
+    timed = log.withWatermark("ts", late).withColumn("at_ms", (F.unix_micros("ts") / 1000).cast("long"))
+    fold = partial(_fold_live, keep_ms=keep_seconds * 1000)
+    columns = "pair long, newest long, approved long, decision string, closed boolean"
+    return timed.groupBy("pair").applyInPandasWithState(fold, columns, _LIVE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def import_new(batch: DataFrame, target: str, key: str) -> int:
     """foreachBatch body: append the records of a grown file that ``target`` (a Parquet path) hasn't got. Returns how many."""
     spark = batch.sparkSession
