@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators.lineage import checkpointed
+from ..operators.names import TITLES, swapped_names
 from ..operators.rewriting import search_forms, standardized
-from ..sources.views import SQL, lines, table
+from ..sources.views import SQL, line_pairs, lines, table
 from .lexicon import _FORMS_SQL, base_counts, word_counts
 from .registry import query
 
@@ -70,3 +71,19 @@ def standard_search_forms(spark: SparkSession, sf: str) -> DataFrame:
     rules = checkpointed(learned_rules(docs))
     asked = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).union(base_counts(word_counts(docs)).where("n >= 5").select("form"))
     return search_forms(asked.distinct(), rules).select("word", F.array_join("forms", ",").alias("forms"))
+
+
+_TITLED = "regexp_matches({{side}}, '(?:^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])(?i:{titles})\\.?\\s+(?:The|Of|Und|La|De)(?:[^\\p{{{{L}}}}\\p{{{{N}}}}_-]|$)')".format(titles="|".join(TITLES))
+
+
+@query(
+    f"""WITH {SQL["line_pairs"]}, people AS (SELECT p_name FROM (VALUES ('The'), ('Of'), ('Und'), ('La'), ('De')) AS v(p_name)),
+w AS (SELECT id, {_TITLED.format(side="source_text")} OR {_TITLED.format(side="target_text")} AS titled, list_sort(list_filter(regexp_extract_all(source_text, '[\\p{{L}}\\p{{N}}_-]+'), lambda x: x IN ('The', 'Of', 'Und', 'La', 'De'))) AS s, list_sort(list_filter(regexp_extract_all(target_text, '[\\p{{L}}\\p{{N}}_-]+'), lambda x: x IN ('The', 'Of', 'Und', 'La', 'De'))) AS g FROM line_pairs)
+SELECT outcome, count(*) AS pairs FROM (SELECT CASE WHEN len(s) = 0 THEN 'no_name' WHEN titled THEN 'behind_a_title' WHEN s <> g THEN 'sides_differ' ELSE 'swapped' END AS outcome FROM w) GROUP BY outcome"""
+)
+def name_swaps(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of every line pair when its names are swapped; capitalised words that are common in lines stand in for names."""
+    people = spark.createDataFrame([(n, "f" if n in ("La", "De") else "m") for n in ("The", "Of", "Und", "La", "De")], "name string, gender string")
+    pool = table(spark, sf, "part").select(F.when(F.col("p_size") % 2 == 0, "f").otherwise("m").alias("gender"), F.initcap(F.substring_index("p_name", " ", 1)).alias("name"))
+    made = swapped_names(line_pairs(table(spark, sf, "documents")), people, pool)
+    return made.groupBy("outcome").agg(F.count("*").alias("pairs"))
