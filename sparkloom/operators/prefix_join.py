@@ -181,20 +181,26 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 
 
 def _to_first(met: DataFrame, threshold: float) -> DataFrame:
-    """Every text with up to four of the first ones of its shingles' groups: the two least, and those of its two earliest shingles.
+    """Every text with up to four texts of its shingles' groups: the two least firsts, and the two hubs.
 
-    A crowd of copies shares its least texts, a small group its rarest
-    shingles. This is to connect most of what is similar by a few pairs a text;
+    A hub is the text of a group that has the largest share of its prefix in
+    common with others: copies of one text share more with it than with each
+    other. This is to connect most of what is similar by a few pairs a text;
     who isn't connected meets in ``_between``.
     """
-    direct = met.where(_may_meet(("n", "p"), ("fn", "fp"), threshold)).select(F.col("key").alias("a"), "p", F.col("first").alias("b"))
+    direct = met.where(_may_meet(("n", "p"), ("fn", "fp"), threshold)).select(F.col("key").alias("a"), F.lit(0.0).alias("share"), F.col("first").alias("b"))
     # Of a frequent shingle the groups' firsts meet the first of them.
     parts = met.where("salt > 0 AND key = first").select("token", "key", "n", "p")
     least = parts.groupBy("token").agg(F.min(F.struct("key", "n", "p")).alias("f")).select("token", F.col("f.key").alias("first"), F.col("f.n").alias("fn"), F.col("f.p").alias("fp"))
-    across = parts.join(least, "token").where(_may_meet(("n", "p"), ("fn", "fp"), threshold)).select(F.col("key").alias("a"), "p", F.col("first").alias("b"))
-    met_first = direct.unionByName(across).where("a <> b").groupBy("a").agg(F.array_sort(F.collect_set(F.struct("p", "b"))).alias("firsts"))
-    named = F.transform("firsts", lambda x: x["b"])
-    chosen = F.array_distinct(F.concat(F.slice(F.array_sort(F.array_distinct(named)), 1, 2), F.slice(named, 1, 2)))
+    across = parts.join(least, "token").where(_may_meet(("n", "p"), ("fn", "fp"), threshold)).select(F.col("key").alias("a"), F.lit(0.0).alias("share"), F.col("first").alias("b"))
+    shares = met.groupBy("key").agg((F.count("*") / F.first("n")).alias("share"))
+    rows = met.select("token", "key", "n", "p").join(shares, "key")
+    hubs = rows.groupBy("token").agg(F.max(F.struct("share", "key", "n", "p")).alias("h")).select("token", F.col("h.share").alias("hub_share"), F.col("h.key").alias("first"), F.col("h.n").alias("fn"), F.col("h.p").alias("fp"))
+    to_hub = rows.join(hubs, "token").where(_may_meet(("n", "p"), ("fn", "fp"), threshold)).select(F.col("key").alias("a"), F.col("hub_share").alias("share"), F.col("first").alias("b"))
+    met_first = direct.unionByName(across).unionByName(to_hub).where("a <> b").groupBy("a").agg(F.collect_set(F.struct((-F.col("share")).alias("less"), "b")).alias("firsts"))
+    named = lambda firsts: F.transform(firsts, lambda x: x["b"])
+    hub, first = F.filter("firsts", lambda x: x["less"] < 0), F.filter("firsts", lambda x: x["less"] >= 0)
+    chosen = F.array_distinct(F.concat(F.slice(F.array_sort(named(first)), 1, 2), F.slice(named(F.array_sort(hub)), 1, 2)))
     return _distinct(met_first.select("a", F.explode(chosen).alias("b")))
 
 
