@@ -22,7 +22,7 @@ END_ID = 1
 #: Words whose ids a Python worker remembers; when there are more it starts anew.
 REMEMBERED = 500_000
 #: Bytes of texts whose words are looked up at once.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 #: Pieces that are packed together in one task.
 PER_BUCKET = 20_000
 
