@@ -452,7 +452,10 @@ def marks(texts: DataFrame, packed: DataFrame, per_lot: int = PER_LOT, together:
     met, drop_met = written(
         one_each.join(wanted, "uid").select("packed", "wanted").mapInArrow(lambda batches: _fetched(batches, together), _WANTED)
     )
-    crowds = materialize(met.where("part >= 0").groupBy("key", "part").agg(F.count("*").alias("of")).where("of > 1"))
+    # A slice that occurs twice repeats even where no other kind lies beside it.
+    crowds = materialize(
+        met.where("part >= 0").groupBy("key", "part").agg(F.count("*").alias("of"), F.sum("n").alias("times")).where("times > 1").drop("times")
+    )
     parted = met.where("part >= 0").join(crowds, ["key", "part"])
     together_now = met.where("part < 0").unionByName(parted.where(F.col("of") <= together).drop("of"))
     # Groups are small, so any partition of them is even; each lies together after the sort.

@@ -165,6 +165,21 @@ def test_repeats_against_brute_force(spark, options):
     assert got == {i: (*a, *b) for i, (a, b) in enumerate(zip(brute_repeats(raw), brute_passages(raw)))}
 
 
+@pytest.mark.parametrize("options", [{"together": 3}, {"together": 3, "per_lot": 7}])
+def test_repeats_of_one_kind_at_a_crowded_anchor(spark, options):
+    """Texts that begin alike, at an anchor that many other texts have beside other words."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    pool = np.frombuffer(noise(500_000).encode(), np.uint8)
+    least = int(repeats.gram_hashes(pool).argmin())
+    gram = pool[least : least + repeats.GRAM].tobytes().decode()
+    twice = noise(100) + gram + noise(600)
+    texts = [noise(300) + gram + noise(300) for _ in range(12)] + [twice + noise(70), twice + noise(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r[0]: tuple(r)[1:5] for r in repeats.remove_repeats(df, **options).collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts])))
+
+
 def test_repeats_on_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
