@@ -74,15 +74,18 @@ def swapped_names(pairs: DataFrame, people: DataFrame, pool: DataFrame, seed: st
     without a known name on its source side, with a name behind a title, where
     the sides don't have the same names as often, or where the pool has too few
     for its gender. Nobody in a pair gets a name that another has got. The same
-    id and seed give the same names. Both tables go to every task; their size
-    is checked. A null side is empty.
+    id and seed give the same names. Each name of both tables goes to every
+    task once, however many rows have it; their size is checked. A null side is
+    empty.
     """
+    people = people.where("name <> ''").groupBy("name").agg(F.min(F.struct("gender"))["gender"].alias("gender"))
+    pool = pool.where("name <> ''").select("gender", "name").distinct()
     size = people.agg(F.sum(F.char_length("name") + 100)).first()[0] or 0, pool.agg(F.sum(F.char_length("name") + 100)).first()[0] or 0
     if sum(size) > most:
         raise ValueError(f"the names take about {sum(size)} bytes of memory, more than {most}")
-    known = {r["name"]: r["gender"] for r in people.where("name <> ''").select("name", "gender").orderBy("name", F.desc("gender")).collect()}
+    known = {r["name"]: r["gender"] for r in people.select("name", "gender").collect()}
     by_gender: dict[str, list[str]] = {}
-    for r in pool.where("name <> ''").select("gender", "name").distinct().orderBy("gender", "name").collect():
+    for r in pool.orderBy("gender", "name").collect():
         by_gender.setdefault(r["gender"], []).append(r["name"])
     table = pairs.sparkSession.sparkContext.broadcast((known, by_gender))
 

@@ -1,5 +1,7 @@
 """Name swaps: the guards by hand, and that a swap is the same every time."""
 
+import pytest
+
 from sparkloom.operators.names import Swap, swapped_names
 
 PEOPLE = {"Tom": "m", "Tom Smith": "m", "Jerry": "m", "Ann": "f"}
@@ -29,3 +31,13 @@ def test_rows(spark):
     people, pool = (spark.createDataFrame(r, s) for r, s in (([(n, g) for n, g in PEOPLE.items()], "name string, gender string"), ([(g, n) for g, ns in POOL.items() for n in ns], "gender string, name string")))
     got = [tuple(r) for r in swapped_names(df, people, pool).orderBy("id").collect()]
     assert got[0] == got[1] and got[0][3] == "swapped" and got[0][4]["Tom"] in POOL["m"] and got[2][1:4] == ("", "", "no_name")
+
+
+def test_many_rows_of_few_names(spark):
+    """What goes to the tasks is as large as the names are, not as the tables: a name of many rows counts once."""
+    df = spark.createDataFrame([(1, "Tom ran", "Tom tai")], "id long, source_text string, target_text string")
+    people = spark.createDataFrame([("Tom", "m"), ("Tom", "x")] * 50, "name string, gender string")
+    pool = spark.createDataFrame([("m", n) for n in POOL["m"]] * 50, "gender string, name string")
+    assert swapped_names(df, people, pool, most=1000).first()["who"]["Tom"] in POOL["m"]
+    with pytest.raises(ValueError):
+        swapped_names(df, people, pool, most=100)
