@@ -18,36 +18,74 @@ def same_text(a: Column, b: Column) -> Column:
 
 
 class _Headword:
-    """The rows of one headword, while its changes come by."""
+    """The rows of one headword, while its changes come by.
+
+    Rows are found by what their text and definition say, so a change looks at
+    those that it matches, not at all. Rows with the same notes are one group:
+    a note goes to groups.
+    """
 
     def __init__(self) -> None:
         self.rows: list[list] = []
+        self.by_text: dict[tuple[str, ...], set[int]] = {}
+        self.by_definition: dict[str, set[int]] = {}
+        self.notes: dict[str | None, int] = {}  # notes and the number of their group
+        self.groups: list[list[int]] = []  # the rows of each group
+        self.added: set[str] = set()
+
+    def add(self, row_id: int | None, text: str | None, definition: str | None, notes: str | None) -> None:
+        k = len(self.rows)
+        self.rows.append([row_id, text, definition])
+        self.by_text.setdefault(_parts(text), set()).add(k)
+        self.by_definition.setdefault(_flat(definition), set()).add(k)
+        group = self.notes.setdefault(notes, len(self.groups))
+        if group == len(self.groups):
+            self.groups.append([])
+        self.groups[group].append(k)
+        self.added.clear()
+
+    def all_rows(self) -> Iterator[tuple]:
+        for notes, group in self.notes.items():
+            for k in self.groups[group]:
+                yield *self.rows[k], notes
 
     def apply(self, op: str, before: str | None, after: str | None) -> str:
         if op == "add_note":
-            touched = [r for r in self.rows if after and after not in (r[3] or "")]
-            for r in touched:
-                r[3] = f"{r[3]}; {after}" if r[3] else after
-            return "applied" if touched else "no_match"
-        if op == "set_text":
-            found = [r for r in self.rows if _parts(r[1]) and _parts(r[1]) == _parts(before)]
-        else:
-            found = [r for r in self.rows if _flat(r[2]) == _flat(before)]
-        if len(found) == 1:
-            if op == "set_text":
-                found[0][1] = " ; ".join(_parts(after))
-            else:
-                found[0][2] = after
-            return "applied"
-        return "ambiguous" if found else "no_match"
+            return self._note(after)
+        index, key, made = (self.by_text, _parts, 1) if op == "set_text" else (self.by_definition, _flat, 2)
+        asked = key(before)
+        found = index.get(asked, ()) if asked or op != "set_text" else ()
+        if len(found) != 1:
+            return "ambiguous" if found else "no_match"
+        (k,) = index.pop(asked)
+        self.rows[k][made] = " ; ".join(_parts(after)) if op == "set_text" else after
+        index.setdefault(key(after), set()).add(k)
+        return "applied"
+
+    def _note(self, after: str | None) -> str:
+        # Notes only grow: once added, a note is in all of them.
+        if not after or after in self.added:
+            return "no_match"
+        self.added.add(after)
+        touched = [n for n in self.notes if after not in (n or "")]
+        for notes in touched:
+            group = self.notes.pop(notes)
+            new = f"{notes}; {after}" if notes else after
+            there = self.notes.setdefault(new, group)
+            if there != group:  # others have these notes already: the smaller group joins the larger one
+                few, many = sorted((group, there), key=lambda g: len(self.groups[g]))
+                self.groups[many] += self.groups[few]
+                self.groups[few] = []
+                self.notes[new] = many
+        return "applied" if touched else "no_match"
 
 
 def _flat(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def _parts(text: str | None) -> list[str]:
-    return [x for x in map(_flat, (text or "").split(";")) if x]
+def _parts(text: str | None) -> tuple[str, ...]:
+    return tuple(x for x in map(_flat, (text or "").split(";")) if x)
 
 
 _MADE = "id long, headword string, text string, definition string, notes string, position long, outcome string"
@@ -66,10 +104,10 @@ def _played(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for headword, position, op, row_id, text, definition, notes in zip(*(c.to_pylist() for c in batch.columns)):
             if headword != head:
-                out += [(r[0], head, *r[1:], None, None) for r in there.rows]
+                out += [(r[0], head, *r[1:], None, None) for r in there.all_rows()]
                 head, there = headword, _Headword()
             if op is None:
-                there.rows.append([row_id, text, definition, notes])
+                there.add(row_id, text, definition, notes)
             else:
                 # Of a change, text and definition are what it expects and what it makes.
                 outcome = there.apply(op, text, definition) if there.rows else "unknown_headword"
@@ -77,7 +115,7 @@ def _played(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             yield batch_of(out)
     if there.rows:
-        yield batch_of([(r[0], head, *r[1:], None, None) for r in there.rows])
+        yield batch_of([(r[0], head, *r[1:], None, None) for r in there.all_rows()])
 
 
 def apply_matched(live: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:

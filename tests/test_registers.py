@@ -1,10 +1,12 @@
 """Rights registers, matched changes, record makers and conformance by hand and brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.operators import changesets
 from sparkloom.operators.changesets import apply_matched
 from sparkloom.operators.conformance import RULES, record_faults
 from sparkloom.operators.record_makers import changeset_id, draft_items, owner_records
@@ -117,3 +119,34 @@ def test_every_rule_is_broken_somewhere(spark):
     assert {r["fault"] for r in found} == set(RULES)
     clean = records(spark, "/root/testdata/sf0.01").where("line % 61 = 60 AND length(trim(source_text)) > 20").where(~F.col("source_text").rlike(r"[\x00-\x1f]"))
     assert clean.count() > 0 and record_faults(clean, "line").count() == 0
+
+
+def test_a_change_looks_at_the_rows_it_matches(monkeypatch):
+    """Rows are read once and changes once, however many rows a headword has; outcomes and rows are those of a search through all."""
+    rng = random.Random(4)
+    read = Counter()
+    for name in ("_flat", "_parts"):
+        monkeypatch.setattr(changesets, name, lambda x, f=getattr(changesets, name), name=name: read.update([name]) or f(x))
+    flat = lambda x: (x or "").split()
+    parts = lambda x: [flat(y) for y in (x or "").split(";") if flat(y)]
+    there, plain = changesets._Headword(), []
+    for k in range(300):
+        row = [k, rng.choice(["", None, f"a;{k % 150}", f" b {k} ;c"]), rng.choice([None, "", f"d  {k % 200}"]), rng.choice([None, "", "x", "n1; x", f"y{k % 5}"])]
+        there.add(*row)
+        plain.append(row)
+    for _ in range(2000):
+        op, x, y = rng.choice(["set_text", "set_definition", "add_note"]), rng.choice(plain), rng.choice([None, "", ";", "n1", "n2", f"b {rng.randrange(9)}; c", f"a;{rng.randrange(150)}"])
+        before = x[1] if op == "set_text" else x[2]
+        if op == "add_note":
+            found = [r for r in plain if y and y not in (r[3] or "")]
+            want = "applied" if found else "no_match"
+            for r in found:
+                r[3] = f"{r[3]}; {y}" if r[3] else y
+        else:
+            found = [r for r in plain if (parts(r[1]) and parts(r[1]) == parts(before) if op == "set_text" else flat(r[2]) == flat(before))]
+            want = "applied" if len(found) == 1 else "ambiguous" if found else "no_match"
+            if len(found) == 1:
+                found[0][1 if op == "set_text" else 2] = " ; ".join(" ".join(z) for z in parts(y)) if op == "set_text" else y
+        assert there.apply(op, before, y) == want
+    assert sorted(there.all_rows()) == sorted(map(tuple, plain))
+    assert read["_parts"] < 300 + 3 * 2000
