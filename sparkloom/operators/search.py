@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_word, words
+from .lineage import checkpointed
 
 K1, B = 1.2, 0.75
 
@@ -33,6 +34,41 @@ def bm25(index: DataFrame, key: str, asked: DataFrame) -> DataFrame:
     return scored.join(asked.distinct(), "term").groupBy("query", key).agg(F.sum("weight").alias("score"), F.count("*").alias("met"))
 
 
+def term_weights(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(term, idf, mean) of every asked term that a document has: counted in one pass over the words, where they lie.
+
+    mean is the mean length of all documents that have words.
+    """
+    # No word is empty, so the empty term stands for all documents.
+    terms = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
+    said = index.where("length > 0").select("length", F.explode(F.array_append(F.array_distinct("words"), F.lit(""))).alias("term"))
+    counts = checkpointed(said.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("sum")))
+    stats = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("sum") / F.col("df")).alias("mean"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return counts.where("term <> ''").crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"), "mean")
+
+
+def covering(index: DataFrame, key: str, weights: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, score) with all columns of ``index`` for every document that has all terms of a query, by BM25.
+
+    ``asked`` has (query, term), each once; ``weights`` are those of its terms.
+    Documents meet a query by its rarest term and are scored where they lie;
+    only the queries travel.
+    """
+    known = asked.join(weights, "term", "left").groupBy("query").agg(
+        F.sort_array(F.collect_list(F.struct("df", "term", "idf", "mean"))).alias("terms"), F.count("*").alias("k"), F.count("df").alias("there")
+    )
+    queries = checkpointed(known.where("k = there").select("query", "terms", F.col("terms")[0]["term"].alias("rarest")))
+    met = index.withColumn("rarest", F.explode(F.array_distinct("words"))).join(F.broadcast(queries), "rarest").drop("rarest")
+    met = met.where(F.forall("terms", lambda x: F.array_contains("words", x["term"])))
+
+    def weight(x: Column) -> Column:
+        tf = F.size(F.filter("words", lambda w: w == x["term"]))
+        return x["idf"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / x["mean"]))
+
+    return met.withColumn("score", F.aggregate(F.transform("terms", weight), F.lit(0.0), lambda a, x: a + x)).drop("terms")
+
+
 def tiered(entries: DataFrame, key: str, headword: Column, asked: Column) -> Column:
     """Where an entry stands for a query: 0 exact, 1 prefix, 2 whole word, 3 substring; null no match."""
     return (
@@ -62,4 +98,4 @@ def top(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return df.withColumn("place", nth.cast("long")).where(F.col("place") <= n)
 
 
-__all__ = ["bm25", "exact_forms", "normalize_word", "query_terms", "tiered", "tokens", "top"]
+__all__ = ["bm25", "covering", "exact_forms", "normalize_word", "query_terms", "term_weights", "tiered", "tokens", "top"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as q
 from ..functions import text as t
 from ..operators.lineage import checkpointed
-from ..operators.search import B, K1, bm25, exact_forms, top
+from ..operators.search import B, K1, covering, exact_forms, term_weights, top
 from ..sources.views import SQL, line_pairs, lines, table, turn_pairs
 from .corpus import learned
 from .registry import query
@@ -188,16 +188,15 @@ def retrieval_answers(spark: SparkSession, sf: str) -> DataFrame:
     holds all its words; pairs held out for tests are never an answer."""
     s, g = F.col("source_text"), F.col("target_text")
     served = line_pairs(table(spark, sf, "documents")).where(t.hash_split(t.family_key(s)) != "test")
-    p = checkpointed(served.select("id", F.lower(F.trim(s)).alias("exact_key"), F.lower(s).alias("low"), q.quality_score(q.quality_flags(s, g)).alias("score")))
+    p = checkpointed(served.select("id", F.lower(s).alias("low"), q.quality_score(q.quality_flags(s, g)).alias("score")))
     items = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(F.trim("line") != "")
-    asked = items.select((F.col("item_id") * 100 + F.col("i") + 1).alias("query"), F.lower(F.trim("line")).alias("exact_key"), F.array_distinct(t.words(F.lower("line"))).alias("ws"))
-    equal = asked.join(p, "exact_key").groupBy("query").agg(F.min(F.struct(-F.col("score"), "id")).alias("e")).select("query", F.col("e.id").alias("equal"))
-    good = p.where("score >= 0.5")
-    index = good.select("id", t.words(F.col("low")).alias("words")).withColumn("length", F.size("words"))
-    scored = bm25(index, "id", asked.select("query", F.explode("ws").alias("term")))
-    whole = scored.join(asked.select("query", F.size("ws").alias("k")), "query").where(F.col("met") == F.col("k"))
-    order = F.struct((-F.round("bm", 6)).alias("bm"), (-F.col("score")).alias("score"), "id")
-    close = whole.withColumnRenamed("score", "bm").join(good.select("id", "score"), "id").groupBy("query").agg(F.min(order).alias("b")).select("query", F.col("b.id").alias("close"))
+    asked = checkpointed(items.select((F.col("item_id") * 100 + F.col("i") + 1).alias("query"), F.trim(F.lower("line")).alias("exact_key"), F.array_distinct(t.words(F.lower("line"))).alias("ws")))
+    keys = F.broadcast(asked.select("query", "exact_key"))
+    equal = p.select("id", "score", F.trim("low").alias("exact_key")).join(keys, "exact_key").groupBy("query").agg(F.min(F.struct(-F.col("score"), "id")).alias("e")).select("query", F.col("e.id").alias("equal"))
+    index = p.where("score >= 0.5").select("id", F.col("score").alias("worth"), t.words(F.col("low")).alias("words")).withColumn("length", F.size("words"))
+    terms = asked.select("query", F.explode("ws").alias("term"))
+    order = F.struct((-F.round("score", 6)).alias("bm"), (-F.col("worth")).alias("score"), "id")
+    close = covering(index, "id", term_weights(index, terms), terms).groupBy("query").agg(F.min(order).alias("b")).select("query", F.col("b.id").alias("close"))
     how = F.when(F.col("equal").isNotNull(), "exact").when(F.col("close").isNotNull(), "words").otherwise("none")
     return asked.select("query").join(equal, "query", "left").join(close, "query", "left").select("query", F.coalesce("equal", "close", F.lit(-1)).alias("id"), how.alias("how"))
 

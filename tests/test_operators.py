@@ -94,6 +94,20 @@ def test_routes(spark):
     assert got == {0: "kept", 1: "duplicate", 2: "quarantine", 3: "review"}
 
 
+def test_documents_with_all_terms_of_a_query(spark):
+    """The same documents and scores as where all are scored and counted, without a row for each term of each."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))) for i in range(200)]
+    asked = spark.createDataFrame([(q, x) for q, ws in {"one": "a", "two": "ab", "three": "bcd", "none": "az"}.items() for x in ws], "query string, term string")
+    index = search.tokens(spark.createDataFrame(docs, "id long, text string"), "id", "text")
+    k = asked.groupBy("query").agg(F.count("*").alias("k"))
+    want = {(r["query"], r["id"]): r["score"] for r in search.bm25(index, "id", asked).join(k, "query").where("met = k").collect()}
+    found = search.covering(index, "id", search.term_weights(index, asked), asked)
+    assert {(r["query"], r["id"]): pytest.approx(r["score"], abs=1e-9) for r in found.collect()} == want and len(want) > 50
+    shuffled = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in shuffled
+
+
 def test_bm25_by_hand(spark):
     docs = [(1, "a b"), (2, "a a c d"), (3, "e")]
     index = search.tokens(spark.createDataFrame(docs, "id long, text string"), "id", "text")
