@@ -15,6 +15,9 @@ from pyspark.sql.types import StringType
 SPACE = r"[\s\x0B\p{Z}]+"
 NON_WORD = r"[^\p{L}\p{N}_\s\x0B\p{Z}'-]+"
 WORD = r"[\p{L}\p{N}]+"
+# What white space, and what other than word characters, is made a single space; a space alone is left, so a match is rare.
+_SPACES = r"[\s\x0B\p{Z}&&[^ ]][\s\x0B\p{Z}]*+| [\s\x0B\p{Z}]++"
+_GAPS = r"[^\p{L}\p{N}_' -][^\p{L}\p{N}_'-]*+| [^\p{L}\p{N}_'-]++"
 
 
 @F.pandas_udf(StringType())
@@ -31,12 +34,16 @@ def casefold_key(text: pd.Series) -> pd.Series:
 
 def normalize_text(c: Column) -> Column:
     """Without byte order marks, white space single and trimmed; null is empty. For text in normal form C."""
-    return F.trim(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\ufeff"), F.lit("")), SPACE, " "))
+    return F.trim(F.regexp_replace(_bare(c), _SPACES, " "))
+
+
+def _bare(c: Column) -> Column:
+    return F.replace(F.coalesce(c, F.lit("")), F.lit("\ufeff"), F.lit(""))
 
 
 def normalize_word(c: Column) -> Column:
     """Lower case, other than word characters, apostrophe and hyphen to spaces, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(normalize_text(c)), NON_WORD, " "), SPACE, " "))
+    return F.trim(F.regexp_replace(F.lower(_bare(c)), _GAPS, " "))
 
 
 def pair_key(source: Column, target: Column) -> Column:

@@ -84,3 +84,10 @@ def test_base_forms(spark, word, bases):
 
 def test_alternatives(spark):
     assert one(spark, t.split_alternatives(F.col("a")), a=" a; b ;; c") == ["a", "b", "c"]
+
+
+def test_a_word_form_takes_one_pattern(spark):
+    """White space and marks go in one pass, and single spaces aren't matched; the result is that of the three steps."""
+    text = "\ufeff The\u00a0 red-hot  'bolt'\t\x0b_x_, (no. 7)\u3000é!\x85\n "
+    assert one(spark, t.normalize_word(F.col("a")), a=text) == "the red-hot 'bolt' _x_ no 7 é"
+    assert str(t.normalize_word(F.col("a"))).count("regexp_replace") == 1
