@@ -226,10 +226,14 @@ def _between(met: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
     return _distinct(close.select(F.col("keya").alias("a"), F.col("keyb").alias("b")))
 
 
+def _needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts that are in a pair."""
+    needed = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    return texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "key", "left_semi")
+
+
 def _packed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """key and the compressed text of what is in a pair, each once, written out."""
-    needed = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -237,12 +241,50 @@ def _packed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             found = [pack((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "packed"])
 
-    chosen = texts.join(needed, "key", "left_semi").mapInArrow(run, "key long, packed binary")
+    chosen = _needed(texts, pairs).mapInArrow(run, "key long, packed binary")
     return checkpointed(chosen.groupBy("key").agg(F.first("packed").alias("packed")))
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each of two to four places a shingle, at least 64, set if an odd number of shingles fall there."""
+    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    at = (tokens ^ (tokens >> np.uint64(32))) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differ_at_least(one: bytes, two: bytes) -> int:
+    """How many shingles are in one of two sets only, at least: the bits that differ, the longer sketch folded to the other's length."""
+    x, y = sorted((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _plausible(pairs: DataFrame, texts: DataFrame, hasher: Hasher, threshold: float) -> DataFrame:
+    """The pairs that sketches of their sets don't rule out, written out; none that reaches the threshold is lost.
+
+    Sketches are a small part of the texts' size, and no set is made more than once for them.
+    """
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for keys, sets in _sets(batch, hasher, seen):
+                yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int32()), pa.array(list(map(_sketch, sets)), pa.binary())], ["key", "n", "sketch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (1 - threshold) / (1 + threshold) * (batch.column(2).to_numpy() + batch.column(4).to_numpy()) + _SLACK
+            least = [_differ_at_least(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(np.array(least, np.int64) <= most))
+
+    made = checkpointed(_needed(texts, pairs).mapInArrow(sketches, "key long, n int, sketch binary").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    left, right = made.toDF("a", "na", "sa"), made.toDF("b", "nb", "sb")
+    return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, hasher: Hasher, threshold: float) -> DataFrame:
-    """The pairs whose sets reach the threshold, written out. Compressed texts travel: the sets are larger."""
+    """The pairs whose sets reach the threshold, written out. Of pairs that sketches leave, compressed texts travel: the sets are larger."""
+    pairs = _plausible(pairs, texts, hasher, threshold)
     packed = _packed(texts, pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +292,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, hasher: Hasher, threshold: flo
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                sides = [hasher([unpack(x.as_buffer()) for x in part.column(c)]) for c in (2, 3)]
+                # Each text's set is made once: many pairs have their second text in common.
+                there = dict(zip([*part.column(0).to_pylist(), *part.column(1).to_pylist()], [x for c in (2, 3) for x in part.column(c)]))
+                sets = dict(zip(there, hasher([unpack(x.as_buffer()) for x in there.values()])))
                 keep = []
-                for x, y in zip(*sides):
+                for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    x, y = sets[a], sets[b]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(both >= threshold * (len(x) + len(y) - both) - _SLACK)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*")
 _DIGITS = regex.compile(r"\p{Nd}+")
 # Byte tables: A-Z in lower case, ASCII white space.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,11 +54,38 @@ def word_shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
     return [np.unique(made[a:b]) for a, b in zip(edges, edges[1:])]
 
 
+@cache
+def _in_words() -> np.ndarray:
+    """Of every code point whether it is a letter or a number."""
+    found = np.zeros(0x110000, bool)
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    found[[ord(c) for c in regex.findall(r"[\p{L}\p{N}]", everything)]] = True
+    return found
+
+
+def loose_words(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """All words of letters and numbers, with apostrophes inside, A-Z in lower case, and how many each text has."""
+    joined = b"".join([t + b"\n" for t in texts]).decode("utf-8", "replace")
+    points, data = np.frombuffer(joined.encode("utf-32-le"), np.uint32), np.frombuffer(joined.encode(), np.uint8)
+    solid = np.append(_in_words()[points], False)
+    inner = np.flatnonzero((points == 0x27) | (points == 0x2019))
+    solid[inner[(solid[inner - 1] & solid[inner + 1])]] = True
+    edges = np.flatnonzero(np.diff(solid, prepend=False))
+    begins, stops = edges[::2], edges[1::2]
+    size = 1 + (points > 0x7F).view(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+    upto = np.append(0, np.cumsum(np.where(solid[:-1], size, 0)))  # bytes of words up to a place
+    words = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(0, upto[stops])), pa.py_buffer(_LOWER[data[np.repeat(solid[:-1], size)]])]
+    )
+    starts = np.append(0, np.cumsum(size))[begins]  # of words, in bytes
+    lengths = np.array([len(t) + 1 if t.isascii() else len(t.decode("utf-8", "replace").encode()) + 1 for t in texts], np.int64)
+    return words, np.diff(np.searchsorted(starts, np.cumsum(np.append(0, lengths))))
+
+
 def loose_shingles(texts: list[bytes]) -> list[np.ndarray]:
     """Of each text the distinct lower-case words, runs of digits as #, and pairs of neighbours."""
-    found = [_WORD.findall(t.decode("utf-8", "replace")) for t in texts]
-    per_text = np.fromiter(map(len, found), np.int64, len(found))
-    hashed = _hashed(pa.array([w for ws in found for w in ws], pa.large_string()), lambda w: _DIGITS.sub("#", w.lower()))
+    words, per_text = loose_words(texts)
+    hashed = _hashed(words, lambda w: w if w.isalpha() else _DIGITS.sub("#", w.decode().lower()))
     pairs, counts = _runs(hashed, per_text, 2, 0)
     ends, stops = np.cumsum(per_text).tolist(), np.cumsum(counts).tolist()
     return [np.unique(np.concatenate([hashed[e - n : e], pairs[s - m : s]])) for e, n, s, m in zip(ends, per_text.tolist(), stops, counts.tolist())]

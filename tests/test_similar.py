@@ -112,3 +112,32 @@ def test_shingles_of_many_texts():
     assert all((np.diff(s.astype(object)) > 0).all() for s in sets)
     assert word_shingles([], 5) == [] and loose_shingles([]) == []
     assert [len(s) for s in loose_shingles([b"", b"A b 12", b"a B 7", b"one"])] == [0, 5, 5, 1]
+
+
+def test_sketches_rule_out_what_is_far_and_nothing_similar(spark):
+    rng = random.Random(5)
+    close = far = 0
+    for _ in range(400):
+        one = np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randrange(1, 900))], np.uint64))
+        kept = one[np.array([rng.random() < rng.choice((0.3, 0.95)) for _ in one], bool)]
+        two = np.union1d(kept, np.array([rng.getrandbits(64) for _ in range(rng.randrange(0, 40))], np.uint64))
+        least = prefix_join._differ_at_least(prefix_join._sketch(one), prefix_join._sketch(two))
+        assert least <= len(np.setxor1d(one, two))
+        both = len(np.intersect1d(one, two))
+        if both < 0.6 * (len(one) + len(two) - both):
+            far += 1
+            close += least <= (len(one) + len(two)) / 9
+    assert far > 100 and close < 0.1 * far
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words), " ".join([*words[:290], "x"]), " ".join(words[::2])]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (2, 1)], "a long, b long")
+    assert [tuple(r) for r in prefix_join._plausible(pairs, df, partial(word_shingles, width=1), 0.8).collect()] == [(1, 0)]
+
+
+def test_loose_words_at_odd_places():
+    texts = ["a'b ''c' d’’e’1 'x", "", "'", "É'É ß٣-x_y", "中文 \U0001d400́z", "A1b22"]
+    got = loose_shingles([t.encode() for t in texts] + [b"\xffa'b\xc3"])
+    alone = [loose_shingles([t.encode()])[0] for t in texts]
+    assert all(np.array_equal(x, y) for x, y in zip(got, alone))
+    assert [len(x) for x in got] == [len(loose(t)) for t in [*texts, "a'b"]]
