@@ -136,14 +136,29 @@ def _shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
     return word_shingles(texts, width)
 
 
+def proposals(docs: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) of ``raw``, XXH64 of a text: texts whose fingerprints of ``width``-word shingles differ in at most two bits.
+
+    Texts of one fingerprint meet the least of them, and of two linked
+    fingerprints the least texts meet, so a crowd makes a pair a text.
+    """
+    made = materialize(fingerprints(docs, width).select("raw", "fp").distinct())
+    least = materialize(made.groupBy("fp").agg(F.min("raw").alias("least")))
+    alike = made.join(least, "fp").where("raw <> least").select(F.col("raw").alias("a"), F.col("least").alias("b"))
+    of = lambda side: least.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
+    met = links(least.select("fp")).join(of("a"), "a").join(of("b"), "b")
+    return alike.unionByName(met.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
     """One document of each group of near copies, that with its smallest doc_id, with all columns of ``docs``.
 
     Documents are linked if their sets of ``width``-word shingles (of words as
-    in ``near_dedup``) reach a Jaccard similarity of ``similarity``. Pairs meet
-    by an exact prefix-filter join, not by SimHash: at 0.8 fingerprints differ
-    in 4 to 14 bits, and no link may be lost in a crowd. See ``similar_groups``,
-    also for ``frequent``.
+    in ``near_dedup``) reach a Jaccard similarity of ``similarity``. SimHash by
+    pigeonhole blocks proposes pairs (see ``proposals``), which are verified and
+    connected first. At 0.8 fingerprints differ in 4 to 14 bits, and no link may
+    be lost, so an exact prefix-filter join then finds what is similar and not
+    connected yet. See ``similar_groups``, also for ``frequent``.
 
     Groups are told apart by their roots: texts that only share a doc_id, or
     have none, all stay. A document without a doc_id is kept if its group has
@@ -153,7 +168,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SI
     doc_id and text pass through whatever their names.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), "text")
-    linked = similar_groups(keyed.select(F.col("raw").alias("key"), "text"), partial(_shingles, width=width), similarity, frequent=frequent)
+    linked = similar_groups(keyed.select(F.col("raw").alias("key"), "text"), partial(_shingles, width=width), similarity, frequent=frequent, proposed=proposals(docs, width))
     counted = materialize(keyed.groupBy("doc_id", "raw").agg(F.count("*").alias("n")))
     rooted = counted.join(linked.withColumnRenamed("node", "raw"), "raw", "left").withColumn("root", F.coalesce("root", "raw"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")

@@ -306,7 +306,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, hasher: Hasher, threshold: flo
     return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long"))
 
 
-def similar_groups(texts: DataFrame, hasher: Hasher, threshold: float, least: int = 1, frequent: int = FREQUENT) -> DataFrame:
+def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs whose texts aren't connected yet."""
+    one, two = linked.toDF("a", "roota"), linked.toDF("b", "rootb")
+    return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b")
+
+
+def similar_groups(
+    texts: DataFrame, hasher: Hasher, threshold: float, least: int = 1, frequent: int = FREQUENT, proposed: DataFrame | None = None
+) -> DataFrame:
     """(node, root): every text that is similar to another, by key, with the least key it is connected to, itself if there is none less.
 
     ``texts`` has key (long, one of equal texts) and text. Texts are similar if
@@ -321,11 +329,17 @@ def similar_groups(texts: DataFrame, hasher: Hasher, threshold: float, least: in
     copies by a pair a text; then those meet that aren't connected. Every pair
     that meets is verified. ``frequent`` bounds how many shingles are told
     apart as frequent; fewer or none change the work alone.
+
+    ``proposed`` has pairs (a, b) that another method found. They are verified
+    first; what they connect isn't compared again, what they lack is found by
+    the join.
     """
     texts = texts.select(F.col("key").cast("long").alias("key"), F.col("text").alias("text"))
+    known = None if proposed is None else components(_verified(checkpointed(_distinct(proposed)), texts, hasher, threshold))
     met = _met(texts, hasher, threshold, least, _frequent(texts, hasher, frequent))
-    found = _verified(checkpointed(_to_first(met, threshold)), texts, hasher, threshold)
-    linked = components(found)
+    first = _to_first(met, threshold)
+    found = _verified(checkpointed(first if known is None else _apart(first, known)), texts, hasher, threshold)
+    linked = components(found if known is None else found.unionByName(known.toDF("a", "b")))
     left = checkpointed(_between(met, linked, threshold))
     if not left.isEmpty() and not (more := _verified(left, texts, hasher, threshold)).isEmpty():
         # Earlier components count as the stars they are, so few steps are left.

@@ -194,6 +194,23 @@ def test_stage_against_brute_force_on_planted_near_copies(spark):
         assert {r["doc_id"] for r in simhash.drop_near_duplicates(df, frequent=frequent).collect()} == set(truth)
 
 
+def test_the_stage_takes_what_fingerprints_propose_and_verifies_it(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"t{k}w{rng.randrange(900)}" for _ in range(1500)) for k in range(6)]
+    texts += [t + " one more word" for t in texts[:4]] + [texts[0] + " and another", "", " ", "a b", "a  b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = {r["raw"]: r["doc_id"] for r in df.select("doc_id", F.xxhash64("text").alias("raw")).collect()}
+    fps = [brute_fingerprint(t, 5) for t in texts]
+    got = {frozenset((raw[r["a"]], raw[r["b"]])) for r in simhash.proposals(df, 5).collect()}
+    assert got and all((fps[i] ^ fps[j]).bit_count() <= 2 for i, j in map(sorted, got))
+    assert {frozenset((k, k + 6)) for k in range(4) if (fps[k] ^ fps[k + 6]).bit_count() <= 2} <= got
+    nothing = lambda *_: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr("sparkloom.operators.prefix_join._to_first", nothing)
+    monkeypatch.setattr("sparkloom.operators.prefix_join._between", nothing)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    assert kept.isdisjoint(max(p) for p in got) and set(range(6)) <= kept
+
+
 def test_a_crowd_of_near_copies_is_connected(spark):
     """300 copies of one text, each with its own changed words, and 150 texts that share half their shingles but aren't copies."""
     rng = random.Random(8)
