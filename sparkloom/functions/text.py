@@ -111,8 +111,9 @@ def fraction_of(key: Column) -> Column:
 
 def spelling_tokens(c: Column) -> Column:
     """Lower-case words of a to z with inner apostrophes and hyphens and an optional last apostrophe; one form of each mark."""
-    folded = F.translate(F.lower(c), "’‘ʼ`´‐‑", "'''''--")
-    return F.regexp_extract_all(folded, F.lit("[a-z]+(?:['-][a-z]+)*'?"), F.lit(0))
+    # Patterns, for translate looks every character up; texts without such a mark pass as they are.
+    folded = F.when(c.rlike("[’‘ʼ`´‐‑]"), F.regexp_replace(F.regexp_replace(c, "[’‘ʼ`´]", "'"), "[‐‑]", "-")).otherwise(c)
+    return F.regexp_extract_all(F.lower(folded), F.lit("[a-z]++(?:['-][a-z]++)*+'?+"), F.lit(0))
 
 
 def spelling_family(form: Column) -> Column:

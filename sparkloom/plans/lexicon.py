@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.lineage import checkpointed
 from ..operators.prefix_join import similar_groups
 from ..operators.shingles import loose_shingles
 from ..sources.views import SQL, lines, table
@@ -32,10 +33,13 @@ def base_counts(words: DataFrame) -> DataFrame:
 
 
 def ngrams(docs: DataFrame, n: int) -> DataFrame:
-    """src, gram, uses: runs of n tokens, counted per source."""
-    w = docs.select(F.col("lang").alias("src"), t.spelling_tokens(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= n)
-    gram = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat_ws(" ", F.slice("w", i, n)))
-    return w.select("src", F.explode(gram).alias("gram")).groupBy("src", "gram").agg(F.count("*").alias("uses"))
+    """src, w1 to wn, uses: at every place the n tokens that begin there, counted per source; null where the text ends before."""
+    w = docs.select(F.col("lang").alias("src"), t.spelling_tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    names = [f"w{k + 1}" for k in range(n)]
+    # Neighbours come from the text's own array; what reaches past its end is null.
+    shifted = [F.slice("w", F.lit(k + 1), F.greatest(F.size("w"), F.lit(1))).alias(name) for k, name in enumerate(names)]
+    each = w.select("src", F.inline(F.arrays_zip(*shifted)).alias(*names))
+    return each.groupBy("src", *names).agg(F.count("*").alias("uses"))
 
 
 @query(
@@ -47,8 +51,14 @@ SELECT src, n, gram, count(*) AS uses FROM g GROUP BY ALL HAVING uses >= 5"""
 )
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Words, pairs and triples used five times or more in a language."""
-    d = _docs(spark, sf)
-    parts = [ngrams(d, n).where("uses >= 5").select("src", F.lit(n).alias("n"), "gram", "uses") for n in (1, 2, 3)]
+    # The texts are read once: pairs and words are counted from the counts of triples.
+    counts = checkpointed(ngrams(_docs(spark, sf), 3))
+    pairs = checkpointed(counts.groupBy("src", "w1", "w2").agg(F.sum("uses").alias("uses")))
+    words = pairs.groupBy("src", "w1").agg(F.sum("uses").alias("uses"))
+    parts = [
+        c.where(F.col("uses") >= 5).where(F.col(f"w{n}").isNotNull()).select("src", F.lit(n).alias("n"), F.concat_ws(" ", *[f"w{k}" for k in range(1, n + 1)]).alias("gram"), "uses")
+        for n, c in ((1, words), (2, pairs), (3, counts))
+    ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -78,11 +88,10 @@ def join_variants(spark: SparkSession, sf: str) -> DataFrame:
 
     Pairs and hyphenated forms propose cuts, so no word is cut at every place.
     """
-    d = _docs(spark, sf)
-    allw = word_counts(d).groupBy("form").agg(F.sum("n").alias("n"))
-    pairs = ngrams(d, 2).groupBy("gram").agg(F.sum("uses").alias("n_split"))
-    plain = ~F.col("split").rlike("['-]") & F.col("split").rlike("^[a-z]+ [a-z]+$")
-    c = pairs.select(F.col("gram").alias("split"), "n_split").unionByName(
+    counts = checkpointed(ngrams(_docs(spark, sf).withColumn("lang", F.lit(None).cast("string")), 2).drop("src"))
+    allw = checkpointed(counts.groupBy(F.col("w1").alias("form")).agg(F.sum("uses").alias("n")))
+    plain = F.col("split").rlike("^[a-z]+ [a-z]+$")
+    c = counts.where("w2 IS NOT NULL").select(F.concat_ws(" ", "w1", "w2").alias("split"), F.col("uses").alias("n_split")).unionByName(
         allw.where(F.col("form").rlike("^[a-z]+-[a-z]+$")).select(F.translate("form", "-", " ").alias("split"), F.lit(0).cast("long").alias("n_split"))
     ).where(plain).groupBy("split").agg(F.max("n_split").alias("n_split"))
     k = c.withColumns({"joined": F.regexp_replace("split", " ", ""), "hyphenated": F.translate("split", " ", "-")}).where(F.char_length("joined") >= 3)
@@ -111,7 +120,8 @@ SELECT key, CASE WHEN divided THEN '' ELSE arg_min(best, (-votes, -ref, best)) E
 def spelling_votes(spark: SparkSession, sf: str) -> DataFrame:
     """Each language votes for its commonest spelling of a family; a divided one stops the suggestion; English breaks ties."""
     w = word_counts(_docs(spark, sf)).groupBy("src", F.regexp_replace("form", "'+$", "").alias("form")).agg(F.sum("n").alias("n"))
-    k = w.withColumn("key", t.spelling_family(F.col("form")))
+    # Written out: the families and their votes both need it, and the texts are read once.
+    k = checkpointed(w.withColumn("key", t.spelling_family(F.col("form"))))
     multi = k.groupBy("key").agg(F.min("form").alias("x"), F.max("form").alias("y")).where("x <> y").select("key")
     per = k.join(multi, "key").groupBy("key", "src").agg(F.sort_array(F.collect_list(F.struct(-F.col("n"), "form"))).alias("f"), F.sum("n").alias("uses")).where("uses >= 3")
     s = per.select("key", "src", "uses", F.col("f")[0]["form"].alias("best"), F.coalesce(-F.get("f", F.lit(1))[f"col1"], F.lit(0)).alias("second"))
