@@ -9,6 +9,8 @@ from ..functions.text import normalize_word, words
 from .lineage import checkpointed
 
 K1, B = 1.2, 0.75
+#: Terms up to which they are broadcast.
+BROADCAST_ROWS = 1 << 17
 
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -21,17 +23,22 @@ def bm25(index: DataFrame, key: str, asked: DataFrame) -> DataFrame:
     """(query, key, score) of every document with a term of a query; ``asked`` has (query, term).
 
     Words that nobody asks for are dropped before anything is counted or
-    shuffled; the number and mean length of documents come from their rows.
+    shuffled. The texts are read once: the empty term, which no word is, stands
+    for the documents' number and mean length. Words may be as they are written.
     """
-    terms = asked.select("term").distinct()
-    stats = index.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    met = index.select(key, "length", F.explode("words").alias("term")).join(terms, "term")
-    hit = met.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    terms = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
+    asked = checkpointed(asked.select("query", "term").distinct())
+    small = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda rows: rows
+    said = index.where("length > 0").select(key, "length", F.explode(F.array_append("words", F.lit(""))).alias("term")).withColumn("term", F.lower("term"))
+    met = checkpointed(said.join(small(terms), "term").groupBy(key, "term", "length").agg(F.count("*").alias("tf")))
+    stats = met.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
+    hit = met.where("term <> ''")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hit.join(df, "term").crossJoin(F.broadcast(stats)).select(key, "term", weight.alias("weight"))
-    return scored.join(asked.distinct(), "term").groupBy("query", key).agg(F.sum("weight").alias("score"), F.count("*").alias("met"))
+    # A document's words come together before they meet the queries: its scores are summed there, and no pair of both travels.
+    scored = hit.join(small(df), "term").crossJoin(F.broadcast(stats)).select(key, "term", weight.alias("weight")).repartition(key)
+    return scored.join(small(asked), "term").groupBy("query", key).agg(F.sum("weight").alias("score"), F.count("*").alias("met"))
 
 
 def term_weights(index: DataFrame, asked: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ SELECT query, key AS doc_id, score, row_number() OVER (PARTITION BY query ORDER
 )
 def pair_search_bm25(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best documents for each benchmark item by BM25."""
-    index = tokens(_docs(spark, sf), "doc_id", "text")
+    index = _docs(spark, sf).select("doc_id", t.words(F.col("text")).alias("words")).withColumn("length", F.size("words"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(F.transform(t.words(F.col("text")), F.lower))).alias("term"))
     scored = bm25(index, "doc_id", asked).select("query", "doc_id", F.round("score", 6).alias("score"))
     return top(scored, "query", [F.desc("score"), "doc_id"], 10)
