@@ -16,13 +16,14 @@ from .registry import query
 VERSION = "1.0"
 
 
-def learned_rules(docs: DataFrame) -> DataFrame:
+def learned_rules(counts: DataFrame) -> DataFrame:
     """rule_id, variant, standard, mode: of words that differ by apostrophes, hyphens or doubled vowels the commonest is standard.
 
     Where the commonest has four fifths of a family's uses its variants are
-    replaced, else flagged. A rule is named by its family's key.
+    replaced, else flagged. A rule is named by its family's key. ``counts`` are
+    those of ``base_counts``.
     """
-    words = base_counts(word_counts(docs)).withColumn("rule_id", t.spelling_family(F.col("form"))).where(F.col("form").rlike("^[a-z'-]+$"))
+    words = checkpointed(counts.withColumn("rule_id", t.spelling_family(F.col("form"))).where(F.col("form").rlike("^[a-z'-]+$")))
     best = words.groupBy("rule_id").agg(F.max(F.struct("n", "form")).alias("best"), F.sum("n").alias("uses"), F.count("*").alias("forms")).where("forms > 1 AND uses >= 5")
     mode = F.when(F.col("best.n") >= 0.8 * F.col("uses"), "replace").otherwise("flag")
     met = words.join(best, "rule_id").where(F.col("form") != F.col("best.form"))
@@ -51,7 +52,7 @@ SELECT doc_id, line_no::BIGINT AS line_no, line_standard, array_to_string(list_s
 def standard_form_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Every line that the rules learned from the corpus change or flag, in its standard form, with the rules and the number of flags."""
     docs = table(spark, sf, "documents")
-    rules = checkpointed(learned_rules(docs))
+    rules = checkpointed(learned_rules(base_counts(word_counts(docs))))
     made = standardized(lines(docs).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line"), "line", rules, VERSION)
     used, flags = F.col("line_standard_rules"), F.size("line_standard_flags").cast("long")
     return made.where((F.size(used) > 0) | (flags > 0)).select(
@@ -68,8 +69,9 @@ SELECT word, array_to_string(coalesce(forms, [word]), ',') AS forms FROM (SELECT
 def standard_search_forms(spark: SparkSession, sf: str) -> DataFrame:
     """All spellings that a search for a word should match, for the dictionary's words and the corpus's common ones."""
     docs = table(spark, sf, "documents")
-    rules = checkpointed(learned_rules(docs))
-    asked = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).union(base_counts(word_counts(docs)).where("n >= 5").select("form"))
+    counts = checkpointed(base_counts(word_counts(docs)))
+    rules = checkpointed(learned_rules(counts))
+    asked = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).union(counts.where("n >= 5").select("form"))
     return search_forms(asked.distinct(), rules).select("word", F.array_join("forms", ",").alias("forms"))
 
 
