@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components  # noqa: F401 - shared with the operators
 from ..sources.views import spread
 
 
@@ -103,35 +104,3 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.
 #: Byte table that lower-cases A-Z and leaves every other byte alone.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b) long pairs: rows (node, root), root the smallest node reachable.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014): each
-    is one aggregation by node and one join, no step gathers a neighbourhood,
-    and the number of edges never grows. Nodes without an edge aren't returned.
-    """
-    checksum = lambda rows: rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges = materialize(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    )
-    seen = checksum(edges)
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = (
-            joined.select("a", F.col("m").alias("b"))
-            .unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-            .distinct()
-        )
-        edges = materialize(small)
-        now = checksum(edges)
-        if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import folds, scoring, search
+from sparkloom.operators import components as connected
+from sparkloom.operators import lineage
 from sparkloom.operators.components import components
 from sparkloom.operators.dedup import keep_best, keep_first, nearest_rank
 from sparkloom.operators.numbering import numbered
@@ -133,6 +135,23 @@ def test_components(spark):
     assert got == {2: 1, 3: 1, 4: 1, 9: 8}
 
 
+def test_components_leave_few_files(spark, monkeypatch):
+    """Each task of each step leaves files, so a step has the tasks that its edges need, not those of the session's shuffles."""
+    parts = []
+    kept = lineage.checkpointed
+    monkeypatch.setattr(connected, "checkpointed", lambda df: (out := kept(df), parts.append(out.rdd.getNumPartitions()))[0])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 97)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+        assert {(r["node"], r["root"]) for r in components(path).collect()} == {(i, 0) for i in range(1, 41)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(parts) > 2 and max(parts[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_scores_of_perfect_and_empty():
     good = np.array(scoring.sentence_statistics("the cat sat on a mat", "the cat sat on a mat"))
     assert scoring.chrf(good) == pytest.approx(100) and scoring.bleu(good) == pytest.approx(100)
