@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NON_WORD, numbers
+from .text import numbers
 
 # Function words, penalties and flag classes.
 FUNCTION_WORDS = (
@@ -36,33 +36,42 @@ MISMATCH_SHARE = 0.45
 
 
 _GAP = r"\s\x0B\p{Z}"
+# A run without white space; most are of visible ASCII characters, which one range tells.
+_PIECE = f"(?:[!-~]++|[^{_GAP}])++"
+_TWO_PIECES = f"[^{_GAP}][{_GAP}]++[^{_GAP}]"
+MOST_PIECES = 80
+# What ASCII words are made of.
+_IN_WORD = r"[\w'-]"
+_KNOWN = f"(?i)(?<!{_IN_WORD})(?:{'|'.join(FUNCTION_WORDS)})(?!{_IN_WORD})"
 
 
-def _pieces(c: Column) -> Column:
-    """How many runs without white space a text has."""
-    return F.regexp_count(c, F.lit(f"[^{_GAP}]+"))
+def _many_pieces(c: Column) -> Column:
+    """More than ``MOST_PIECES`` runs without white space; shorter texts than those with a space between can't have them and aren't counted."""
+    return F.coalesce((F.char_length(c) > 2 * MOST_PIECES) & (F.regexp_count(c, F.lit(_PIECE)) > MOST_PIECES), F.lit(False))
 
 
 def mismatch(target: Column) -> Column:
     """An ASCII target that is English by its share of function words."""
-    tokens = F.lower(F.regexp_replace(target, NON_WORD, " "))
-    known = F.regexp_count(tokens, F.lit(f"(?<![^{_GAP}])(?:{'|'.join(FUNCTION_WORDS)})(?![^{_GAP}])"))
-    # The cheap test first: most other texts end there.
-    return ~target.rlike(r"[^\x00-\x7f]") & (known > 0) & (known / _pieces(tokens) >= MISMATCH_SHARE)
+    known = F.regexp_count(target, F.lit(_KNOWN))
+    # The cheap test first: most other texts end there, and what is left is ASCII.
+    return ~target.rlike(r"[^\x00-\x7f]") & (known > 0) & (known / F.regexp_count(target, F.lit(f"{_IN_WORD}++")) >= MISMATCH_SHARE)
 
 
 def quality_flags(source: Column, target: Column) -> Column:
     """The row-level flags in their fixed order; an empty side gives ``empty`` alone."""
     either = lambda pattern: source.rlike(pattern) | target.rlike(pattern)
-    n_source, n_target = _pieces(source), _pieces(target)
-    long = (F.greatest(F.char_length(source), F.char_length(target)) > 600) | (F.greatest(n_source, n_target) > 80)
+    # A side's second run shows early in it; a null side leaves it to the other.
+    two = F.coalesce(source.rlike(_TWO_PIECES), F.lit(False)) | F.coalesce(target.rlike(_TWO_PIECES), F.lit(False))
+    short = F.coalesce(source, target).isNotNull() & ~two
+    long = (F.greatest(F.char_length(source), F.char_length(target)) > 600) | _many_pieces(source) | _many_pieces(target)
+    html = (source.contains("<") & source.rlike(HTML)) | (target.contains("<") & target.rlike(HTML))
     flags = F.array_compact(
         F.array(
             F.when(source == target, "identical"),
             F.when(either(CONTROL), "invalid_unicode"),
-            F.when(either(HTML), "html_or_script"),
+            F.when(html, "html_or_script"),
             F.when(either(REPEAT), "suspicious_repeat"),
-            F.when(F.greatest(n_source, n_target) <= 1, "extremely_short"),
+            F.when(short, "extremely_short"),
             F.when(long, "extremely_long"),
             F.when(mismatch(target), "possible_language_mismatch"),
         )

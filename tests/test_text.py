@@ -91,3 +91,18 @@ def test_a_word_form_takes_one_pattern(spark):
     text = "\ufeff The\u00a0 red-hot  'bolt'\t\x0b_x_, (no. 7)\u3000é!\x85\n "
     assert one(spark, t.normalize_word(F.col("a")), a=text) == "the red-hot 'bolt' _x_ no 7 é"
     assert str(t.normalize_word(F.col("a"))).count("regexp_replace") == 1
+
+
+def test_flags_look_at_texts_no_longer_than_they_must(spark):
+    """A flag's patterns stop early or run over long texts only; no text is rewritten to count its words."""
+    rows = [
+        ("a " * 80, "x"), ("a " * 80 + "b", "x"), ("é　" * 81, "x"), ("x", "y"), ("x", "y z"), (None, "y"), ("x", None), (None, None),
+        ("un deux", "The cat, and (the) hat"), ("un deux", "the-cat and'the hat"), ("un deux", "of\x1fTHE;cat"), ("un deux", "the é"),
+    ]
+    flags = q.quality_flags(F.col("s"), F.col("t"))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s string, t string").select("i", flags.alias("flags"))
+    short, long, english = ["extremely_short"], ["extremely_long"], ["possible_language_mismatch"]
+    want = [[], long, long, short, [], short, short, [], english, [], ["invalid_unicode", *english], []]
+    assert [r["flags"] for r in df.orderBy("i").collect()] == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("regexp_count") <= 4
