@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, texts_of, without
+from .common import LOWER, frugal, materialize, texts_of, without
 
 #: A boundary falls where the top bits of a 32-byte rolling hash are zero: about every 2 KiB.
 BOUNDARY_BITS = 11
@@ -79,7 +79,7 @@ def _decisions(docs: DataFrame) -> DataFrame:
     )
     recipes = materialize(
         read.mapInArrow(
-            _recipes,
+            frugal(_recipes),
             "uid long, doc_id long, raw long, text_sha256 string, chunks array<struct<h long, check binary, size long>>",
         )
     )

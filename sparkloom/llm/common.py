@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components  # noqa: F401 - shared with the operators
+from ..operators.memory import frugal, give_back, release_memory  # noqa: F401 - shared with the operators
 from ..sources.views import spread
 
 
@@ -50,15 +49,6 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(at), drop
 
 
-def release_memory() -> None:
-    """Gives what a Python worker has freed back to the machine: workers are used again, and what they hold counts against the executor."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 #: Rows of doc_id and hash up to which a side is broadcast.
 BROADCAST_ROWS = 1 << 17
 

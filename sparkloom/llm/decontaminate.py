@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, release_memory, texts_of
+from .common import LOWER, frugal, materialize, texts_of
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -219,7 +219,7 @@ def _shards(benchmark: DataFrame, limit: int) -> Iterator[Index]:
     many indexes there are. With more than one, the documents are read as often.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").dropDuplicates()
-    items = materialize(rows.mapInArrow(_split_items, "item_id long, text string, words array<binary>, memory long").where(F.size("words") > 0))
+    items = materialize(rows.mapInArrow(frugal(_split_items), "item_id long, text string, words array<binary>, memory long").where(F.size("words") > 0))
     n, mean, memory = items.agg(F.count("*"), F.avg(F.size("words")), F.sum("memory")).first()
     each = items.select("item_id", "text", F.explode(F.array_distinct("words")).alias("word"))
     df = materialize(each.groupBy("word").agg(F.count("*").alias("df")))
@@ -285,11 +285,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, index_memory: int = INDEX_
         index = docs.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            release_memory()
             for batch in batches:
                 data, at = texts_of(batch)
                 clean = [not index.value.matches(data[at[i] : at[i + 1]].tobytes()) for i in range(len(at) - 1)]
                 yield batch.filter(pa.array(np.array(clean, bool)))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(frugal(run), docs.schema)
     return docs

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, materialize, release_memory, texts_of
+from .common import LOWER, frugal, give_back, materialize, release_memory, texts_of
 
 CAPACITY = 4096
 #: The id that ends every document.
@@ -23,6 +23,8 @@ END_ID = 1
 REMEMBERED = 500_000
 #: Bytes of texts whose words are looked up at once.
 TOGETHER = 2 << 20
+#: Words that go to the tokenizer at once: it keeps an offset and a string for each token.
+ENCODED = 1 << 12
 #: Pieces that are packed together in one task.
 PER_BUCKET = 20_000
 
@@ -63,18 +65,21 @@ class WordIds:
         letters = [i for i, t in enumerate(texts) if t.isalpha()]
         others = set(range(len(texts)))
         out = [b""] * len(words)
-        if letters:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in letters])], add_special_tokens=False)[0].ids, "<u4")
+        for k in range(0, len(letters), ENCODED):
+            part = letters[k : k + ENCODED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(letters) and at[-1] == len(ids):
+            if len(at) == len(part) and at[-1] == len(ids):
                 flat, begin = ids.tobytes(), 0
-                for i, end in zip(letters, (at * 4).tolist()):
+                for i, end in zip(part, (at * 4).tolist()):
                     out[i] = flat[begin:end]
                     begin = end
-                others.difference_update(letters)
+                others.difference_update(part)
         rest = sorted(others)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+        for k in range(0, len(rest), ENCODED):
+            part = rest[k : k + ENCODED]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)):
+                out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
     def _learn(self, words: list[bytes]) -> None:
@@ -103,7 +108,7 @@ class WordIds:
         """Little-endian 32-bit ids of each text, without an end id.
 
         Words are parted and made distinct by Arrow; Python sees each distinct
-        word once, and the ids are put in their places by numpy.
+        word once, and Arrow puts the ids in their places.
         """
         data = np.frombuffer(b"".join(texts), np.uint8)
         at = np.cumsum([0, *map(len, texts)])
@@ -115,15 +120,10 @@ class WordIds:
         lists = pc.split_pattern(whole, b" ")
         words = lists.flatten().dictionary_encode()
         ids = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        nth = words.indices.to_numpy()
-        n = sizes[nth]
-        ends = np.cumsum(n)
-        placed = flat[np.repeat(starts[nth] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
-        return [placed[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+        _, ends, placed = pa.array(ids, pa.large_binary()).take(words.indices).buffers()
+        edges = np.frombuffer(ends, np.int64)[lists.offsets.to_numpy()].tolist()
+        flat = memoryview(placed or b"")
+        return [bytes(flat[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 def _tokenizer(path: str) -> WordIds:
@@ -149,7 +149,6 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     """uid, doc_id, piece, start, length, ids_crc32: every text's ids and its end id, cut after ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         ids_of = _tokenizer(path or vocabulary())
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
@@ -174,9 +173,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["uid", "doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+                give_back()
 
     read = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    return read.mapInArrow(run, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return read.mapInArrow(frugal(run), "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, texts_of
+from .common import frugal, texts_of
 from .fitting import best_cut, descend, labelled, remainder
 from .packing import forget_words
 
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ran
             )
 
     sample = labelled(docs, labels, "quality", per_class).select("doc_id", "label", "text")
-    rows = sample.mapInArrow(run, "doc_id long, label int, x array<double>").toPandas()
+    rows = sample.mapInArrow(frugal(run), "doc_id long, label int, x array<double>").toPandas()
     if not len(rows):
         return None
     rows = rows.sort_values("doc_id", kind="stable")
@@ -154,7 +154,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_words()
-        release_memory()
         for batch in batches:
             if model.value is None:
                 yield batch
@@ -163,4 +162,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = [features(data[at[i] : at[i + 1]].tobytes()) for i in range(len(at) - 1)]
             yield batch.filter(pa.array(model.value.score(np.array(x).reshape(len(x), len(_NAMES))) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.prefix_join import FREQUENT, similar_groups
 from ..operators.shingles import word_shingles
-from .common import components, materialize, texts_of, without
+from .common import components, frugal, materialize, texts_of, without
 from .packing import forget_words
 
 SEED = 42
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp)], ["doc_id", "raw", "fp"])
 
     read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("raw"), "text")
-    return read.mapInArrow(run, "doc_id long, raw long, fp long")
+    return read.mapInArrow(frugal(run), "doc_id long, raw long, fp long")
 
 
 def links(fps: DataFrame, distance: int = 2, blocks: int = 4, join_up_to: int = 64) -> DataFrame:

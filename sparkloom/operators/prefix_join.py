@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .lineage import checkpointed
+from .memory import frugal
 
 #: Makes the sorted, distinct 64-bit hashes of each text's shingles.
 Hasher = Callable[[list[bytes]], list[np.ndarray]]
@@ -55,9 +56,13 @@ def _repeated(texts: DataFrame, hasher: Hasher) -> DataFrame:
         seen: set[int] = set()
 
         def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate([*waiting, np.zeros(0, np.uint32)]), return_counts=True)
+            tokens = np.concatenate([*waiting, np.zeros(0, np.uint32)])
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].astype(np.int64)), pa.array(n[n > 1])], ["token", "n"])
+            tokens.sort()
+            # Most are met once, so only runs of equal ones get numbers.
+            edges = np.flatnonzero(np.diff(tokens[1:] == tokens[:-1], prepend=False, append=False))
+            begins, stops = edges[::2], edges[1::2]
+            return pa.RecordBatch.from_arrays([pa.array(tokens[begins].astype(np.int64)), pa.array(stops - begins + 1)], ["token", "n"])
 
         size = 0
         for batch in batches:
@@ -69,7 +74,7 @@ def _repeated(texts: DataFrame, hasher: Hasher) -> DataFrame:
                     size = 0
         yield counted()
 
-    return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(frugal(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _frequent(texts: DataFrame, hasher: Hasher, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +142,8 @@ def _met(texts: DataFrame, hasher: Hasher, threshold: float, least: int, frequen
                 columns = [flat[place].view(np.int64), salt.astype(np.int32), key, n.astype(np.int32), p.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["token", "salt", "key", "n", "p"])
 
-    rows = texts.mapInArrow(prefixes, "token long, salt int, key long, n int, p int")
-    return checkpointed(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "key").mapInArrow(_grouped, _MET))
+    rows = texts.mapInArrow(frugal(prefixes), "token long, salt int, key long, n int, p int")
+    return checkpointed(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "key").mapInArrow(frugal(_grouped), _MET))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +246,7 @@ def _packed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             found = [pack((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "packed"])
 
-    chosen = _needed(texts, pairs).mapInArrow(run, "key long, packed binary")
+    chosen = _needed(texts, pairs).mapInArrow(frugal(run), "key long, packed binary")
     return checkpointed(chosen.groupBy("key").agg(F.first("packed").alias("packed")))
 
 
@@ -277,9 +282,9 @@ def _plausible(pairs: DataFrame, texts: DataFrame, hasher: Hasher, threshold: fl
             least = [_differ_at_least(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(np.array(least, np.int64) <= most))
 
-    made = checkpointed(_needed(texts, pairs).mapInArrow(sketches, "key long, n int, sketch binary").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    made = checkpointed(_needed(texts, pairs).mapInArrow(frugal(sketches), "key long, n int, sketch binary").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     left, right = made.toDF("a", "na", "sa"), made.toDF("b", "nb", "sb")
-    return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long"))
+    return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(frugal(run), "a long, b long"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, hasher: Hasher, threshold: float) -> DataFrame:
@@ -303,7 +308,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, hasher: Hasher, threshold: flo
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = packed.toDF("a", "pa"), packed.toDF("b", "pb")
-    return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long"))
+    return checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(frugal(run), "a long, b long"))
 
 
 def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
