@@ -109,11 +109,16 @@ def fraction_of(key: Column) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
-def spelling_tokens(c: Column) -> Column:
-    """Lower-case words of a to z with inner apostrophes and hyphens and an optional last apostrophe; one form of each mark."""
+def spelling_text(c: Column) -> Column:
+    """In lower case, with one form of apostrophes and hyphens."""
     # Patterns, for translate looks every character up; texts without such a mark pass as they are.
     folded = F.when(c.rlike("[’‘ʼ`´‐‑]"), F.regexp_replace(F.regexp_replace(c, "[’‘ʼ`´]", "'"), "[‐‑]", "-")).otherwise(c)
-    return F.regexp_extract_all(F.lower(folded), F.lit("[a-z]++(?:['-][a-z]++)*+'?+"), F.lit(0))
+    return F.lower(folded)
+
+
+def spelling_tokens(c: Column) -> Column:
+    """Lower-case words of a to z with inner apostrophes and hyphens and an optional last apostrophe; one form of each mark."""
+    return F.regexp_extract_all(spelling_text(c), F.lit("[a-z]++(?:['-][a-z]++)*+'?+"), F.lit(0))
 
 
 def spelling_family(form: Column) -> Column:

@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 _SPACE = np.isin(_LOWER, (9, 10, 11, 12, 13, 32))
 
 
-def _hashed(words: pa.Array, change=lambda w: w) -> np.ndarray:
+def hashed_words(words: pa.Array, change=lambda w: w) -> np.ndarray:
     """A 64-bit hash of every word; each distinct word is looked at once."""
     coded = words.dictionary_encode()
     distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -49,11 +49,23 @@ def word_shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
         pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(0, word[stops]).astype(np.int64)), pa.py_buffer(_LOWER[data][solid])]
     )
     per_text = np.diff(np.searchsorted(begins, np.cumsum([0] + [len(t) + 1 for t in texts])))
-    made, counts = _runs(_hashed(words), per_text, width, 1)
+    made, counts = _runs(hashed_words(words), per_text, width, 1)
     edges = np.cumsum([0, *counts]).tolist()
     return [np.unique(made[a:b]) for a, b in zip(edges, edges[1:])]
 
 
+def spelled_words(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """All words of lower-case texts as ``text.spelling_tokens`` cuts them, its marks folded already, and how many each text has."""
+    data = np.frombuffer(b"".join([t + b"\n" for t in texts]), np.uint8)
+    letter = (data >= 97) & (data <= 122)
+    after, before = np.append(False, letter)[: len(data)], np.append(letter, False)[1:]
+    solid = letter | ((data == 39) & after) | ((data == 45) & after & before)
+    edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    begins, stops = edges[::2], edges[1::2]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(0, np.cumsum(stops - begins))), pa.py_buffer(data[solid])])
+    return words, np.diff(np.searchsorted(begins, np.cumsum([0] + [len(t) + 1 for t in texts])))
+
+
 @cache
 def _in_words() -> np.ndarray:
     """Of every code point whether it is a letter or a number."""
@@ -85,7 +97,7 @@ def loose_words(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
 def loose_shingles(texts: list[bytes]) -> list[np.ndarray]:
     """Of each text the distinct lower-case words, runs of digits as #, and pairs of neighbours."""
     words, per_text = loose_words(texts)
-    hashed = _hashed(words, lambda w: w if w.isalpha() else _DIGITS.sub("#", w.decode().lower()))
+    hashed = hashed_words(words, lambda w: w if w.isalpha() else _DIGITS.sub("#", w.decode().lower()))
     pairs, counts = _runs(hashed, per_text, 2, 0)
     ends, stops = np.cumsum(per_text).tolist(), np.cumsum(counts).tolist()
     return [np.unique(np.concatenate([hashed[e - n : e], pairs[s - m : s]])) for e, n, s, m in zip(ends, per_text.tolist(), stops, counts.tolist())]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.grams import frequent_grams
 from ..operators.lineage import checkpointed
 from ..operators.prefix_join import similar_groups
 from ..operators.shingles import loose_shingles
@@ -51,15 +52,8 @@ SELECT src, n, gram, count(*) AS uses FROM g GROUP BY ALL HAVING uses >= 5"""
 )
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Words, pairs and triples used five times or more in a language."""
-    # The texts are read once: pairs and words are counted from the counts of triples.
-    counts = checkpointed(ngrams(_docs(spark, sf), 3))
-    pairs = checkpointed(counts.groupBy("src", "w1", "w2").agg(F.sum("uses").alias("uses")))
-    words = pairs.groupBy("src", "w1").agg(F.sum("uses").alias("uses"))
-    parts = [
-        c.where(F.col("uses") >= 5).where(F.col(f"w{n}").isNotNull()).select("src", F.lit(n).alias("n"), F.concat_ws(" ", *[f"w{k}" for k in range(1, n + 1)]).alias("gram"), "uses")
-        for n, c in ((1, words), (2, pairs), (3, counts))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # Most triples are used once: they are counted by hashes, and only what may be frequent travels as text.
+    return frequent_grams(F.col("lang"), t.spelling_text(F.coalesce("text", F.lit(""))), _docs(spark, sf), 5)
 
 
 @query(
