@@ -12,6 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hash_counts import bits_for, buckets_for, counted_hashes, marked, marks, packed_numbers, unpacked_numbers
 from .lineage import checkpointed
 from .memory import frugal
 from .shingles import hashed_words, spelled_words
@@ -19,30 +20,15 @@ from .shingles import hashed_words, spelled_words
 #: Words of a gram, at most.
 LONGEST = 3
 #: Hashes, and grams, that a task gathers before it passes them on.
-GATHERED = 1 << 22
+GATHERED = 1 << 23
 #: Bytes of texts that are worked on at once.
 TOGETHER = 2 << 20
 #: Places whose grams are told apart at once: three numbers of words below this fit a 64-bit number.
 AT_ONCE = 1 << 20
-#: Bytes of input for which there is a bucket of hashes.
-PER_BUCKET = 4 << 20
-#: Bits of a hash that are passed on beside its bucket: about one value in four is met, so few grams share one.
-REST = 23
 #: The filter of what may be frequent goes to all tasks in parts of two to this power bits, 64 MB; the texts are read once for each.
 MOST_BITS = 29
 
-_HASHES, _FOUND = "bucket int, hashes binary", "src string, grams binary, uses binary"
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """Sorted numbers: their differences, first all lowest bytes, then all second ones and so on, compressed."""
-    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T))
-
-
-def _unpacked(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+_FOUND = "src string, grams binary, uses binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, pa.LargeBinaryArray, np.ndarray]]:
@@ -79,65 +65,17 @@ def _gram_hashes(src: str | None, hashed: np.ndarray, left: np.ndarray, n: int)
     return at, made ^ (made >> np.uint64(31))
 
 
-def _may_be_frequent(texts: DataFrame, least: int, buckets: int, gathered: int) -> DataFrame:
-    """bucket, n, hashes: the ``REST`` bits after a bucket's of the hashes of all grams that are used ``least`` times or more, and how many these are.
-
-    A task passes a hash on as often as it met it, ``least`` times at most.
-    Grams whose hashes agree in these bits count together, so none is missed.
-    """
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
-
-        def passed() -> pa.RecordBatch:
-            met = np.concatenate([*waiting, np.zeros(0, np.uint64)])
-            waiting.clear()
-            met.sort()
-            met = met[np.append(np.ones(min(least, len(met)), bool), met[least:] != met[:-least])]
-            edges = np.searchsorted(met, np.arange((1 << buckets) + 1, dtype=np.uint64) << np.uint64(REST))
-            there = np.flatnonzero(np.diff(edges))
-            packed = [_packed((met[edges[b] : edges[b + 1]] & np.uint64((1 << REST) - 1)).astype(np.uint32)) for b in there]
-            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "hashes"])
-
-        size = 0
-        for src, words, left in _pieces(batches):
-            hashed = hashed_words(words)
-            for n in range(1, LONGEST + 1):
-                waiting.append(_gram_hashes(src, hashed, left, n)[1] >> np.uint64(64 - buckets - REST))
-                size += len(waiting[-1])
-            if size >= gathered:
-                yield passed()
-                size = 0
-        yield passed()
-
-    def often(group: pa.Table) -> pa.Table:
-        met = np.concatenate([_unpacked(x) for x in group.column("hashes").to_pylist()])
-        met.sort()
-        found = np.unique(met[least - 1 :][met[least - 1 :] == met[: max(0, len(met) - least + 1)]])
-        return pa.table({"bucket": group.column("bucket").slice(0, 1), "n": [len(found)], "hashes": pa.array([_packed(found)], pa.binary())})
-
-    return checkpointed(texts.mapInArrow(frugal(hashes), _HASHES).groupBy("bucket").applyInArrow(often, "bucket int, n long, hashes binary"))
-
-
-def _marks(found: DataFrame, buckets: int, bits: int, within: range) -> bytes:
-    """A bit for each value that the upper ``bits`` bits of hashes of some buckets have, set for those that were found."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                marks = np.zeros(1 << (bits - buckets), bool)
-                marks[_unpacked(packed) >> np.uint32(REST - bits + buckets)] = True
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
-
-    made = found.where(F.col("bucket").between(within.start, within.stop - 1)).select("bucket", "hashes").mapInArrow(frugal(run), "bucket int, marks binary").toArrow()
-    there = dict(zip(made["bucket"].to_pylist(), made["marks"].to_pylist()))
-    return b"".join(there.get(b, bytes(1 << (bits - buckets - 3))) for b in within)
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for src, words, left in _pieces(batches):
+        hashed = hashed_words(words)
+        for n in range(1, LONGEST + 1):
+            yield _gram_hashes(src, hashed, left, n)[1]
 
 
 def _lines(grams: pa.Array) -> bytes:
     """The grams, each followed by a line break, compressed."""
     joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(grams)], pa.int64()), grams), pa.scalar(b"\n", pa.large_binary()))[0].as_py()
-    return zstandard.ZstdCompressor(level=3).compress(joined + b"\n")
+    return zstandard.ZstdCompressor(level=9).compress(joined + b"\n")
 
 
 def _read_lines(packed: bytes) -> pa.LargeBinaryArray:
@@ -147,15 +85,6 @@ def _read_lines(packed: bytes) -> pa.LargeBinaryArray:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 10])])
 
 
-def _numbers(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T))
-
-
-def _read_numbers(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").ravel()
-
-
 def _told_apart(words: pa.LargeBinaryArray, at: np.ndarray, n: int, hashes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The different grams of ``n`` words that begin at given places, by their words themselves, with their hashes and uses."""
     coded = words.dictionary_encode()
@@ -181,28 +110,30 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for src, packed, uses in zip(*[c.to_pylist() for c in batch.columns]):
             grams = _read_lines(packed)
             n = pc.add(pc.count_substring(grams, b" "), 1).cast(pa.int32())
-            made = [pa.array([src] * len(grams), pa.string()), n, grams.cast(pa.binary()).cast(pa.string()), pa.array(_read_numbers(uses))]
+            made = [pa.array([src] * len(grams), pa.string()), n, grams.cast(pa.binary()).cast(pa.string()), pa.array(unpacked_numbers(uses))]
             yield pa.RecordBatch.from_arrays(made, ["src", "n", "gram", "uses"])
 
 
 def _counted(texts: DataFrame, hashes: DataFrame, least: int, buckets: int, bits: int, part: int, parts: int, gathered: int) -> DataFrame:
     """src, grams, uses of one of the two to the power of ``parts`` parts of all hashes, written out."""
-    marks = texts.sparkSession.sparkContext.broadcast(_marks(hashes, buckets, bits, range(part << buckets >> parts, (part + 1) << buckets >> parts)))
+    shared = texts.sparkSession.sparkContext.broadcast(marks(hashes, buckets, bits, range(part << buckets >> parts, (part + 1) << buckets >> parts)))
+
+    of_text = max(0, buckets - 2)  # larger buckets, for sorted neighbours are more alike
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filtered = np.frombuffer(marks.value, np.uint8)
+        filtered = np.frombuffer(shared.value, np.uint8)
         waiting: dict[str | None, list[tuple[pa.Array, np.ndarray, np.ndarray]]] = {}
 
         def passed() -> Iterator[pa.RecordBatch]:
             for src, met in waiting.items():
                 grams, uses, codes = _summed(pa.concat_arrays([m[0] for m in met]), np.concatenate([m[2] for m in met]))
                 bucket = np.zeros(len(grams), np.int32)
-                bucket[codes] = (np.concatenate([m[1] for m in met]) >> np.uint64(63 - buckets) >> np.uint64(1)).astype(np.int32)
+                bucket[codes] = (np.concatenate([m[1] for m in met]) >> np.uint64(63 - of_text) >> np.uint64(1)).astype(np.int32)
                 order = pc.sort_indices(pa.table({"bucket": bucket, "gram": grams}), [("bucket", "ascending"), ("gram", "ascending")]).to_numpy()
-                edges = np.searchsorted(bucket[order], np.arange((1 << buckets) + 1))
+                edges = np.searchsorted(bucket[order], np.arange((1 << of_text) + 1))
                 there = np.flatnonzero(np.diff(edges))
                 rows = [order[edges[b] : edges[b + 1]] for b in there]
-                packed = [pa.array([_lines(grams.take(pa.array(r))) for r in rows], pa.binary()), pa.array([_numbers(uses[r]) for r in rows], pa.binary())]
+                packed = [pa.array([_lines(grams.take(pa.array(r))) for r in rows], pa.binary()), pa.array([packed_numbers(uses[r]) for r in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([src] * len(rows), pa.string()), *packed], ["bucket", "src", "grams", "uses"])
             waiting.clear()
 
@@ -213,8 +144,7 @@ def _counted(texts: DataFrame, hashes: DataFrame, least: int, buckets: int, bits
                 at, hashes = _gram_hashes(src, hashed, left, n)
                 mine = np.flatnonzero(hashes >> np.uint64(63 - parts) >> np.uint64(1) == part)
                 at, hashes = at[mine], hashes[mine]
-                bit = hashes << np.uint64(parts) >> np.uint64(64 - bits + parts)
-                may = (filtered[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                may = marked(filtered, hashes, bits, parts)
                 if may.any():
                     waiting.setdefault(src, []).append(_told_apart(words, at[may], n, hashes[may]))
                     size += len(waiting[src][-1][1])
@@ -224,14 +154,14 @@ def _counted(texts: DataFrame, hashes: DataFrame, least: int, buckets: int, bits
         yield from passed()
 
     def summed(group: pa.Table) -> pa.Table:
-        grams, uses, _ = _summed(pa.concat_arrays(map(_read_lines, group.column("grams").to_pylist())), np.concatenate(list(map(_read_numbers, group.column("uses").to_pylist()))))
+        grams, uses, _ = _summed(pa.concat_arrays(map(_read_lines, group.column("grams").to_pylist())), np.concatenate(list(map(unpacked_numbers, group.column("uses").to_pylist()))))
         often = uses >= least
         grams = grams.filter(pa.array(often))
-        kept = [group.column("src").slice(0, 1), pa.array([_lines(grams)], pa.binary()), pa.array([_numbers(uses[often])], pa.binary())]
+        kept = [group.column("src").slice(0, 1), pa.array([_lines(grams)], pa.binary()), pa.array([packed_numbers(uses[often])], pa.binary())]
         return pa.table(kept, ["src", "grams", "uses"]).slice(0, int(often.any()))
 
     found = checkpointed(texts.mapInArrow(frugal(counted), f"bucket int, {_FOUND}").groupBy("bucket", "src").applyInArrow(summed, _FOUND))
-    marks.destroy()
+    shared.destroy()
     return found
 
 
@@ -246,14 +176,9 @@ def frequent_grams(src: Column, text: Column, docs: DataFrame, least: int, bucke
     work alone. The result is written out, compressed.
     """
     texts = docs.select(src.alias("src"), text.alias("text"))
-    spark = docs.sparkSession
-    if buckets is None:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        size = 1 << 30 if size >> 50 else size  # not known
-        buckets = min(14, (max(spark.sparkContext.defaultParallelism, -(-size // PER_BUCKET)) - 1).bit_length())
-    hashes = _may_be_frequent(texts, least, buckets, gathered)
-    # Sixteen bits for each of them, so one in sixteen others passes.
-    bits = min(buckets + REST, max(buckets + 3, (16 * (hashes.agg(F.sum("n")).first()[0] or 0)).bit_length()))
+    buckets = buckets_for(docs) if buckets is None else buckets
+    hashes = counted_hashes(texts, _hashes, least, buckets, gathered)
+    bits = bits_for(hashes, buckets, 16)
     parts = min(buckets, max(0, bits - most_bits))
     found = [_counted(texts, hashes, least, buckets, bits, part, parts, gathered) for part in range(1 << parts)]
     return reduce(DataFrame.unionByName, found).mapInArrow(frugal(_rows), "src string, n int, gram string, uses long")
