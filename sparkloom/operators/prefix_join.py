@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .hash_counts import REST, bits_for, buckets_for, counted_hashes, marked, marks, unpacked, unpacked_numbers
 from .lineage import checkpointed
 from .memory import frugal
 
@@ -20,8 +21,12 @@ Hasher = Callable[[list[bytes]], list[np.ndarray]]
 
 #: Shingles told apart as frequent, at most; a plan choice, for any order of shingles gives the same pairs.
 FREQUENT = 1 << 20
-#: Shingles whose repeats a task counts at once.
-COUNTED = 1 << 23
+#: Shingles that a task counts at once.
+COUNTED = 1 << 21
+#: Bits of the filter that knows what shingles several texts have, at most, as a power of two, 64 MB; with fewer it takes more others for such.
+MOST_BITS = 29
+#: Texts that have a shingle in their prefixes, up to which each meets each before anything travels on.
+SMALL = 24
 #: Bytes of texts that are worked on at once.
 TOGETHER = 2 << 20
 #: Rows of a frequent shingle that are grouped together.
@@ -43,53 +48,81 @@ def _sets(batch: pa.RecordBatch, hasher: Hasher, seen: set[int]) -> Iterator[tup
         k = m
 
 
-def _short(tokens: np.ndarray) -> np.ndarray:
-    """What a shingle is counted by. Two that share it share a count, for all texts alike, so the order is still one for all."""
-    return (tokens >> np.uint64(32)).astype(np.uint32)
+class Order:
+    """What a task needs to put shingles in one order for all: first those that one text has, then the others, the frequent ones last.
 
+    Shingles are told apart by their upper bits. Two that share these share a
+    place, for all texts alike. ``tokens`` are the frequent ones, sorted, and ``counts`` about how many texts have them.
+    """
 
-def _repeated(texts: DataFrame, hasher: Hasher) -> DataFrame:
-    """token and n: shingles (see ``_short``) that several texts of one task have, with how many; those met once are left out."""
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, shift: int, marks: bytes, bits: int):
+        self.tokens, self.counts, self.shift, self.marks, self.bits = tokens, counts, shift, marks, bits
+
+    def often(self, shingles: np.ndarray) -> np.ndarray:
+        """-1 for a shingle that no two texts have, the number of texts for a frequent one, else 0."""
+        found = marked(np.frombuffer(self.marks, np.uint8), shingles, self.bits).astype(np.int64) - 1
+        if len(self.tokens):
+            asked = shingles >> np.uint64(self.shift)
+            at = np.minimum(np.searchsorted(self.tokens, asked), len(self.tokens) - 1)
+            found = np.where(self.tokens[at] == asked, self.counts[at], found)
+        return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
-        seen: set[int] = set()
 
-        def counted() -> pa.RecordBatch:
-            tokens = np.concatenate([*waiting, np.zeros(0, np.uint32)])
-            waiting.clear()
-            tokens.sort()
-            # Most are met once, so only runs of equal ones get numbers.
-            edges = np.flatnonzero(np.diff(tokens[1:] == tokens[:-1], prepend=False, append=False))
-            begins, stops = edges[::2], edges[1::2]
-            return pa.RecordBatch.from_arrays([pa.array(tokens[begins].astype(np.int64)), pa.array(stops - begins + 1)], ["token", "n"])
+def _counted(texts: DataFrame, hasher: Hasher, buckets: int) -> DataFrame:
+    """Shingles that several texts of all have, by their upper bits, see ``counted_hashes``."""
 
-        size = 0
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        seen: set[int] = set()
         for batch in batches:
             for _, sets in _sets(batch, hasher, seen):
-                waiting += map(_short, sets)
-                size += sum(map(len, sets))
-                if size > COUNTED:
-                    yield counted()
-                    size = 0
-        yield counted()
+                yield np.concatenate([*sets, np.zeros(0, np.uint64)])
 
-    return texts.mapInArrow(frugal(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return counted_hashes(texts, hashes, 2, buckets, COUNTED)
 
 
-def _frequent(texts: DataFrame, hasher: Hasher, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that most texts have, sorted, and about how many have them. There are at most ``most``, so they go to all tasks."""
-    counted = checkpointed(_repeated(texts, hasher).withColumn("bin", F.floor(4 * F.log2("n")).cast("int")))
+def _bins(n: np.ndarray) -> np.ndarray:
+    return np.floor(4 * np.log2(n)).astype(np.int64)
+
+
+def _listed(counted: DataFrame, least: int = 0) -> DataFrame:
+    """token and n: the upper bits of counted shingles from a bin on, and how many texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, rest, uses in zip(*[c.to_pylist() for c in batch.columns]):
+                n = unpacked_numbers(uses)
+                told = _bins(n) >= least
+                yield pa.RecordBatch.from_arrays([pa.array((bucket << REST) + unpacked(rest)[told].astype(np.int64)), pa.array(n[told])], ["token", "n"])
+
+    return counted.select("bucket", "hashes", "uses").mapInArrow(frugal(run), "token long, n long")
+
+
+def _repeated(texts: DataFrame, hasher: Hasher) -> DataFrame:
+    """token and n: the upper 32 bits of shingles that several texts have, with how many."""
+    return _listed(_counted(texts, hasher, 32 - REST))
+
+
+def _order(texts: DataFrame, hasher: Hasher, most: int, buckets: int) -> Order:
+    """Of all shingles; at most ``most`` frequent ones are told apart, and a bounded filter knows those that several texts have, so both go to all tasks."""
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uses in batch.column(0).to_pylist():
+                held = np.bincount(_bins(unpacked_numbers(uses)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held.astype(np.int64))], ["bin", "of"])
+
+    counted = _counted(texts, hasher, buckets)
     least, held = 1 << 10, 0
-    for row in sorted(counted.groupBy("bin").agg(F.count("*").alias("of")).collect(), reverse=True):
+    for row in sorted(counted.select("uses").mapInArrow(frugal(binned), "bin long, of long").groupBy("bin").agg(F.sum("of").alias("of")).collect(), reverse=True):
         held += row["of"]
         if held > most:
             break
         least = row["bin"]
-    found = counted.where(F.col("bin") >= least).select("token", "n").toArrow()
-    token, n = found["token"].to_numpy().astype(np.uint32), found["n"].to_numpy()
+    found = _listed(counted, least).toArrow()
+    token, n = found["token"].to_numpy().astype(np.uint64), found["n"].to_numpy()
     order = np.argsort(token)
-    return token[order], n[order]
+    bits = max(buckets + 3, min(MOST_BITS, bits_for(counted, buckets, 4)))
+    return Order(token[order], n[order], 64 - buckets - REST, marks(counted, buckets, bits, range(1 << buckets)), bits)
 
 
 def prefix(n: int, threshold: float) -> int:
@@ -109,21 +142,17 @@ def _may_meet(one: tuple[str, str], two: tuple[str, str], threshold: float) -> C
 _MET = "token long, salt int, key long, n int, p int, first long, fn int, fp int"
 
 
-def _met(texts: DataFrame, hasher: Hasher, threshold: float, least: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Prefixes of all texts, grouped by shingle, without those that only one text has."""
-    table = texts.sparkSession.sparkContext.broadcast(frequent)
+def _met(texts: DataFrame, hasher: Hasher, threshold: float, least: int, order: Order) -> DataFrame:
+    """Prefixes of all texts, grouped by shingle, without those that only one text has, nor those of small groups that are similar to none there."""
+    shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = table.value
+        ordered = shared.value
         seen: set[int] = set()
         for batch in batches:
             for keys, sets in _sets(batch, hasher, seen):
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-                often = np.zeros(len(flat), np.int64)
-                if len(tokens):
-                    asked = _short(flat)
-                    at = np.minimum(np.searchsorted(tokens, asked), len(tokens) - 1)
-                    often = np.where(tokens[at] == asked, counts[at], 0)
+                often = ordered.often(flat)
                 chosen, ends, kept = [], np.cumsum([0, *map(len, sets)]), []
                 for i, s in enumerate(sets):
                     if len(s) < max(1, least):
@@ -136,14 +165,34 @@ def _met(texts: DataFrame, hasher: Hasher, threshold: float, least: int, frequen
                 sizes = np.fromiter(map(len, chosen), np.int64, len(chosen))
                 key = np.repeat(keys.to_numpy()[kept], sizes)
                 place = np.concatenate(chosen)
-                salt = np.where(often[place] > PER_SALT, 1 + (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % (1 + often[place] // PER_SALT).astype(np.uint64), 0)
+                salt = np.where(often[place] > PER_SALT, 1 + (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % (1 + np.maximum(often[place], 0) // PER_SALT).astype(np.uint64), 0)
                 n = np.repeat(np.fromiter((len(sets[i]) for i in kept), np.int64, len(kept)), sizes)
                 p = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                several = often[place] >= 0
                 columns = [flat[place].view(np.int64), salt.astype(np.int32), key, n.astype(np.int32), p.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["token", "salt", "key", "n", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in columns], ["token", "salt", "key", "n", "p"])
 
     rows = texts.mapInArrow(frugal(prefixes), "token long, salt int, key long, n int, p int")
-    return checkpointed(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "key").mapInArrow(frugal(_grouped), _MET))
+    return checkpointed(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "key").mapInArrow(frugal(lambda batches: _that_meet(_grouped(batches), threshold)), _MET))
+
+
+def _that_meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Grouped rows without those that can't be similar to any other of their group, where that is small and its rows came together."""
+    for batch in batches:
+        token, salt, _, n, p = [c.to_numpy().astype(np.int64) for c in batch.columns[:5]]
+        begins = np.append(np.ones(min(1, len(token)), bool), (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+        group = np.cumsum(begins) - 1
+        sizes = np.bincount(group) if len(group) else np.zeros(0, np.int64)
+        meets = (sizes[group] > SMALL) | (salt > 0)
+        if len(group):
+            meets |= (group == 0) | (group == group[-1])
+        for d in range(1, min(SMALL, len(token))):
+            shared = np.ceil((n[d:] + n[:-d]) * (threshold / (1 + threshold)) - 2 * _SLACK)
+            may = (group[d:] == group[:-d]) & (np.minimum(n[d:], n[:-d]) >= threshold * np.maximum(n[d:], n[:-d]) - 2 * _SLACK)
+            may &= (n[d:] - p[d:] >= shared) & (n[:-d] - p[:-d] >= shared)
+            meets[d:] |= may
+            meets[:-d] |= may
+        yield batch.filter(pa.array(meets))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +390,7 @@ def similar_groups(
     """
     texts = texts.select(F.col("key").cast("long").alias("key"), F.col("text").alias("text"))
     known = None if proposed is None else components(_verified(checkpointed(_distinct(proposed)), texts, hasher, threshold))
-    met = _met(texts, hasher, threshold, least, _frequent(texts, hasher, frequent))
+    met = _met(texts, hasher, threshold, least, _order(texts, hasher, frequent, buckets_for(texts)))
     first = _to_first(met, threshold)
     found = _verified(checkpointed(first if known is None else _apart(first, known)), texts, hasher, threshold)
     linked = components(found if known is None else found.unionByName(known.toDF("a", "b")))

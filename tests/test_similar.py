@@ -1,11 +1,13 @@
 """The exact similarity join against brute force, in crowds too."""
 
+import os
 import random
 import re
 from functools import partial
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.operators import prefix_join
@@ -141,3 +143,39 @@ def test_loose_words_at_odd_places():
     alone = [loose_shingles([t.encode()])[0] for t in texts]
     assert all(np.array_equal(x, y) for x, y in zip(got, alone))
     assert [len(x) for x in got] == [len(loose(t)) for t in [*texts, "a'b"]]
+
+
+def test_rows_that_meet_none_of_their_group_go(monkeypatch):
+    """Of small groups exactly the rows that can be similar to another; of large ones, of a batch's first and last and of a frequent shingle's parts all."""
+    monkeypatch.setattr(prefix_join, "SMALL", 6)
+    rng = random.Random(4)
+    rows = []
+    for token, size in enumerate([3, 2, 5, 1, 6, 7, 4, 6, 2, 3]):
+        for key in range(size):
+            n = rng.randrange(20, 40)
+            rows.append((token, int(token == 8), key, n, rng.randrange(0, 8), 0, 0, 0))
+    kept = {tuple(r.values())[:3] for b in prefix_join._that_meet(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], list("tskxyabc"))]), 0.8) for r in b.to_pylist()}
+
+    def meet(x, y):
+        (n, p), (m, q) = x[3:5], y[3:5]
+        return min(n, m) >= 0.8 * max(n, m) and min(n - p, m - q) >= (n + m) * 0.8 / 1.8 - 1e-9
+
+    def stays(r):
+        group = [x for x in rows if x[:2] == r[:2]]
+        return r[0] in (0, 9) or r[1] or len(group) > 6 or any(meet(r, x) for x in group if x is not r)
+
+    assert kept == {r[:3] for r in rows if stays(r)} and 20 < len(kept) < len(rows)
+    assert [b.num_rows for b in prefix_join._that_meet(iter([pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 8, list("tskxyabc"))]), 0.8)] == [0]
+
+
+def test_little_travels_of_texts_that_are_near_none(spark):
+    """Less is written than the texts take, though every text shares rare words with some others: such pairs are too far apart to be similar."""
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(3000)}" if rng.random() < 0.7 else f"x{rng.getrandbits(40)}" for _ in range(rng.randrange(100, 900))) for _ in range(700)]
+    texts += [t + " one more" for t in texts[:20]]
+    shared = spark.conf.get("spark.checkpoint.dir")
+    written = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(shared) for f in files) + spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    df = spark.createDataFrame([(k, t.translate(str.maketrans("0123456789", "abcdefghij"))) for k, t in enumerate(texts)], "key long, text string").coalesce(3)
+    before = written()
+    assert {r["node"]: r["root"] for r in similar_groups(df, loose_shingles, 0.8).collect()} == {k: k % 700 for k in [*range(20), *range(700, 720)]}
+    assert written() - before < sum(map(len, texts))
